@@ -94,7 +94,7 @@ def looks_json(value: Column) -> Column:
 
 
 # Two private-use marks stand in for escaped backslash and escaped quote while literals are cut.
-_SLASH, _QUOTE = "", ""
+_SLASH, _QUOTE = "\ue000", "\ue001"
 _MARK = "\ue002"
 _NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
 _ATOM = rf"(?<![0-9A-Za-z.+\-])(?:{_NUMBER}|true|false|null)(?![0-9A-Za-z.+\-])"
