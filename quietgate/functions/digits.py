@@ -28,8 +28,19 @@ _ZEROS = _zeros()
 _FROM = "".join(chr(z + d) for z in _ZEROS for d in range(10))
 _TO = "0123456789" * len(_ZEROS)
 
-# One decimal digit of any script, as a regex class.
-DIGIT = r"[\p{Nd}" + "".join(rf"\x{{{z:x}}}-\x{{{z + 9:x}}}" for z in RECENT_ZEROS) + "]"
+# Candidate patterns see digits through \p{Nd}; digits the JVM may not know are shown to them as
+# full-width digits, one code point for one, so offsets stay put.
+DIGIT = r"\p{Nd}"
+_RECENT = "".join(chr(z + d) for z in RECENT_ZEROS for d in range(10))
+_STAND_IN = "".join(chr(0xFF10 + d) for d in range(10)) * len(RECENT_ZEROS)
+_RECENT_RANGE = rf"[\x{{{min(RECENT_ZEROS):x}}}-\x{{{max(RECENT_ZEROS) + 9:x}}}]"
+
+
+def known_digits(text: Column) -> Column:
+    """Text with recently encoded digits replaced by full-width ones; almost always unchanged."""
+    return F.when(
+        text.rlike(_RECENT_RANGE), F.translate(text, _RECENT, _STAND_IN)
+    ).otherwise(text)
 
 
 def ascii_digits(candidate: Column) -> Column:

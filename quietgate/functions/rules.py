@@ -17,7 +17,11 @@ _LOCAL = r"[A-Za-z0-9._%+\-]"
 
 @dataclass(frozen=True)
 class Rule:
-    """``kind`` says how spans are read: whole match, capture, look-ahead or card runs."""
+    """``kind`` says how spans are read: whole match, capture, look-ahead or card runs.
+
+    ``gate`` lists alternatives, each a literal or ``re:`` pattern the text must contain for the
+    rule to be worth trying; ``a&b`` needs both.
+    """
 
     rule: str
     label: str
@@ -65,7 +69,7 @@ RULES: list[Rule] = [
     ),
     Rule(
         "github_token", "GitHub 토큰", "GitHub token", "critical",
-        r"(?U)\bgh[pousr]_[A-Za-z0-9]{36,}\b", ("re:gh[pousr]_",),
+        r"(?U)\bgh[pousr]_[A-Za-z0-9]{36,}\b", ("_&re:gh[pousr]_",),
     ),
     Rule(
         "slack_token", "Slack 토큰", "Slack token", "high",

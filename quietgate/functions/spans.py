@@ -7,12 +7,14 @@ order makes the natural struct order the positional order.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import let, running_max, running_sum
-from .digits import ascii_digits, luhn_ok, rrn_ok
+from .digits import DIGIT, ascii_digits, known_digits, luhn_ok, rrn_ok
 from .rules import RULE_IDS, RULES, RULES_BY_ID, SEVERITIES, SEVERITY_RANK, Rule
 
 SPAN_TYPE = "array<struct<start:int,end:int,prio:int>>"
@@ -28,137 +30,132 @@ def _span(start: Column, end: Column, prio: Column) -> Column:
     )
 
 
+def _contains(text: Column, mark: str) -> Column:
+    return text.rlike(mark[3:]) if mark.startswith("re:") else F.contains(text, F.lit(mark))
+
+
 def _gate(text: Column, rule: Rule) -> Column:
     """Cheap necessary condition; most documents stop here for every rule."""
     tests = [
-        text.rlike(g[3:]) if g.startswith("re:") else F.contains(text, F.lit(g))
-        for g in rule.gate
+        reduce(lambda a, b: a & b, [_contains(text, m) for m in g.split("&")]) for g in rule.gate
     ]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
-def _located(text: Column, pattern: str, group: int, whole_match: bool) -> Column:
-    """``array<struct<value, start, end>>`` of every match.
-
-    Gaps between matches plus consumed lengths give exact offsets without a position function.
-    ``whole_match`` false means the pattern consumes a single character per match.
-    """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-
-    def body(m: Column) -> Column:
-        consumed = (
-            F.transform(m, lambda v: F.length(v))
-            if whole_match
-            else F.transform(m, lambda v: F.lit(1))
-        )
-        lead = F.transform(F.slice(gaps, F.lit(1), F.size(m)), lambda g: F.length(g))
-        steps = F.arrays_zip(lead.alias("lead"), consumed.alias("used"))
-        return let(
-            F.transform(steps, lambda s: s["lead"] + s["used"]),
-            lambda total: F.zip_with(
-                m,
-                F.zip_with(running_sum(total), lead, lambda base, g: base + g),
-                lambda v, at: F.struct(
-                    v.alias("value"), at.alias("start"), (at + F.length(v)).alias("end")
-                ),
-            ),
-        )
+    return reduce(lambda a, b: a | b, tests)
 
-    return let(values, body)
 
+HIT_TYPE = "array<struct<prio:int,value:string,lead:int,used:int>>"
 
-def match_spans(text: Column, rule: Rule, prio: int) -> Column:
-    p = F.lit(prio)
-    found = _located(text, rule.pattern, 0, True)
-    return F.transform(found, lambda f: _span(f["start"], f["end"], p))
 
+def rule_hits_raw(text: Column, rule: str) -> Column:
+    """Matches of one rule: matched value, gap before it and characters consumed by it.
 
-def capture_spans(text: Column, rule: Rule, prio: int) -> Column:
-    """The capture sits at the end of the match; anything before it is skipped lead-in."""
-    p = F.lit(prio)
-    found = _located(text, rule.pattern, 0, True)
-    values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1))
-    return F.zip_with(
-        found, values, lambda f, v: _span(f["end"] - F.length(v), f["end"], p)
+    Gaps and consumed lengths give exact offsets later without a position function. A
+    look-ahead rule consumes one character per match; a capture ends where its match ends.
+    """
+    spec, prio = RULES_BY_ID[rule], F.lit(RULE_IDS.index(rule))
+    pattern = F.lit(spec.pattern)
+    group = F.lit(0 if spec.kind in ("match", "cards") else 1)
+    gaps = F.split(text, spec.pattern, -1)
+    whole = F.regexp_extract_all(text, pattern, F.lit(0)) if spec.kind == "capture" else None
+    hits = let(
+        F.struct(
+            F.regexp_extract_all(text, pattern, group).alias("v"),
+            gaps.alias("g"),
+            (whole if whole is not None else F.lit(None).cast("array<string>")).alias("w"),
+        ),
+        lambda m: F.transform(
+            m["v"],
+            lambda v, i: F.struct(
+                prio.alias("prio"),
+                v.alias("value"),
+                F.length(F.get(m["g"], i)).alias("lead"),
+                (
+                    F.lit(1)
+                    if spec.kind == "lookahead"
+                    else F.length(F.get(m["w"], i) if whole is not None else v)
+                ).alias("used"),
+            ),
+        ),
     )
+    return F.when(_gate(text, spec), hits).otherwise(F.array().cast(HIT_TYPE))
 
 
-def lookahead_spans(text: Column, rule: Rule, prio: int) -> Column:
-    p = F.lit(prio)
-    found = _located(text, rule.pattern, 1, False)
-    if rule.validator == "rrn":
-        found = F.filter(found, lambda f: rrn_ok(f["value"]))
-    return F.transform(found, lambda f: _span(f["start"], f["end"], p))
-
+def _card_spans(hit: Column, begin: Column) -> Column:
+    """Every Luhn-valid 13-19 digit sub-chain of a chain of digit groups."""
 
-def card_spans(text: Column, rule: Rule, prio: int) -> Column:
-    """Every Luhn-valid 13-19 digit sub-chain that starts and ends on a digit boundary."""
-    p = F.lit(prio)
+    def body(g: Column) -> Column:
+        def starts(o: Column) -> Column:
+            def ends(at: Column, i: Column) -> Column:
+                tries = F.transform(
+                    F.sequence(F.lit(0), F.least(F.lit(18), F.size(g) - 1 - i)),
+                    lambda k: F.struct(
+                        F.array_join(F.slice(g, i + 1, k + 1), "").alias("digits"),
+                        k.alias("seps"),
+                    ),
+                )
+                return F.transform(
+                    F.filter(tries, lambda t: luhn_ok(t["digits"])),
+                    lambda t: _span(
+                        begin + at, begin + at + F.length(t["digits"]) + t["seps"], hit["prio"]
+                    ),
+                )
 
-    def one_run(run: Column) -> Column:
-        groups = F.split(ascii_digits(run["value"]), "[ -]", -1)
+            return F.flatten(F.transform(o, ends))
 
-        def body(g: Column) -> Column:
-            offsets = running_sum(F.transform(g, lambda x: F.length(x) + 1))
+        return let(running_sum(F.transform(g, lambda x: F.length(x) + 1)), starts)
 
-            def starts(o: Column) -> Column:
-                def ends(at: Column, i: Column) -> Column:
-                    tries = F.transform(
-                        F.sequence(F.lit(0), F.least(F.lit(18), F.size(g) - 1 - i)),
-                        lambda k: F.struct(
-                            F.array_join(F.slice(g, i + 1, k + 1), "").alias("digits"),
-                            k.alias("seps"),
-                        ),
-                    )
-                    good = F.filter(tries, lambda t: luhn_ok(t["digits"]))
-                    begin = run["start"] + at
-                    return F.transform(
-                        good,
-                        lambda t: _span(begin, begin + F.length(t["digits"]) + t["seps"], p),
-                    )
+    return let(F.split(ascii_digits(hit["value"]), "[ -]", -1), body)
 
-                return F.flatten(F.transform(o, ends))
 
-            return let(offsets, starts)
+_CARD, _RRN, _EMAIL = (RULE_IDS.index(r) for r in ("credit_card", "kr_rrn", "email"))
 
-        return let(groups, body)
 
-    return F.flatten(F.transform(_located(text, rule.pattern, 0, True), one_run))
+def _spans_of_rule(hits: Column) -> Column:
+    """Offsets of one rule's matches, with each rule's own validation applied."""
 
+    def placed(offsets: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            at = F.get(offsets, i) + h["lead"]
+            end = F.when(h["prio"] == _EMAIL, at + h["used"]).otherwise(at + F.length(h["value"]))
+            return (
+                F.when(h["prio"] == _CARD, _card_spans(h, at))
+                .when((h["prio"] == _RRN) & ~rrn_ok(h["value"]), _none())
+                .otherwise(F.array(_span(end - F.length(h["value"]), end, h["prio"])))
+            )
 
-_BUILDERS = {
-    "match": match_spans,
-    "capture": capture_spans,
-    "lookahead": lookahead_spans,
-    "cards": card_spans,
-}
-
+        return F.flatten(F.transform(hits, one))
 
-def rule_spans(text: Column, rule: str) -> Column:
-    """Candidate spans of one rule, gated."""
-    spec = RULES_BY_ID[rule]
-    build = _BUILDERS[spec.kind](text, spec, RULE_IDS.index(rule))
-    return F.when(_gate(text, spec), build).otherwise(_none())
+    return let(running_sum(F.transform(hits, lambda h: h["lead"] + h["used"])), placed)
 
 
-# Three digits (or possible digits: anything beyond ASCII) with at most single separators.
-# Every number rule needs this, and it costs far less per character than a full digit class.
-_ANY_NUMBER = r"[0-9\x{80}-\x{10FFFF}](?:[ -]?[0-9\x{80}-\x{10FFFF}]){2}"
+# Ten possible digits (any character beyond ASCII counts as one) with at most single
+# separators, then ten real ones. Every number rule needs both; most text has neither.
+_MAYBE = r"[0-9\x{80}-\x{10FFFF}]"
+_MAYBE_NUMBER = rf"{_MAYBE}(?:[-\s]?{_MAYBE}){{9}}"
+_NUMBER = rf"(?U){DIGIT}(?:[-\s]?{DIGIT}){{9}}"
 _NUMBER_RULES = {"kr_rrn", "credit_card", "kr_phone"}
 
 
 def candidate_spans(text: Column, enabled: Iterable[str] | None = None) -> Column:
     """All candidates. A rule left out here cannot shadow another rule's span."""
     wanted = set(RULE_IDS if enabled is None else enabled)
-    numbers = [rule_spans(text, r) for r in RULE_IDS if r in wanted & _NUMBER_RULES]
-    parts = [rule_spans(text, r) for r in RULE_IDS if r in wanted - _NUMBER_RULES]
+    none = F.array().cast(f"array<{HIT_TYPE}>")
+    words = [rule_hits_raw(text, r) for r in RULE_IDS if r in wanted - _NUMBER_RULES]
+    numbers = [r for r in RULE_IDS if r in wanted & _NUMBER_RULES]
+    per_rule = F.array(*words) if words else none
     if numbers:
-        parts.append(F.when(text.rlike(_ANY_NUMBER), F.concat(*numbers)).otherwise(_none()))
-    return F.concat(*parts) if parts else _none()
+        found = let(
+            known_digits(text),
+            lambda t: F.when(
+                t.rlike(_NUMBER), F.array(*[rule_hits_raw(t, r) for r in numbers])
+            ).otherwise(none),
+        )
+        found = F.when(text.rlike(_MAYBE_NUMBER), found).otherwise(none)
+        per_rule = F.concat(per_rule, found)
+    return F.flatten(
+        F.transform(
+            F.filter(per_rule, lambda hits: F.size(hits) > 0), lambda hits: _spans_of_rule(hits)
+        )
+    )
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -219,8 +216,19 @@ def resolve_overlaps(spans: Column) -> Column:
     return let(spans, body)
 
 
-def kept_spans(text: Column, enabled: Iterable[str] | None = None) -> Column:
+# Expressions built so far, per application. Declaring all rules takes a few thousand calls into
+# the JVM (about a second), so the expression over a named column is declared once.
+_BUILT: dict[tuple, Column] = {}
+
+
+def kept_spans(text: Column | str, enabled: Iterable[str] | None = None) -> Column:
     """Resolved spans in text order; an empty array for NULL or empty text."""
+    if isinstance(text, str):
+        wanted = None if enabled is None else tuple(sorted(enabled))
+        key = (SparkContext._active_spark_context.applicationId, text, wanted)
+        if key not in _BUILT:
+            _BUILT[key] = kept_spans(F.col(text), wanted)
+        return _BUILT[key]
     safe = F.coalesce(text, F.lit(""))
     return resolve_overlaps(candidate_spans(safe, enabled))
 
@@ -238,7 +246,7 @@ def rules_of(spans: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(spans, lambda s: rule_name(s["prio"]))))
 
 
-def rules_in(text: Column, enabled: Iterable[str] | None = None) -> Column:
+def rules_in(text: Column | str, enabled: Iterable[str] | None = None) -> Column:
     return rules_of(kept_spans(text, enabled))
 
 

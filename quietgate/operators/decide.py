@@ -96,7 +96,7 @@ def gate_patterns(req: DataFrame) -> DataFrame:
     stopped = F.col("facts_gate").isNotNull() if "facts_gate" in req.columns else F.lit(False)
     empty = F.array().cast("array<string>")
     scanned = req.withColumn(
-        "detector_ids", F.when(stopped, empty).otherwise(S.rules_in(F.col("text")))
+        "detector_ids", F.when(stopped, empty).otherwise(S.rules_in("text"))
     )
     return scanned.withColumn("patterns_gate", patterns_verdict(F.col("detector_ids")))
 
@@ -306,7 +306,7 @@ def release_set(decisions: DataFrame, requests: DataFrame) -> DataFrame:
     )
     text = F.coalesce(F.col("text"), F.lit(""))
     clean = F.when(
-        F.col("action") == "redact", S.redacted(text, S.findings_from(text, S.kept_spans(text)))
+        F.col("action") == "redact", S.redacted(text, S.findings_from(text, S.kept_spans("text")))
     ).otherwise(text)
     return (
         go.join(requests.select("request_id", "text"), "request_id")

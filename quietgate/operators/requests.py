@@ -39,17 +39,22 @@ def media_type(df: DataFrame, content_type: str = "content_type") -> DataFrame:
     return df.withColumn("media", T.media_type(F.col(content_type)))
 
 
-def _rules_in_strings(strings: Column) -> Column:
-    """Rules over a set of strings, each taken alone.
+def _rules_in_strings(df: DataFrame, strings: str, readable: Column) -> DataFrame:
+    """Add ``_rules``: the rules over a set of strings, each taken alone; NULL unless readable.
 
     One pass over the joined text is the same thing unless a key block is open-ended, which
     would swallow its neighbours; then every string is scanned by itself.
     """
-    joined = F.array_join(strings, _BREAK)
+    joined = df.withColumn("_joined", F.when(readable, F.array_join(strings, _BREAK)))
     alone = F.array_sort(
         F.array_distinct(F.flatten(F.transform(strings, lambda s: S.rules_in(s))))
     )
-    return F.when(F.contains(joined, F.lit("-----BEGIN ")), alone).otherwise(S.rules_in(joined))
+    return joined.withColumn(
+        "_rules",
+        F.when(F.contains("_joined", F.lit("-----BEGIN ")), alone).when(
+            F.col("_joined").isNotNull(), S.rules_in("_joined")
+        ),
+    ).drop("_joined")
 
 
 def inspect_requests(df: DataFrame) -> DataFrame:
@@ -92,7 +97,7 @@ def inspect_requests(df: DataFrame) -> DataFrame:
     strings = F.concat(
         F.array("_path"), F.col("_parts"), F.coalesce(F.col("_inner"), empty)
     )
-    found = nested.withColumn("_rules", F.when(readable, _rules_in_strings(strings)))
+    found = _rules_in_strings(nested.withColumn("_strings", strings), "_strings", readable)
     reason = (
         F.when(F.col("_rules").isNull(), "uninspectable_request")
         .when(F.size("_rules") == 0, "clean")
@@ -101,7 +106,8 @@ def inspect_requests(df: DataFrame) -> DataFrame:
     return (
         found.withColumn("reason", reason)
         .withColumn("rules", F.coalesce("_rules", empty))
-        .drop("_path", "_text", "_media", "_parts", "_shaped", "_inner", "_rules", "guard")
+        .drop("_path", "_text", "_media", "_parts", "_shaped", "_inner", "_strings", "_rules",
+              "guard")
     )
 
 

@@ -27,7 +27,7 @@ def each(df: DataFrame, array: str, name: str, *keep: str) -> DataFrame:
 
 def rule_hits(df: DataFrame, text: str = "text", enabled: Iterable[str] | None = None) -> DataFrame:
     """Add ``rules``: the sorted ids of the rules that fire."""
-    return df.withColumn("rules", S.rules_in(F.col(text), enabled))
+    return df.withColumn("rules", S.rules_in(text, enabled))
 
 
 def scan_candidates(df: DataFrame, text: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def scan_candidates(df: DataFrame, text: str = "text") -> DataFrame:
 
 def findings(df: DataFrame, text: str = "text", enabled: Iterable[str] | None = None) -> DataFrame:
     """Add ``findings`` in text order: rule, label, severity, masked value and offsets."""
-    found = S.findings_from(F.col(text), S.kept_spans(F.col(text), enabled))
+    found = S.findings_from(F.col(text), S.kept_spans(text, enabled))
     return df.withColumn("findings", found)
 
 
@@ -132,7 +132,7 @@ def corpus_profile(
     contributes one row to one partial aggregate. ``totals`` adds rollup rows.
     """
     wanted = [r for r in RULE_IDS if enabled is None or r in set(enabled)]
-    hits = df.select(*keys, S.rules_in(F.col(text), wanted).alias("rules"))
+    hits = df.select(*keys, S.rules_in(text, wanted).alias("rules"))
     urgent = F.array(
         *[F.lit(r.rule) for r in S.RULES if r.severity in ("critical", "high")]
     )
@@ -147,7 +147,7 @@ def corpus_profile(
 
 def rule_counts(df: DataFrame, keys: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Long form of the profile: documents per key and rule."""
-    hits = df.select(*keys, S.rules_in(F.col(text)).alias("rules"))
+    hits = df.select(*keys, S.rules_in(text).alias("rules"))
     return (
         each(hits, "rules", "rule", *keys)
         .groupBy(*keys, "rule")

@@ -59,7 +59,7 @@ def _delimited(text: str | None, delimiter: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _quoted_rows(text: pd.Series, delimiter: pd.Series) -> pd.Series:
     return pd.Series([_delimited(t, d) for t, d in zip(text, delimiter)], dtype=object)
 
@@ -122,7 +122,7 @@ def read_files(spark: SparkSession, glob: str) -> DataFrame:
     rows = delimited_to_text(read)
     error = (
         F.when(F.col("bytes") > MAX_BYTES, "upload_size_limit")
-        .when(~F.col("_known"), "unsupported_file_type")
+        .when(~F.col("_known"), "unsupported_document_format")
         .when(~F.col("_coded"), "unsupported_text_encoding")
         .when(F.col("text").isNull(), "document_extraction_failed")
         .otherwise(text_problem(F.col("text")))

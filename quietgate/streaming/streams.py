@@ -37,7 +37,7 @@ def read_stream(
 
 def stream_scan(stream: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Scan arriving text; only rule metadata leaves."""
-    spans = S.kept_spans(F.col(text))
+    spans = S.kept_spans(text)
     slim = F.transform(
         spans,
         lambda s: F.struct(
