@@ -9,6 +9,7 @@ from ..functions import spans as S
 from ..functions.rules import SECRET_RULES
 from ..functions.scores import LABELS
 from .joins import applicable_policies, blocks, policy_asof
+from .scan import findings
 
 # The label that forbids processing, the scenario that redacts instead of
 # blocking, and the destinations that direct identifiers may not reach.
@@ -304,14 +305,15 @@ def release_set(decisions: DataFrame, requests: DataFrame) -> DataFrame:
     go = decisions.filter(F.col("action").isin("allow", "redact")).select(
         "request_id", "action", "reason", "request_digest"
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    clean = F.when(
-        F.col("action") == "redact", S.redacted(text, S.findings_from(text, S.kept_spans("text")))
-    ).otherwise(text)
+    texts = go.join(
+        requests.select("request_id", F.coalesce("text", F.lit("")).alias("text")), "request_id"
+    )
+    # Allowed text has no reason to be scanned again.
+    redact = F.col("action") == "redact"
+    found = findings(texts.withColumn("_scan", F.when(redact, F.col("text"))), "_scan")
     return (
-        go.join(requests.select("request_id", "text"), "request_id")
-        .withColumn("released_text", clean)
-        .drop("text")
+        found.withColumn("released_text", S.redacted(F.col("text"), F.col("findings")))
+        .drop("text", "_scan", "findings")
         .withColumn("content_hash", F.sha2("released_text", 256))
         .withColumn("byte_count", F.octet_length("released_text"))
     )

@@ -49,8 +49,12 @@ def scan_candidates(df: DataFrame, text: str = "text") -> DataFrame:
 
 def findings(df: DataFrame, text: str = "text", enabled: Iterable[str] | None = None) -> DataFrame:
     """Add ``findings`` in text order: rule, label, severity, masked value and offsets."""
-    found = S.findings_from(F.col(text), S.kept_spans(text, enabled))
-    return df.withColumn("findings", found)
+    # Two projections: nested any deeper, the expression would exceed the analyzer's rounds.
+    return (
+        df.withColumn("_spans", S.kept_spans(text, enabled))
+        .withColumn("findings", S.findings_from(F.col(text), F.col("_spans")))
+        .drop("_spans")
+    )
 
 
 def severity(df: DataFrame) -> DataFrame:

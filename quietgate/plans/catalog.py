@@ -8,6 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .derived import frame, with_clause
 
+def _filtered_counts(sql: str) -> str:
+    """Spell ``count_if(c)`` as a filtered count, which DuckDB types BIGINT like Spark does."""
+    mark, out = "count_if(", sql
+    while mark in out:
+        start = out.index(mark)
+        at, depth, quoted = start + len(mark), 1, False
+        while depth:
+            c = out[at]
+            quoted ^= c == "'"
+            depth += 0 if quoted else (c == "(") - (c == ")")
+            at += 1
+        inner = out[start + len(mark) : at - 1]
+        out = f"{out[:start]}count(*) FILTER (WHERE {inner}){out[at:]}"
+    return out
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,7 +53,7 @@ class Catalog:
                     clause = clause.rstrip()
                     if recursive:
                         clause = clause.replace("WITH ", "WITH RECURSIVE ", 1)
-                self.oracles[key] = clause + body
+                self.oracles[key] = _filtered_counts(clause + body)
             return build
 
         return register
