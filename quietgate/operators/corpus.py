@@ -42,9 +42,12 @@ PORTS = [8443, 9443, 10443, 18081]
 
 
 def pick(salt: str, n: Column | int, *keys: str) -> Column:
-    """Deterministic number in ``[0, n)`` from the row's keys; independent of partitioning."""
+    """Deterministic number in ``[0, n)`` from the row's keys, the same on any engine."""
     size = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(F.xxhash64(F.lit(salt), *[F.col(k) for k in keys]), size).cast("int")
+    text = F.concat_ws("|", F.lit(salt), *[F.col(k).cast("string") for k in keys])
+    return F.pmod(
+        F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), size
+    ).cast("int")
 
 
 ROW = ("source_family", "language", "i")

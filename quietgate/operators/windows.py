@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clock import micros
 from ..functions.lineage import cut
 from ..functions.running import running
 
@@ -58,7 +59,7 @@ def revision_check(installs: DataFrame, chunk: int = 86400) -> DataFrame:
         marked,
         ["device_id"],
         ["ts", "seq"],
-        F.floor(F.unix_timestamp("ts") / chunk),
+        F.floor(micros(installs, "ts") / (chunk * 1_000_000)),
         {"_seen": ("max", F.col("revision"))},
         inclusive=False,
     )
@@ -260,7 +261,7 @@ def best_checkpoint(log: DataFrame) -> DataFrame:
     )
 
 
-def _throttle_fold(limit: int, seconds: float):
+def _throttle_fold(limit: int, window: int):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         account, admitted = object(), []
         for pdf in batches:
@@ -268,7 +269,7 @@ def _throttle_fold(limit: int, seconds: float):
             for acc, t in zip(pdf["account"], pdf["_t"]):
                 if acc != account:
                     account, admitted = acc, []
-                admitted = [a for a in admitted if t - a < seconds]
+                admitted = [a for a in admitted if t - a < window]
                 ok = len(admitted) < limit
                 if ok:
                     admitted.append(t)
@@ -285,20 +286,17 @@ def attempt_throttle(attempts: DataFrame, limit: int = 20, seconds: int = 60) ->
     any attempt forgets everything. Accounts are cut at such gaps and the pieces are folded in
     parallel, each streamed in time order with at most ``limit`` numbers of state.
     """
-    t = F.col("ts").cast("double")
-    timed = attempts.withColumn("_t", t)
-    # The last attempt before this one, chunk by chunk, so one busy account is not one task.
+    window = seconds * 1_000_000
+    timed = attempts.withColumn("_t", micros(attempts, "ts"))
+    order, hour = ["_t", "attempt_id"], F.floor(F.col("_t") / 3_600_000_000)
+    # The attempt before this one, hour by hour, so one busy account is not one task.
     gaps = running(
-        timed, ["account"], ["_t", "attempt_id"], F.floor(F.col("_t") / 3600),
-        {"_prev": ("max", F.col("_t"))}, inclusive=False,
+        timed, ["account"], order, hour, {"_prev": ("max", F.col("_t"))}, inclusive=False
     ).withColumn(
         "_start",
-        F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= seconds), F.col("_t")),
-    )
-    pieces = running(
-        gaps, ["account"], ["_t", "attempt_id"], F.floor(F.col("_t") / 3600),
-        {"_piece": ("max", F.col("_start"))},
+        F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= window), F.col("_t")),
     )
+    pieces = running(gaps, ["account"], order, hour, {"_piece": ("max", F.col("_start"))})
     schema = T.StructType(
         [
             attempts.schema["account"],
@@ -310,15 +308,12 @@ def attempt_throttle(attempts: DataFrame, limit: int = 20, seconds: int = 60) ->
         pieces.select("account", "attempt_id", "_piece", "_t")
         .repartition("account", "_piece")
         .sortWithinPartitions("account", "_piece", "_t", "attempt_id")
-        .mapInPandas(_throttle_fold(limit, float(seconds)), schema)
+        .mapInPandas(_throttle_fold(limit, window), schema)
     )
 
 
 def throttle_estimate(attempts: DataFrame, limit: int = 20, seconds: int = 60) -> DataFrame:
     """Native flag that counts refused attempts too: an upper bound on what would be refused."""
-    w = (
-        Window.partitionBy("account")
-        .orderBy(F.col("ts").cast("double"))
-        .rangeBetween(-seconds, 0)
-    )
-    return attempts.withColumn("over_limit", F.count(F.lit(1)).over(w) > limit)
+    w = Window.partitionBy("account").orderBy("_t").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    timed = attempts.withColumn("_t", micros(attempts, "ts"))
+    return timed.withColumn("over_limit", F.count(F.lit(1)).over(w) > limit).drop("_t")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import spans as S
+from ..functions.clock import micros
 from ..operators.decide import effective_action
 from ..operators.ingest import payload_hash
 from ..operators.requests import inspect_requests
@@ -174,7 +175,7 @@ def stream_throttle(
     )
     return (
         stream.withWatermark("ts", delay)
-        .withColumn("t", F.col("ts").cast("double"))
+        .withColumn("t", micros(stream, "ts") / 1_000_000)
         .select("account", "attempt_id", "t", "ts")
         .groupBy("account")
         .applyInPandasWithState(
