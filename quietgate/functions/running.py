@@ -59,48 +59,32 @@ def running(
     return joined.drop("_chunk", *[f"_b_{n}" for n in measures])
 
 
+def magnitude(value: Column, steps: int = 256) -> Column:
+    """Chunk number that never decreases with ``value``: ``steps`` chunks per factor of two."""
+    v = value.cast("double")
+    # The offset exceeds the chunk number of the smallest double, so each side of zero keeps sign.
+    size = F.floor(F.log2(F.abs(v)) * steps) + 1100 * steps
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size)
+
+
 def order_statistics(
     df: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, Column]
 ) -> DataFrame:
     """Exact values at zero-based ``ranks`` (expressions over the group size ``n``), per group.
 
-    Approximate percentiles only choose balanced buckets; bucket counts then say exactly which
-    bucket holds each rank, and only those buckets are sorted. A wrong guess costs balance, not
-    correctness.
+    Equal values are counted before anything is ordered; positions then come from running
+    counts over chunks of value, so a group of any size is never sorted in one task or held in
+    memory. NULLs are left out (by their zero count: a filter would be pushed into the caller's
+    expressions and evaluate them twice).
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    cuts = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 2000).alias("_cuts"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = (counted.join(cuts, list(by)) if by else counted.join(F.broadcast(cuts))).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-    )
-    sizes = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"), F.max("n").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    spans = sizes.withColumn("_from", F.coalesce(F.sum("_s").over(upto), F.lit(0)))
-    wanted = spans.select(
-        *by,
-        "_b",
-        "n",
-        "_from",
-        F.explode(
-            F.map_from_arrays(
-                F.array(*[F.lit(k) for k in ranks]),
-                F.array(*[r.cast("long") for r in ranks.values()]),
-            )
-        ).alias("_stat", "_rank"),
-    ).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_s")))
-    inside = placed.select(*by, "_b", "_v", "_c").join(
-        wanted.select(*by, "_b", "_from", F.lit(1).alias("_w")).distinct(), [*by, "_b"]
-    )
-    run = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    located = inside.withColumn("_hi", F.col("_from") + F.sum("_c").over(run)).drop("_from", "_w")
-    hits = located.join(wanted, [*by, "_b"]).filter(
-        (F.col("_rank") < F.col("_hi")) & (F.col("_rank") >= F.col("_hi") - F.col("_c"))
+    counted = (
+        df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(value).alias("_c")).filter("_c > 0")
     )
-    return hits.groupBy(*by).agg(
+    sizes = counted.groupBy(*by).agg(F.sum("_c").alias("n"))
+    placed = running(counted, list(by), ["_v"], magnitude(F.col("_v")), {"_hi": ("sum", F.col("_c"))})
+    joined = placed.join(sizes, list(by)) if by else placed.join(F.broadcast(sizes))
+    here = lambda rank: (rank < F.col("_hi")) & (rank >= F.col("_hi") - F.col("_c"))
+    return joined.groupBy(*by).agg(
         F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_stat") == k, F.col("_v"))).alias(k) for k in ranks],
+        *[F.max(F.when(here(r), F.col("_v"))).alias(k) for k, r in ranks.items()],
     )

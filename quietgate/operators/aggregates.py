@@ -265,38 +265,31 @@ def token_audit(df: DataFrame, by: Sequence[str], tokens: str = "tokens") -> Dat
 
 def margin_diagnostic(preds: DataFrame) -> DataFrame:
     """Per automatic label: median right score, highest wrong score, right scores above it."""
-    rows = preds.filter(F.col("prediction").isin("match", "no_match")).select(
-        F.col("prediction").alias("label"),
-        score_of(F.col("prediction")).alias("score"),
-        (F.col("gold") == F.col("prediction")).alias("right"),
-    )
+    label, right = F.col("prediction"), F.col("gold") == F.col("prediction")
+    rows = preds.select(label.alias("label"), score_of(label).alias("score"), right.alias("right"))
     # Both labels appear even when a side is empty.
-    wrong = rows.agg(
+    top = rows.agg(
         *[
             F.coalesce(
-                F.max(F.when((F.col("label") == label) & ~F.col("right"), F.col("score"))),
+                F.max(F.when((F.col("label") == x) & ~F.col("right"), F.col("score"))),
                 F.lit(0.0),
-            ).alias(label)
-            for label in ("match", "no_match")
+            ).alias(x)
+            for x in ("match", "no_match")
         ]
-    )
-    top = wrong.select(
+    ).select(
         F.explode(
-            F.create_map(
-                F.lit("match"), F.col("match"), F.lit("no_match"), F.col("no_match")
-            )
+            F.create_map(F.lit("match"), F.col("match"), F.lit("no_match"), F.col("no_match"))
         ).alias("label", "highest_wrong")
     )
     n = F.col("n")
+    good = rows.withColumn("_good", F.when(F.col("right"), F.col("score")))
     mid = order_statistics(
-        rows.filter("right"), ["label"], "score",
-        {"_lo": F.floor((n - 1) / 2), "_hi": F.floor(n / 2)},
-    ).select("label", ((F.col("_lo") + F.col("_hi")) / 2).alias("median_right"))
+        good, ["label"], "_good", {"_lo": F.floor((n - 1) / 2), "_hi_mid": F.floor(n / 2)}
+    ).select("label", ((F.col("_lo") + F.col("_hi_mid")) / 2).alias("median_right"))
     above = (
-        rows.filter("right")
-        .join(F.broadcast(top), "label")
+        good.join(F.broadcast(top), "label")  # two rows
         .groupBy("label")
-        .agg(F.count_if(F.col("score") > F.col("highest_wrong")).alias("right_above"))
+        .agg(F.count_if(F.col("_good") > F.col("highest_wrong")).alias("right_above"))
     )
     return (
         top.join(mid, "label", "left")

@@ -95,10 +95,9 @@ def split_histograms(rows):
 
 @CATALOG.add(
     "corpus",
-    sql="""SELECT split, policy_id, language, gold, min(id) AS id FROM corpus GROUP BY ALL
-    QUALIFY language = CASE WHEN (dense_rank() OVER (ORDER BY policy_id) - 1) % 2 = 1 THEN 'ko' ELSE 'en' END""".replace(
-        "split, policy_id", "policy_id"
-    ),
+    sql="""WITH r AS (SELECT policy_id, dense_rank() OVER (ORDER BY policy_id) - 1 AS rank FROM (SELECT DISTINCT policy_id FROM corpus) x)
+    SELECT c.policy_id, c.language, c.gold, min(c.id) AS id FROM corpus c JOIN r ON r.policy_id = c.policy_id
+    WHERE c.language = CASE WHEN rank % 2 = 1 THEN 'ko' ELSE 'en' END GROUP BY c.policy_id, c.language, c.gold""",
 )
 def stratified_probe(rows):
     return corpus.stratified_probe(corpus_frame(rows)).select("policy_id", "language", "gold", "id")
@@ -285,7 +284,10 @@ def _questions(rows):
         F.explode(F.array(F.lit("ko"), F.lit("en"))).alias("policy_language"),
         F.concat(F.lit("Q:"), "policy_id").alias("question"),
         F.array(F.lit(""), F.lit("Please judge. ")).alias("prefixes"),
-        F.lit("match,no_match,insufficient").alias("choices"),
+        F.create_map(
+            F.lit("match"), F.lit("yes"), F.lit("no_match"), F.lit("no"),
+            F.lit("insufficient"), F.lit("unclear"),
+        ).alias("choices"),
     )
 
 
