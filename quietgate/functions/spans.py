@@ -51,7 +51,10 @@ def rule_hits_raw(text: Column, rule: str) -> Column:
     Gaps and consumed lengths give exact offsets later without a position function. A
     look-ahead rule consumes one character per match; a capture ends where its match ends.
     """
-    spec, prio = RULES_BY_ID[rule], F.lit(RULE_IDS.index(rule))
+    spec, prio, gate = RULES_BY_ID[rule], F.lit(RULE_IDS.index(rule)), _gate(text, RULES_BY_ID[rule])
+    if rule not in _NUMBER_RULES:
+        # A digit this JVM does not know would look like a word boundary. Gated, so rarely run.
+        text = known_digits(text)
     pattern = F.lit(spec.pattern)
     group = F.lit(0 if spec.kind in ("match", "cards") else 1)
     gaps = F.split(text, spec.pattern, -1)
@@ -76,7 +79,7 @@ def rule_hits_raw(text: Column, rule: str) -> Column:
             ),
         ),
     )
-    return F.when(_gate(text, spec), hits).otherwise(F.array().cast(HIT_TYPE))
+    return F.when(gate, hits).otherwise(F.array().cast(HIT_TYPE))
 
 
 def _card_spans(hit: Column, begin: Column) -> Column:
@@ -221,18 +224,34 @@ def resolve_overlaps(spans: Column) -> Column:
 _BUILT: dict[tuple, Column] = {}
 
 
+def _declared(kind: str, text: str, wanted: tuple | None, build) -> Column:
+    key = (SparkContext._active_spark_context.applicationId, kind, text, wanted)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def kept_spans(text: Column | str, enabled: Iterable[str] | None = None) -> Column:
     """Resolved spans in text order; an empty array for NULL or empty text."""
     if isinstance(text, str):
         wanted = None if enabled is None else tuple(sorted(enabled))
-        key = (SparkContext._active_spark_context.applicationId, text, wanted)
-        if key not in _BUILT:
-            _BUILT[key] = kept_spans(F.col(text), wanted)
-        return _BUILT[key]
+        return _declared("spans", text, wanted, lambda: kept_spans(F.col(text), wanted))
     safe = F.coalesce(text, F.lit(""))
     return resolve_overlaps(candidate_spans(safe, enabled))
 
 
+def rules_in_each(strings: str) -> Column:
+    """Sorted set of rule ids over an array of strings, each scanned by itself."""
+    return _declared(
+        "each",
+        strings,
+        None,
+        lambda: F.array_sort(
+            F.array_distinct(F.flatten(F.transform(strings, lambda s: rules_in(s))))
+        ),
+    )
+
+
 def _by_prio(values: list[str], prio: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), prio + 1)
 

@@ -107,52 +107,61 @@ def _conflicting_reports(events: DataFrame) -> DataFrame:
         .filter(F.col("_lo") != F.col("_hi"))
         .select(*key)
     )
-    copies = (
+    copies = cut(
         events.join(contested, key, "left_semi")
         .groupBy(*key, "report_id", "received_at")
         .agg(F.min("_h").alias("_h"), F.max("_h").alias("_hi"))
         .withColumn("_at", F.struct("received_at", "report_id"))
     )
     torn = copies.filter(F.col("_h") != F.col("_hi")).select("report_id").distinct()
-    open_ = cut(copies.join(torn, "report_id", "left_anti").drop("_hi"))
-    rejected = cut(torn)
+    open_ = copies.join(torn, "report_id", "left_anti").drop("_hi")
+    rejected = torn
     while not open_.isEmpty():
         lead = open_.groupBy(*key).agg(
             F.min("_at").alias("_lead"), F.min_by("_h", "_at").alias("_lead_h")
         )
+        led = open_.join(lead, key)
         rival = (
-            open_.join(lead, key)
-            .filter(F.col("_h") != F.col("_lead_h"))
+            led.filter(F.col("_h") != F.col("_lead_h"))
             .groupBy(*key)
             .agg(F.min("_at").alias("_rival"))
         )
         waiting = (
-            open_.join(lead, key)
-            .join(rival, key, "left")
+            led.join(rival, key, "left")
             .filter((F.col("_h") != F.col("_lead_h")) | (F.col("_rival") < F.col("_at")))
             .select("report_id")
             .distinct()
+            .withColumn("_waits", F.lit(True))
         )
-        accepted = cut(open_.join(waiting, "report_id", "left_anti"))
-        stored = accepted.groupBy(*key).agg(F.min("_h").alias("_s"))
-        left = open_.join(accepted.select("report_id").distinct(), "report_id", "left_anti")
-        beaten = cut(
-            left.join(stored, key)
+        marked = open_.join(waiting, "report_id", "left")
+        stored = (
+            marked.filter(F.col("_waits").isNull()).groupBy(*key).agg(F.min("_h").alias("_s"))
+        )
+        beaten = (
+            marked.filter("_waits")
+            .join(stored, key)
             .filter(F.col("_h") != F.col("_s"))
             .select("report_id")
             .distinct()
+            .withColumn("_beaten", F.lit(True))
         )
-        open_ = cut(left.join(beaten, "report_id", "left_anti"))
-        rejected = rejected.union(beaten)
+        judged = cut(marked.join(beaten, "report_id", "left"))
+        rejected = rejected.union(judged.filter("_beaten").select("report_id"))
+        open_ = judged.filter("_waits and _beaten is null").drop("_waits", "_beaten")
     return rejected.distinct()
 
 
-def accept_reports(reports: DataFrame, devices: DataFrame, policies: DataFrame) -> DataFrame:
+def accept_reports(
+    reports: DataFrame,
+    devices: DataFrame,
+    policies: DataFrame,
+    stored: DataFrame | None = None,
+) -> DataFrame:
     """Add ``accepted`` and ``reject_reason`` per report: one bad part rejects all of it.
 
     A report is read in arrival order against what accepted reports stored before it, so an
     event's first accepted payload is the one retries are compared with. Rejected reports, for
-    whatever reason, store nothing.
+    whatever reason, store nothing. ``stored`` holds events accepted by earlier runs.
     """
     live = devices.filter(F.col("revoked_at").isNull()).select("device_id", F.lit(True).alias("_live"))
     known = policies.select(F.col("revision").alias("_rev"), F.lit(True).alias("_known"))
@@ -195,7 +204,19 @@ def accept_reports(reports: DataFrame, devices: DataFrame, policies: DataFrame)
         .join(alone.filter(F.col("_alone").isNull()).select("report_id"), "report_id", "left_semi")
         .select("report_id", "device_id", "event_id", "received_at", "_h")
     )
-    clash = _conflicting_reports(hashed).withColumn("_clash", F.lit(True))
+    if stored is None:
+        clash = _conflicting_reports(hashed)
+    else:
+        old = stored.select("device_id", "event_id", payload_hash().alias("_s"))
+        against = (
+            hashed.join(old, ["device_id", "event_id"])
+            .filter(F.col("_h") != F.col("_s"))
+            .select("report_id")
+            .distinct()
+        )
+        rest = hashed.join(against, "report_id", "left_anti")
+        clash = _conflicting_reports(rest).unionByName(against).distinct()
+    clash = clash.withColumn("_clash", F.lit(True))
     return alone.join(clash, "report_id", "left").select(
         *reports.columns,
         F.coalesce(

@@ -55,28 +55,27 @@ def rule_actions(events: DataFrame, policy_rules: DataFrame) -> DataFrame:
     )
 
 
-def _cover(lo: Column, hi: Column) -> Column:
-    """Canonical power-of-two blocks covering ``[lo, hi)``: at most two per level below the top."""
-    per_level = []
-    for k in range(_TOP + 1):
-        size = 1 << k
-        first, last = F.ceil(lo / size).cast("long"), F.floor(hi / size).cast("long")
-        block = lambda i, k=k: F.struct(F.lit(k).alias("level"), i.alias("block"))
-        none = F.array().cast("array<struct<level:int,block:bigint>>")
-        if k == _TOP:
-            per_level.append(
-                F.when(
-                    first < last, F.transform(F.sequence(first, last - 1), lambda i: block(i))
-                ).otherwise(none)
-            )
-            continue
-        # A block is canonical when its parent does not fit: odd first, even last.
-        left = F.when((first < last) & (first % 2 == 1), F.array(block(first))).otherwise(none)
-        right = F.when(
-            (first < last) & (last % 2 == 1), F.array(block(last - 1))
-        ).otherwise(none)
-        per_level.append(F.array_union(left, right))
-    return F.flatten(F.array(*per_level))
+def _cover(lo: str, hi: str) -> Column:
+    """Canonical power-of-two blocks covering ``[lo, hi)``: at most two per level below the top.
+
+    Below the top level a block is used when its parent does not fit: an odd first block and an
+    odd end. What remains in between is covered one level up.
+    """
+    return F.expr(
+        f"""
+        flatten(transform(sequence(0, {_TOP}), k -> transform(
+          filter(
+            CASE WHEN k = {_TOP} AND ceil({lo} / power(2, k)) < floor({hi} / power(2, k))
+                   THEN sequence(ceil({lo} / power(2, k)), floor({hi} / power(2, k)) - 1)
+                 WHEN k < {_TOP} AND ceil({lo} / power(2, k)) < floor({hi} / power(2, k))
+                   THEN array_distinct(array(
+                     CASE WHEN ceil({lo} / power(2, k)) % 2 = 1 THEN ceil({lo} / power(2, k)) END,
+                     CASE WHEN floor({hi} / power(2, k)) % 2 = 1 THEN floor({hi} / power(2, k)) - 1 END))
+                 ELSE array() END,
+            b -> b IS NOT NULL),
+          b -> named_struct('level', k, 'block', cast(b as bigint)))))
+        """
+    )
 
 
 def policy_segments(policies: DataFrame, bucket: int = 3600) -> DataFrame:
@@ -90,7 +89,7 @@ def policy_segments(policies: DataFrame, bucket: int = 3600) -> DataFrame:
         "revision", (F.col("issued_at") - 60).alias("lo"), F.col("expires_at").alias("hi")
     ).filter("lo < hi")
     index = (
-        usable.select("revision", F.explode(_cover(F.col("lo"), F.col("hi"))).alias("b"))
+        usable.select("revision", F.explode(_cover("lo", "hi")).alias("b"))
         .groupBy("b.level", "b.block")
         .agg(F.max("revision").alias("revision"))
     )

@@ -46,12 +46,9 @@ def _rules_in_strings(df: DataFrame, strings: str, readable: Column) -> DataFram
     would swallow its neighbours; then every string is scanned by itself.
     """
     joined = df.withColumn("_joined", F.when(readable, F.array_join(strings, _BREAK)))
-    alone = F.array_sort(
-        F.array_distinct(F.flatten(F.transform(strings, lambda s: S.rules_in(s))))
-    )
     return joined.withColumn(
         "_rules",
-        F.when(F.contains("_joined", F.lit("-----BEGIN ")), alone).when(
+        F.when(F.contains("_joined", F.lit("-----BEGIN ")), S.rules_in_each(strings)).when(
             F.col("_joined").isNotNull(), S.rules_in("_joined")
         ),
     ).drop("_joined")
