@@ -76,7 +76,7 @@ def inspect_requests(df: DataFrame) -> DataFrame:
     parsed = read.withColumn(
         "_parts",
         F.when(blank, empty)
-        .when(refused_ascii, F.lit(None))
+        .when(body.isNull() | refused_ascii, F.lit(None))
         .when(kind == "application/json", F.array_append(T.json_strings(body), body))
         .when(kind == "text/plain", F.array(body))
         .when(kind == "application/x-www-form-urlencoded", T.form_parts(body, ascii_only)),
