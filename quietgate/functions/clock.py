@@ -12,3 +12,12 @@ def micros(df: DataFrame, column: str) -> Column:
     if isinstance(df.schema[column].dataType, T.TimestampNTZType):
         return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01'"), F.col(column))
     return F.unix_micros(column)
+
+
+def instant(df: DataFrame, column: str, value) -> Column:
+    """A time literal of the column's own type, so that the comparison reaches the scan.
+
+    Left to itself a literal is zoned; comparing it with an unzoned column casts the column,
+    and a cast column is not pushed down.
+    """
+    return F.lit(value).cast(df.schema[column].dataType)

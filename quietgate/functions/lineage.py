@@ -1,10 +1,11 @@
-"""Cutting the lineage of iterative jobs in storage every executor can read."""
+"""Storing intermediate results where every executor can read them."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,3 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quietgate-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A control table, stored and counted, and broadcast only if it has at most ``rows`` rows.
+
+    Estimates of a derived table's size are far too high after joins and explodes, so the large
+    side would be shuffled for nothing. Above the bound the optimizer chooses as usual.
+    """
+    stored = cut(df)
+    return F.broadcast(stored) if stored.count() <= rows else stored

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import instant
 from ..functions.running import order_statistics
 from ..functions.scores import LABELS, gate, routed, score_of
 
@@ -20,7 +21,7 @@ def overview_counts(events: DataFrame) -> DataFrame:
 
 
 def stats(events: DataFrame, since) -> DataFrame:
-    return events.filter(F.col("ts") >= F.lit(since)).agg(
+    return events.filter(F.col("ts") >= instant(events, "ts", since)).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("severity").isNotNull()).alias("detected"),
         F.count_if(F.col("severity").isin("critical", "high")).alias("high"),
@@ -30,7 +31,7 @@ def stats(events: DataFrame, since) -> DataFrame:
 
 def by_service(events: DataFrame, since) -> DataFrame:
     return (
-        events.filter(F.col("ts") >= F.lit(since))
+        events.filter(F.col("ts") >= instant(events, "ts", since))
         .groupBy("service")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -51,7 +52,7 @@ def host_snapshot(events: DataFrame, host: str) -> DataFrame:
 def fleet_status(devices: DataFrame, current_revision: Column | int, as_of) -> DataFrame:
     """Connected within 30 s, waiting for the current revision, total and revoked."""
     live = F.col("revoked_at").isNull()
-    now = F.lit(as_of).cast("timestamp")
+    now = instant(devices, "last_seen", as_of)
     seen = F.col("last_seen") > now - F.expr("INTERVAL 30 SECONDS")
     current = F.lit(current_revision) if isinstance(current_revision, int) else current_revision
     return devices.agg(

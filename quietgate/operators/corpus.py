@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import running
 from ..functions.scores import LABELS
 from .aggregates import split_manifest
 from .joins import corpus_leak, split_overlap
@@ -330,16 +331,15 @@ def strip_text(df: DataFrame, *texts: str) -> DataFrame:
 def stratified_probe(corpus: DataFrame) -> DataFrame:
     """First row of each policy and gold label, the language alternating by policy.
 
-    Policies are few; their rank comes from the distinct list, and the row per stratum is a
-    partial-aggregated ``min_by``.
+    The row per stratum is a partial-aggregated ``min_by``.
     """
     cols = corpus.columns
     first = corpus.groupBy("policy_id", "gold", "language").agg(
         F.min_by(F.struct(*cols), "id").alias("_row")
     )
-    policies = corpus.agg(F.array_sort(F.collect_set("policy_id")).alias("_all"))
-    rank = F.array_position("_all", F.col("policy_id")) - 1
-    wanted = F.when(rank % 2 == 1, "ko").otherwise("en")
-    return (
-        first.join(F.broadcast(policies)).filter(F.col("language") == wanted).select("_row.*")
+    policies = running(
+        corpus.select("policy_id").distinct(), [], ["policy_id"],
+        F.substring("policy_id", 1, 1), {"_rank": ("sum", F.lit(1))},
     )
+    wanted = F.when(F.col("_rank") % 2 == 0, "ko").otherwise("en")
+    return first.join(policies, "policy_id").filter(F.col("language") == wanted).select("_row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import instant
 from ..functions.rules import RULE_IDS
 from ..functions.text import language_of  # noqa: F401  (re-exported)
 
@@ -30,7 +31,7 @@ def get_event(events: DataFrame, event_id: int, key: str = "id") -> DataFrame:
 
 def since(events: DataFrame, ts) -> DataFrame:
     """Events at or after ``ts``; the predicate reaches the Parquet scan."""
-    return events.filter(F.col("ts") >= F.lit(ts))
+    return events.filter(F.col("ts") >= instant(events, "ts", ts))
 
 
 def event_reject_reason() -> Column:
@@ -90,12 +91,13 @@ def latest_policy(policies: DataFrame) -> DataFrame:
 
 
 def active_sessions(sessions: DataFrame, as_of) -> DataFrame:
-    return sessions.filter(F.col("expires_at") > F.lit(as_of))
+    return sessions.filter(F.col("expires_at") > instant(sessions, "expires_at", as_of))
 
 
 def usable_tokens(tokens: DataFrame, as_of) -> DataFrame:
     """Enrolment tokens that are unexpired, unused and not revoked."""
-    out = tokens.filter((F.col("expires_at") > F.lit(as_of)) & F.col("used_at").isNull())
+    unexpired = F.col("expires_at") > instant(tokens, "expires_at", as_of)
+    out = tokens.filter(unexpired & F.col("used_at").isNull())
     if "revoked_at" in tokens.columns:
         out = out.filter(F.col("revoked_at").isNull())
     return out

@@ -1,7 +1,7 @@
 """Joins between events, devices, policies, queues and predictions.
 
-No join is forced to broadcast: control tables are small enough for the optimizer's own size
-check, and when one is not, adaptive execution splits the skewed side.
+Control tables are broadcast only after they were counted (see ``sized``). Every other choice is
+left to the optimizer's size check, and adaptive execution splits a skewed side.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import sized
+
 # Largest time block of the interval index: 2**20 seconds, above the 7-day policy lifetime.
 _TOP = 20
 
@@ -46,7 +48,7 @@ def rule_actions(events: DataFrame, policy_rules: DataFrame) -> DataFrame:
 
     The map (at most one entry per rule) is joined, so events are never exploded or regrouped.
     """
-    maps = policy_maps(policy_rules).withColumnRenamed("revision", "policy_revision")
+    maps = sized(policy_maps(policy_rules).withColumnRenamed("revision", "policy_revision"))
     none = F.create_map().cast("map<string,string>")
     return (
         events.join(maps, "policy_revision", "left")
@@ -124,8 +126,10 @@ def policy_segments(policies: DataFrame, bucket: int = 3600) -> DataFrame:
 
 def policy_asof(events: DataFrame, policies: DataFrame, bucket: int = 3600) -> DataFrame:
     """Add the policy in force at each event's ``ts_s``: ``in_force`` (0 when none) and ``in_force_rules``."""
-    segments = policy_segments(policies, bucket).join(
-        policies.select("revision", F.col("rules").alias("in_force_rules")), "revision"
+    segments = sized(
+        policy_segments(policies, bucket).join(
+            policies.select("revision", F.col("rules").alias("in_force_rules")), "revision"
+        )
     )
     keyed = events.withColumn("bucket", F.floor(F.col("ts_s") / bucket).cast("long"))
     e, s = keyed.alias("e"), segments.alias("s")
@@ -151,7 +155,7 @@ def applicable_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
         .drop("scenarios", "destinations", "enabled")
         .withColumnRenamed("id", "policy_id")
     )
-    return requests.join(named, ["scenario_id", "destination"])
+    return requests.join(sized(named), ["scenario_id", "destination"])
 
 
 def unknown_revisions(events: DataFrame, policies: DataFrame) -> DataFrame:

@@ -243,9 +243,12 @@ def first_duplicate_wins(df: DataFrame, keys: Sequence[str], order: str | Column
     """
     cols = df.columns
     by = F.col(order) if isinstance(order, str) else order
-    tagged = df.withColumn("_order", by)
+    # Grouping by a digest keeps long key texts from being shuffled twice. Struct fields that
+    # are NULL are left out of JSON, so NULL and any string stay apart.
+    digest = F.sha2(F.to_json(F.struct(*keys)), 256)
     return (
-        tagged.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        df.withColumn("_order", by)
+        .groupBy(digest.alias("_key"))
         .agg(F.min_by(F.struct(*cols), "_order").alias("_row"))
         .select("_row.*")
     )

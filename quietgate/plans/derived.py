@@ -1,7 +1,8 @@
 """Inputs of the registered queries, derived from the driver tables.
 
 Each derivation is one SQL text that Spark and DuckDB both run, so a query and its oracle start
-from the same rows. ``@secs(x)`` is whole seconds since 2024-01-01 in either dialect.
+from the same rows. In either dialect ``@secs(x)`` is whole seconds since 2024-01-01 and
+``@each('a,b')`` one row per list entry.
 """
 
 from __future__ import annotations
@@ -18,9 +19,6 @@ BASE = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-_RULE_VALUES = ", ".join(f"('{r}', {i})" for i, r in enumerate(RULE_IDS))
-
-
 def _scored(name: str, m: int, n: int, i: int, keep: int, extra: str = "") -> str:
     """Three-way scores from modular arithmetic; the gold label is favoured except every ``keep``th."""
     return f"""
@@ -111,10 +109,10 @@ TEMPLATES: dict[str, str] = {
     ) p
     """,
     "policy_rules": f"""
-    SELECT p.revision, r.rule,
-           CASE WHEN (p.revision + r.idx) % 3 = 0 THEN 'monitor' ELSE 'block' END AS action
-    FROM {{policies}} p CROSS JOIN (SELECT * FROM (VALUES {_RULE_VALUES}) AS t(rule, idx)) r
-    WHERE (p.revision + r.idx) % 10 <> 7
+    SELECT revision, rule,
+           CASE WHEN (revision + length(rule)) % 3 = 0 THEN 'monitor' ELSE 'block' END AS action
+    FROM (SELECT revision, @each('{",".join(RULE_IDS)}') AS rule FROM {{policies}}) p
+    WHERE (revision + length(rule)) % 10 <> 7
     """,
     # A second, partly different copy of events: retries, conflicts and new ids.
     "resent": """
@@ -312,10 +310,11 @@ TEMPLATES: dict[str, str] = {
     ) p
     """,
     "content_scores": """
-    SELECT s.doc_id AS request_id, p.policy_id, s.prediction AS choice, s.p_match AS match,
-           CASE WHEN s.doc_id % 89 = 0 THEN s.p_no_match + 0.5 ELSE s.p_no_match END AS no_match,
-           s.p_insufficient AS insufficient
-    FROM {preds} s JOIN (SELECT DISTINCT policy_id FROM {gold}) p ON (s.doc_id + length(p.policy_id)) % 13 <> 0
+    SELECT doc_id AS request_id, score_policy AS policy_id, prediction AS choice, p_match AS match,
+           CASE WHEN doc_id % 89 = 0 THEN p_no_match + 0.5 ELSE p_no_match END AS no_match,
+           p_insufficient AS insufficient
+    FROM (SELECT s.*, @each('customer_records,commercial_terms,hr_records,strategic_finance') AS score_policy FROM {preds} s) x
+    WHERE (doc_id + length(score_policy)) % 13 <> 0
     """,
 }
 
@@ -326,7 +325,11 @@ def dependencies(name: str) -> list[str]:
     return list(dict.fromkeys(_DEPENDS.findall(TEMPLATES[name])))
 
 
+_EACH = re.compile(r"@each\(('[^']*')\)")
+
+
 def _spark_sql(text: str) -> str:
+    text = _EACH.sub(r"explode(split(\1, ','))", text)
     return re.sub(
         r"@secs\((\w+)\)",
         r"timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', cast(\1 as timestamp_ntz))",
@@ -336,6 +339,7 @@ def _spark_sql(text: str) -> str:
 
 def _duck_sql(text: str) -> str:
     plain = _DEPENDS.sub(r"\1", text).replace("{{", "{").replace("}}", "}")
+    plain = _EACH.sub(r"unnest(string_split(\1, ','))", plain)
     return re.sub(
         r"@secs\((\w+)\)", r"date_diff('second', TIMESTAMP '2024-01-01 00:00:00', \1)", plain
     )
