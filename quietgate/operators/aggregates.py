@@ -268,35 +268,50 @@ def margin_diagnostic(preds: DataFrame) -> DataFrame:
     """Per automatic label: median right score, highest wrong score, right scores above it."""
     label, right = F.col("prediction"), F.col("gold") == F.col("prediction")
     rows = preds.select(label.alias("label"), score_of(label).alias("score"), right.alias("right"))
-    # Both labels appear even when a side is empty.
+    # Two labels, two numbers each: one row per pass, read as scalars, so both labels appear
+    # even when a side is empty.
+    sides = ("match", "no_match")
     top = rows.agg(
         *[
             F.coalesce(
                 F.max(F.when((F.col("label") == x) & ~F.col("right"), F.col("score"))),
                 F.lit(0.0),
             ).alias(x)
-            for x in ("match", "no_match")
+            for x in sides
+        ]
+    )
+    above = rows.agg(
+        *[
+            F.count_if(
+                (F.col("label") == x) & F.col("right") & (F.col("score") > top.select(x).scalar())
+            ).alias(x)
+            for x in sides
         ]
-    ).select(
-        F.explode(
-            F.create_map(F.lit("match"), F.col("match"), F.lit("no_match"), F.col("no_match"))
-        ).alias("label", "highest_wrong")
     )
     n = F.col("n")
-    good = rows.withColumn("_good", F.when(F.col("right"), F.col("score")))
     mid = order_statistics(
-        good, ["label"], "_good", {"_lo": F.floor((n - 1) / 2), "_hi_mid": F.floor(n / 2)}
-    ).select("label", ((F.col("_lo") + F.col("_hi_mid")) / 2).alias("median_right"))
-    above = (
-        good.join(F.broadcast(top), "label")  # two rows
-        .groupBy("label")
-        .agg(F.count_if(F.col("_good") > F.col("highest_wrong")).alias("right_above"))
-    )
+        rows.withColumn("_good", F.when(F.col("right"), F.col("score"))),
+        ["label"],
+        "_good",
+        {"_lo": F.floor((n - 1) / 2), "_mid": F.floor(n / 2)},
+    ).select("label", ((F.col("_lo") + F.col("_mid")) / 2).alias("median_right"))
     return (
-        top.join(mid, "label", "left")
-        .join(above, "label", "left")
+        above.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(x).alias("label"),
+                            top.select(x).scalar().alias("highest_wrong"),
+                            F.col(x).alias("right_above"),
+                        )
+                        for x in sides
+                    ]
+                )
+            )
+        )
+        .join(mid, "label", "left")
         .na.fill(0.0, ["median_right"])
-        .na.fill(0, ["right_above"])
     )
 
 

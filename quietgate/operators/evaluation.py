@@ -51,7 +51,10 @@ def row_problem(tol: float = 1e-5) -> Column:
 
 def validate_scores(preds: DataFrame, tol: float = 1e-5) -> DataFrame:
     """Violations ``(id, problem)``: bad rows, repeated ids, and an entry for an empty input."""
-    rows = preds.select("id", row_problem(tol).alias("problem")).filter("problem is not null")
+    # Tested after an explode: a pushed-down filter would evaluate every check twice.
+    rows = preds.select(
+        "id", F.explode_outer(F.array(row_problem(tol))).alias("problem")
+    ).filter("problem is not null")
     repeated = (
         preds.groupBy("id")
         .agg(F.count(F.lit(1)).alias("n"))

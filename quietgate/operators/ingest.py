@@ -184,7 +184,7 @@ def accept_reports(
         .distinct()
         .withColumn("_bad_event", F.lit(True))
     )
-    alone = (
+    alone = cut(
         shaped.join(live, "device_id", "left")
         .join(used, "report_id", "left")
         .join(bad_event, "report_id", "left")
@@ -197,8 +197,9 @@ def accept_reports(
                 F.when(F.col("_unknown"), "unknown_revision"),
             ),
         )
+        .select("report_id", "_alone")
     )
-    hashed = (
+    hashed = cut(
         flat.filter(F.col("event_id").isNotNull())
         .withColumn("_h", payload_hash())
         .join(alone.filter(F.col("_alone").isNull()).select("report_id"), "report_id", "left_semi")
@@ -217,7 +218,7 @@ def accept_reports(
         rest = hashed.join(against, "report_id", "left_anti")
         clash = _conflicting_reports(rest).unionByName(against).distinct()
     clash = clash.withColumn("_clash", F.lit(True))
-    return alone.join(clash, "report_id", "left").select(
+    return reports.join(alone, "report_id").join(clash, "report_id", "left").select(
         *reports.columns,
         F.coalesce(
             F.col("_alone"), F.when(F.col("_clash"), "event_conflict")

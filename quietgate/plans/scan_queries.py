@@ -129,10 +129,30 @@ _single("email_hits", "email", "documents", ["doc_id"], f"regexp_matches(text, '
 _single("phone_hits", "kr_phone", "planted", ["doc_id"], f"regexp_matches(text, '{_PHONE}')")
 _single("card_luhn_hits", "credit_card", "documents", ["doc_id"], has_card("text"))
 _single("rrn_hits", "kr_rrn", "planted", ["doc_id"], has_rrn("text"))
-_single(
-    "conversation_email_hits", "email", "conversations", ["conv_id", "turn"],
-    f"regexp_matches(text, '{_EMAIL}')",
+
+
+@CATALOG.add(
+    "pages", sql=f"SELECT page_id, rules FROM ({rules_sql('pages', 'html', 'html', 'page_id')}) f"
+)
+def page_rule_hits(pages):
+    return scan.rule_hits(pages, "html").select(
+        "page_id", F.array_join("rules", ",").alias("rules")
+    )
+
+
+@CATALOG.add(
+    "requests",
+    sql=f"SELECT conv_id, turn FROM requests WHERE regexp_matches(replace(path, '%40', '@') || ' ' || text, '{_EMAIL}')",
 )
+def conversation_email_hits(requests):
+    """Chat turns with an address in the text or in the decoded path they were sent to."""
+    turns = requests.select(
+        "conv_id", "turn", F.concat_ws(" ", F.replace("path", F.lit("%40"), F.lit("@")), "text").alias("text")
+    )
+    hits = scan.rule_hits(turns, enabled=["email"]).select("conv_id", "turn", "rules")
+    return scan.each(hits, "rules", "rule", "conv_id", "turn").select("conv_id", "turn")
+
+
 _single(
     "pem_blocks", "private_key", "planted", ["doc_id"],
     f"regexp_matches(text, '{_TOKENS['private_key']}')",

@@ -22,9 +22,27 @@ MAX_CELLS = 50000
 TEXT_SUFFIXES = ["txt", "md", "csv", "tsv", "json"]
 
 
+# Only tables between these sizes are ever spread; a large one already has splits enough.
+SPREAD_BYTES = (4 << 20, 1 << 30)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small stored table to all cores when it has fewer splits than cores.
+
+    A file with one row group is one task, however much work its rows are. Columns and filters
+    are still pruned below the exchange.
+    """
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if not SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1]:
+        return scan
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits < cores else scan
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table stored as Parquet: one file or a directory of files."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
