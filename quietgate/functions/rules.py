@@ -94,6 +94,14 @@ RULES: list[Rule] = [
     ),
 ]
 
+# Strings scanned together are joined by this character, which no rule can match. A key block is
+# the only rule that could run past it, so joined text uses a pattern that stops there.
+JOINT = "\x01"
+JOINED_KEY_BLOCK = (
+    r"-----BEGIN ((?:RSA |EC |OPENSSH |DSA |ENCRYPTED )?PRIVATE KEY)-----"
+    r"[^\x01]*?(?:-----END \1-----|(?=\x01)|\z)"
+)
+
 RULE_IDS = [r.rule for r in RULES]
 RULES_BY_ID = {r.rule: r for r in RULES}
 

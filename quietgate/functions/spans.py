@@ -15,7 +15,16 @@ from pyspark.sql import functions as F
 
 from .arrays import let, running_max, running_sum
 from .digits import DIGIT, ascii_digits, known_digits, luhn_ok, rrn_ok
-from .rules import RULE_IDS, RULES, RULES_BY_ID, SEVERITIES, SEVERITY_RANK, Rule
+from .rules import (
+    JOINED_KEY_BLOCK,
+    JOINT,
+    RULE_IDS,
+    RULES,
+    RULES_BY_ID,
+    SEVERITIES,
+    SEVERITY_RANK,
+    Rule,
+)
 
 SPAN_TYPE = "array<struct<start:int,end:int,prio:int>>"
 
@@ -45,7 +54,7 @@ def _gate(text: Column, rule: Rule) -> Column:
 HIT_TYPE = "array<struct<prio:int,value:string,lead:int,used:int>>"
 
 
-def rule_hits_raw(text: Column, rule: str) -> Column:
+def rule_hits_raw(text: Column, rule: str, joined: bool = False) -> Column:
     """Matches of one rule: matched value, gap before it and characters consumed by it.
 
     Gaps and consumed lengths give exact offsets later without a position function. A
@@ -55,9 +64,10 @@ def rule_hits_raw(text: Column, rule: str) -> Column:
     if rule not in _NUMBER_RULES:
         # A digit this JVM does not know would look like a word boundary. Gated, so rarely run.
         text = known_digits(text)
-    pattern = F.lit(spec.pattern)
+    source = JOINED_KEY_BLOCK if joined and rule == "private_key" else spec.pattern
+    pattern = F.lit(source)
     group = F.lit(0 if spec.kind in ("match", "cards") else 1)
-    gaps = F.split(text, spec.pattern, -1)
+    gaps = F.split(text, source, -1)
     whole = F.regexp_extract_all(text, pattern, F.lit(0)) if spec.kind == "capture" else None
     hits = let(
         F.struct(
@@ -138,11 +148,16 @@ _NUMBER = rf"(?U){DIGIT}(?:[-\s]?{DIGIT}){{9}}"
 _NUMBER_RULES = {"kr_rrn", "credit_card", "kr_phone"}
 
 
-def candidate_spans(text: Column, enabled: Iterable[str] | None = None) -> Column:
-    """All candidates. A rule left out here cannot shadow another rule's span."""
+def candidate_spans(
+    text: Column, enabled: Iterable[str] | None = None, joined: bool = False
+) -> Column:
+    """All candidates. A rule left out here cannot shadow another rule's span.
+
+    ``joined`` says the text is several strings put together by ``join_strings``.
+    """
     wanted = set(RULE_IDS if enabled is None else enabled)
     none = F.array().cast(f"array<{HIT_TYPE}>")
-    words = [rule_hits_raw(text, r) for r in RULE_IDS if r in wanted - _NUMBER_RULES]
+    words = [rule_hits_raw(text, r, joined) for r in RULE_IDS if r in wanted - _NUMBER_RULES]
     numbers = [r for r in RULE_IDS if r in wanted & _NUMBER_RULES]
     per_rule = F.array(*words) if words else none
     if numbers:
@@ -224,31 +239,27 @@ def resolve_overlaps(spans: Column) -> Column:
 _BUILT: dict[tuple, Column] = {}
 
 
-def _declared(kind: str, text: str, wanted: tuple | None, build) -> Column:
-    key = (SparkContext._active_spark_context.applicationId, kind, text, wanted)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
-
-
-def kept_spans(text: Column | str, enabled: Iterable[str] | None = None) -> Column:
+def kept_spans(
+    text: Column | str, enabled: Iterable[str] | None = None, joined: bool = False
+) -> Column:
     """Resolved spans in text order; an empty array for NULL or empty text."""
     if isinstance(text, str):
         wanted = None if enabled is None else tuple(sorted(enabled))
-        return _declared("spans", text, wanted, lambda: kept_spans(F.col(text), wanted))
+        key = (SparkContext._active_spark_context.applicationId, text, wanted, joined)
+        if key not in _BUILT:
+            _BUILT[key] = kept_spans(F.col(text), wanted, joined)
+        return _BUILT[key]
     safe = F.coalesce(text, F.lit(""))
-    return resolve_overlaps(candidate_spans(safe, enabled))
+    return resolve_overlaps(candidate_spans(safe, enabled, joined))
 
 
-def rules_in_each(strings: str) -> Column:
-    """Sorted set of rule ids over an array of strings, each scanned by itself."""
-    return _declared(
-        "each",
-        strings,
-        None,
-        lambda: F.array_sort(
-            F.array_distinct(F.flatten(F.transform(strings, lambda s: rules_in(s))))
-        ),
+def join_strings(strings: Column | str) -> Column:
+    """One text in which every string is scanned as if alone.
+
+    The joint is first replaced inside the strings by its neighbour, which rules treat alike.
+    """
+    return F.array_join(
+        F.transform(strings, lambda s: F.replace(s, F.lit(JOINT), F.lit("\x02"))), JOINT
     )
 
 

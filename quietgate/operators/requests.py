@@ -15,10 +15,6 @@ MAX_BODY_BYTES = 1024 * 1024
 MAX_PATH_BYTES = 16384
 METHODS = ["GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS"]
 
-# A control character no rule's pattern can match: joining strings with it scans each alone.
-_BREAK = "\x01"
-
-
 def request_guard(df: DataFrame) -> DataFrame:
     """Add ``guard``: the first contract or size violation, NULL when the request may be read."""
     contract = ["id", "host", "method", "path", "content_type", "body"]
@@ -40,18 +36,10 @@ def media_type(df: DataFrame, content_type: str = "content_type") -> DataFrame:
 
 
 def _rules_in_strings(df: DataFrame, strings: str, readable: Column) -> DataFrame:
-    """Add ``_rules``: the rules over a set of strings, each taken alone; NULL unless readable.
-
-    One pass over the joined text is the same thing unless a key block is open-ended, which
-    would swallow its neighbours; then every string is scanned by itself.
-    """
-    joined = df.withColumn("_joined", F.when(readable, F.array_join(strings, _BREAK)))
-    return joined.withColumn(
-        "_rules",
-        F.when(F.contains("_joined", F.lit("-----BEGIN ")), S.rules_in_each(strings)).when(
-            F.col("_joined").isNotNull(), S.rules_in("_joined")
-        ),
-    ).drop("_joined")
+    """Add ``_rules``: the rules over a set of strings, each as if alone; NULL unless readable."""
+    joined = df.withColumn("_joined", F.when(readable, S.join_strings(strings)))
+    found = S.rules_of(S.kept_spans("_joined", joined=True))
+    return joined.withColumn("_rules", F.when(F.col("_joined").isNotNull(), found)).drop("_joined")
 
 
 def inspect_requests(df: DataFrame) -> DataFrame:

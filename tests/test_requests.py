@@ -100,6 +100,23 @@ def test_paths_and_contract(spark, host, method, path, body, expect):
     assert req.inspect_requests(df).first().reason == expect
 
 
+def test_joined_strings_are_scanned_alone(spark):
+    import random
+
+    from quietgate.functions import spans as S
+    from tests import bruteforce
+    from tests.test_scan import PIECES
+
+    rng = random.Random(12)
+    rows = [
+        [["".join(rng.choices(PIECES + ["\x01"], k=rng.randint(0, 5))) for _ in range(rng.randint(1, 4))]]
+        for _ in range(800)
+    ]
+    df = spark.createDataFrame(rows, "s array<string>").withColumn("t", S.join_strings("s"))
+    for r in df.select("s", S.rules_of(S.kept_spans("t", joined=True)).alias("rules")).collect():
+        assert r.rules == sorted({f[0] for s in r.s for f in bruteforce.detect(s)}), r.s
+
+
 def test_percent_decode(spark):
     values = ["a%41", "%EF%BF%BD", "�", "%C3%EF%BF%BD", "%F0%9F%98%80", "a+b", "%+1"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
