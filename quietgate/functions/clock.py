@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,4 +22,8 @@ def instant(df: DataFrame, column: str, value) -> Column:
     Left to itself a literal is zoned; comparing it with an unzoned column casts the column,
     and a cast column is not pushed down.
     """
-    return F.lit(value).cast(df.schema[column].dataType)
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampNTZType) and isinstance(value, dt.datetime):
+        # Spelled out, so that neither Python's nor the session's time zone shifts it.
+        return F.lit(value.isoformat(sep=" ")).cast(kind)
+    return F.lit(value).cast(kind)

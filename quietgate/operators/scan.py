@@ -68,9 +68,14 @@ def redact(df: DataFrame, text: str = "text", enabled: Iterable[str] | None = No
     return marked.withColumn(text, S.redacted(F.col(text), F.col("findings"))).drop("findings")
 
 
-def masked_preview(df: DataFrame, text: str = "text", limit: int = 400) -> DataFrame:
+def masked_preview(
+    df: DataFrame,
+    text: str = "text",
+    limit: int = 400,
+    enabled: Iterable[str] | None = None,
+) -> DataFrame:
     """Replace ``text`` by a bounded masked preview."""
-    marked = findings(df, text)
+    marked = findings(df, text, enabled)
     return marked.withColumn(
         "preview", S.preview(F.col(text), F.col("findings"), limit)
     ).drop("findings", text)

@@ -177,7 +177,7 @@ TEMPLATES: dict[str, str] = {
     "acks": "SELECT event_id FROM {managed} WHERE n % 3 = 1",
     "audit_log": """
     SELECT device_id AS log_id, event_id, bytes FROM (
-      SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY n) AS event_id,
+      SELECT device_id, cast(row_number() OVER (PARTITION BY device_id ORDER BY n) as bigint) AS event_id,
              200 + n * 7919 % 900 AS bytes, n
       FROM {managed}
     ) a WHERE n % 41 <> 0

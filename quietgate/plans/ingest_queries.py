@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from ..functions.clock import instant
 from ..operators import ingest, joins, windows
 from .catalog import Catalog
 from .policy_queries import with_maps
@@ -11,16 +14,20 @@ from .report_queries import rule_array
 
 CATALOG = Catalog()
 
+MID_MONTH = dt.datetime(2024, 1, 16)
+
 
 @CATALOG.add(
     "resent", "managed",
     sql="""WITH b AS (SELECT device_id, event_id, count(*) AS copies, min(body_len) AS lo, max(body_len) AS hi FROM resent GROUP BY ALL)
     SELECT b.device_id, b.event_id, copies, CASE WHEN lo <> hi OR (m.event_id IS NOT NULL AND m.body_len <> lo) THEN 'conflict'
       WHEN m.event_id IS NOT NULL THEN 'retry' ELSE 'new' END AS status
-    FROM b LEFT JOIN (SELECT * FROM managed WHERE n % 2 = 0) m ON m.device_id = b.device_id AND m.event_id = b.event_id""",
+    FROM b LEFT JOIN (SELECT * FROM managed WHERE received_at < TIMESTAMP '2024-01-16') m ON m.device_id = b.device_id AND m.event_id = b.event_id""",
 )
-def idempotent_events(batch, stored):
-    return ingest.idempotent_events(rule_array(batch), rule_array(stored.filter("n % 2 = 0")))
+def idempotent_events(batch, events):
+    """A resent batch against what had been stored by mid-month."""
+    stored = events.filter(F.col("received_at") < instant(events, "received_at", MID_MONTH))
+    return ingest.idempotent_events(rule_array(batch), rule_array(stored))
 
 
 def report_frame(rows):
@@ -91,7 +98,7 @@ def accepted_ids(rows, devices, policies):
 
 @CATALOG.add(
     "report_rows",
-    sql="""SELECT device_id, max(received_at) AS last_seen, CASE WHEN arg_max(day, received_at) % 7 = 3 THEN 2 ELSE 0 END AS applied_revision,
+    sql="""SELECT device_id, max(received_at) AS last_seen, cast(CASE WHEN arg_max(day, received_at) % 7 = 3 THEN 2 ELSE 0 END as bigint) AS applied_revision,
       CASE WHEN arg_max(day, received_at) % 2 = 0 THEN 'running' ELSE 'starting' END AS engine_state
     FROM report_rows GROUP BY device_id""",
 )

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.clock import instant
 from ..functions.rules import RULE_IDS
 from ..functions.running import running
 from ..operators import aggregates, filters, ingest, joins, sorts
@@ -156,7 +157,9 @@ def usable_tokens(tokens, uses):
     state = tokens.join(first, "token", "left").select(
         "token",
         (F.col("issued_at") + F.expr("INTERVAL 15 MINUTES")).alias("expires_at"),
-        F.when(F.col("used_at") <= F.lit(dt.datetime(2024, 1, 25)), F.col("used_at")).alias("used_at"),
+        F.when(
+            F.col("used_at") <= instant(uses, "used_at", dt.datetime(2024, 1, 25)), F.col("used_at")
+        ).alias("used_at"),
     )
     return filters.usable_tokens(state, SINCE).select("token")
 

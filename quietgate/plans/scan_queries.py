@@ -259,13 +259,15 @@ def finding_metadata(docs):
 
 @CATALOG.add(
     "documents",
-    sql=r"""SELECT doc_id, CASE WHEN length(t) > 400 THEN left(t, 400) || '…' ELSE t END AS preview FROM (
-      SELECT doc_id, trim(regexp_replace(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS t
-      FROM documents WHERE NOT regexp_matches(text, '@|[0-9]{3}')) x""",
+    sql=r"""WITH cut AS (SELECT doc_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b') AS m,
+        regexp_split_to_array(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b') AS g FROM documents),
+    masked AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] ||
+        CASE WHEN i <= len(m) THEN left(m[i], 2) || repeat('*', length(m[i]) - 4) || right(m[i], 2) ELSE '' END), '') AS text FROM cut),
+    flat AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS t FROM masked)
+    SELECT doc_id, CASE WHEN length(t) > 400 THEN left(t, 400) || '…' ELSE t END AS preview FROM flat""",
 )
 def masked_preview(docs):
-    clean = docs.filter(~F.col("text").rlike("@|[0-9]{3}"))
-    return scan.masked_preview(clean.select("doc_id", "text"))
+    return scan.masked_preview(docs.select("doc_id", "text"), enabled=["email"])
 
 
 @CATALOG.add(
