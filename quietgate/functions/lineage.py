@@ -4,17 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder named by ``spark.checkpoint.dir``.
-
-    A lost executor then costs a re-read, not the iterations so far. Only a local session
-    without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names; only a local session gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
             folder = tempfile.mkdtemp(prefix="quietgate-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint: a lost executor then costs a re-read, not the iterations so far."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import load
 from .derived import frame, with_clause
 
 def _filtered_counts(sql: str) -> str:
@@ -34,14 +35,14 @@ class Catalog:
         self.queries: dict[str, Query] = {}
         self.oracles: dict[str, str] = {}
 
-    def add(self, *inputs: str, sql: str | None = None, name: str | None = None):
+    def add(self, *inputs: str, sql: str | None = None, name: str | None = None, read=load):
         def register(build: Callable[..., DataFrame]):
             key = name or build.__name__
             if key in self.queries:
                 raise ValueError(f"query registered twice: {key}")
 
             def run(spark: SparkSession, folder: str) -> DataFrame:
-                return build(*[frame(spark, folder, i) for i in inputs])
+                return build(*[frame(spark, folder, i, read) for i in inputs])
 
             self.queries[key] = run
             if sql is not None:

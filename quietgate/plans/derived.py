@@ -8,6 +8,7 @@ from the same rows. In either dialect ``@secs(x)`` is whole seconds since 2024-0
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -345,11 +346,13 @@ def _duck_sql(text: str) -> str:
     )
 
 
-def frame(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A base table or a derived one."""
+def frame(
+    spark: SparkSession, folder: str, name: str, read: Callable[..., DataFrame] = load
+) -> DataFrame:
+    """A base table or a derived one; ``read`` may hand out streams instead."""
     if name in BASE:
-        return load(spark, folder, name)
-    inputs = {d: frame(spark, folder, d) for d in dependencies(name)}
+        return read(spark, folder, name)
+    inputs = {d: frame(spark, folder, d, read) for d in dependencies(name)}
     return spark.sql(_spark_sql(TEMPLATES[name]), **inputs)
 
 

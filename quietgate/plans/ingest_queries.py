@@ -202,9 +202,7 @@ def audit_check(log):
     return ingest.audit_check(log, 30000).select("log_id", "event_id", "problem")
 
 
-@CATALOG.add(
-    "attempts",
-    sql="""WITH RECURSIVE a AS MATERIALIZED (SELECT account, attempt_id, epoch_us(ts) AS t,
+THROTTLE_SQL = """WITH RECURSIVE a AS MATERIALIZED (SELECT account, attempt_id, epoch_us(ts) AS t,
         row_number() OVER (PARTITION BY account ORDER BY ts, attempt_id) AS rn FROM attempts),
     walk AS (
       SELECT account, cast(0 as bigint) AS rn, cast(-1 as bigint) AS attempt_id, false AS admitted, cast([] as bigint[]) AS seen FROM a WHERE rn = 1
@@ -214,8 +212,10 @@ def audit_check(log):
           THEN list_append(list_filter(w.seen, lambda s: a.t - s < 3600000000), a.t)
           ELSE list_filter(w.seen, lambda s: a.t - s < 3600000000) END
       FROM walk w JOIN a ON a.account = w.account AND a.rn = w.rn + 1)
-    SELECT account, attempt_id, admitted FROM walk WHERE rn > 0""",
-)
+    SELECT account, attempt_id, admitted FROM walk WHERE rn > 0"""
+
+
+@CATALOG.add("attempts", sql=THROTTLE_SQL)
 def attempt_throttle(attempts):
     return windows.attempt_throttle(attempts, 3, 3600)
 

@@ -7,6 +7,7 @@ ever, the stream form remembers for its watermark delay, and says so.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import spans as S
 from ..functions.clock import micros
+from ..functions.lineage import shared_folder
 from ..operators.decide import effective_action
 from ..operators.ingest import payload_hash
 from ..operators.requests import inspect_requests
@@ -207,3 +209,23 @@ def latest_state_sink(path: str):
         newest.select("s.*").write.mode("overwrite").parquet(f"{path}/generation={epoch}")
 
     return write
+
+
+def run_available(stream: DataFrame) -> DataFrame:
+    """Run an append stream over what has arrived, into files, and read the result back.
+
+    The result and its progress go to a new folder beside the checkpoints, so the job can be
+    restarted and nothing passes through the driver.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    query = (
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
