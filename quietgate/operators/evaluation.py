@@ -513,8 +513,9 @@ def profile_binding(profile: DataFrame, preds: DataFrame) -> DataFrame:
     model_revision and policies_hash.
     """
     seen = preds.groupBy("model_revision", "policies_hash").agg(F.count(F.lit(1)).alias("rows"))
-    bound = seen.join(
-        F.broadcast(profile.select(F.col("model_revision").alias("_m"), F.col("policies_hash").alias("_p")))
+    # Scalars: a profile of more than one row is an error, not a cross product.
+    bound = seen.withColumn("_m", profile.select("model_revision").scalar()).withColumn(
+        "_p", profile.select("policies_hash").scalar()
     )
     mismatch = bound.select(
         F.when(F.col("_m") != F.col("model_revision"), "model_revision_mismatch")

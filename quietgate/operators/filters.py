@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import instant
 from ..functions.rules import RULE_IDS
-from ..functions.text import language_of  # noqa: F401  (re-exported)
+from ..functions.text import language_of  # noqa: F401 - part of this module's interface
 
 # Domains of a managed event.
 EVENT_METHODS = ["GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "CONNECT", "TRACE"]
