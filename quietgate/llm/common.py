@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, shared_folder
 
 #: A partition's number starts at this bit of ``monotonically_increasing_id``.
 _PARTITION_BIT = 33
@@ -85,3 +87,55 @@ def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in found:
         found[key] = make()
     return found[key]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet in the shared folder and read again: compressed, read column by column."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: A Bloom filter of longs has at most so many bits, whatever the number of longs (8 MiB).
+BLOOM_BITS = 26
+_BLOOM_HASHES = 4
+
+
+def _bloom_places(values: np.ndarray, bits: int, i: int) -> np.ndarray:
+    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) | 1)
+    mixed = values.astype(np.uint64) * odd
+    return (mixed ^ (mixed >> np.uint64(29))) * odd >> np.uint64(64 - bits)
+
+
+def long_bloom(rows: DataFrame, column: str) -> np.ndarray:
+    """Words of a Bloom filter of a long column, of 16 bits a value up to ``2^BLOOM_BITS`` bits.
+
+    Its size is bounded, so it may be broadcast; what it passes must be tested exactly later,
+    and a filter too small for its values only passes more.
+    """
+    n = rows.agg(F.approx_count_distinct(column)).first()[0]
+    bits = min(BLOOM_BITS, max(16, (16 * n).bit_length()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
+        for batch in batches:
+            values = batch.column(0).to_numpy()
+            at = np.concatenate([_bloom_places(values, bits, i) for i in range(_BLOOM_HASHES)])
+            words, mask = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+            yield record(schema, (words.astype(np.int64), mask.view(np.int64)))
+
+    placed = rows.select(column).mapInArrow(place, "word long, bits long")
+    found = placed.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def in_bloom(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bits = int(len(words)).bit_length() + 5
+    found = np.ones(len(values), bool)
+    for i in range(_BLOOM_HASHES):
+        at = _bloom_places(values, bits, i)
+        found &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+    return found

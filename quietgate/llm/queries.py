@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, secrets, spotsigs, topk, toxicity, urls
+from . import language, packing, secrets, spotsigs, suffixes, topk, toxicity, urls
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(table(spark, folder, "embeddings"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.summary(table(spark, folder, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return urls.judge(pages, urls.listed_pages(pages))
@@ -52,7 +56,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_spotsigs, op3_best_fit_packing, op4_exact_top_k, op7_url_filter,
+        op1_secret_scan, op2_spotsigs, op3_best_fit_packing, op4_exact_top_k, op5_suffix_array_dedup,
+        op7_url_filter,
         op9_language_id, op10_toxicity,
     )
 }
