@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, secrets, spotsigs, suffixes, topk, toxicity, urls
+from . import language, near, packing, secrets, spotsigs, suffixes, topk, toxicity, urls
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, urls.listed_pages(pages))
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(language.fold_of(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -57,7 +61,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_spotsigs, op3_best_fit_packing, op4_exact_top_k, op5_suffix_array_dedup,
-        op7_url_filter,
+        op7_url_filter, op8_near_duplicates,
         op9_language_id, op10_toxicity,
     )
 }
