@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, packing, secrets, spotsigs, suffixes, topk, toxicity, urls
+from . import language, near, packing, pieces, secrets, spotsigs, suffixes, topk, toxicity, urls
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.summary(table(spark, folder, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digest(pieces.encode(table(spark, folder, "documents")))
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return urls.judge(pages, urls.listed_pages(pages))
@@ -61,8 +65,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_spotsigs, op3_best_fit_packing, op4_exact_top_k, op5_suffix_array_dedup,
-        op7_url_filter, op8_near_duplicates,
-        op9_language_id, op10_toxicity,
+        op6_sentencepiece, op7_url_filter, op8_near_duplicates, op9_language_id, op10_toxicity,
     )
 }
 ORACLES: dict[str, str] = {"op4_exact_top_k": topk.SQL, "op7_url_filter": urls.SQL}
