@@ -13,9 +13,7 @@ one of merges, without probabilities, and frequencies fall about so with the ran
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,32 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, remembered
+from .common import record, remembered, slices
 from .suffixes import _mix
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 RANK_OFFSET = 10
 THETA = 1.0
-#: Log weight of one byte of a character that is no piece by itself.
-BYTE_WEIGHT = -12.0
-#: Words whose forward sums a worker remembers.
-_REMEMBERED = 60_000
-
-#: For each end of an edge into a node, by node: start, pieces, and the probability up to it.
-Table = list[list[tuple[int, tuple[int, ...], float]]]
+#: Weight of one byte of a character that is no piece by itself.
+BYTE_WEIGHT = 1e-5
+#: A word of more characters is cut after each so many; pieces do not cross the cut.
+LONGEST_WORD = 4096
+#: Edges of words whose forward sums a worker remembers, bytes of text sampled together, and
+#: characters of words filtered together.
+_EDGES, _SLICE, _CELLS = 3_000_000, 1 << 20, 1 << 15
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+#: The first character of a word's key: a blank stands before it, or it goes on after a cut.
+_BLANK, _GOES_ON = SPACE, "+"
 
 
 class Vocabulary:
-    """Pieces, their weights and their bytes; special pieces and runs of blanks are not used."""
+    """Pieces by the hash of their characters, their weights and their bytes.
+
+    Special pieces and runs of blanks are not used.
+    """
 
     def __init__(self, path: str, theta: float = THETA) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.weight: dict[str, tuple[int, float]] = {}
         self.raw: list[bytes] = []
-        self.byte_ids = [0] * 256
+        self.byte_ids = np.zeros(256, np.int32)
+        self.weight: dict[str, tuple[int, float]] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             self.raw.append(piece.replace(SPACE, " ").encode())
@@ -59,85 +64,30 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i):
                 self.raw[i] = b""
             elif SPACE not in piece[1:]:
-                rank = max(0.0, -model.get_score(i))
-                self.weight[piece] = (i, -theta * math.log(rank + RANK_OFFSET))
+                self.weight[piece] = (i, (max(0.0, -model.get_score(i)) + RANK_OFFSET) ** -theta)
         self.longest = max(map(len, self.weight))
-        self.theta = theta
-        self.tables: dict[str, Table] = {}
-
-    def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """By end: start, pieces and log weight of each edge. The word starts with a blank's sign;
-        the same sign later in it is a character of the text and goes by its bytes."""
-        n = len(word)
-        into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            if start and word[start] == SPACE:
-                reach = start
-            else:
-                stop = word.find(SPACE, start + 1)
-                reach = min(n if stop < 0 else stop, start + self.longest)
-            alone = False
-            for end in range(start + 1, reach + 1):
-                found = self.weight.get(word[start:end])
-                if found is not None:
-                    into[end].append((start, (found[0],), found[1]))
-                    alone |= end == start + 1
-            if not alone:
-                raw = word[start].encode()
-                ids = tuple(self.byte_ids[b] for b in raw)
-                into[start + 1].append((start, ids, BYTE_WEIGHT * len(raw)))
-        return into
-
-    def table(self, word: str) -> Table:
-        """Forward filtering: for each node, its incoming edges with cumulative probabilities."""
-        found = self.tables.get(word)
-        if found is not None:
-            return found
-        into = self.edges(word)
-        total = [0.0] * (len(word) + 1)
-        out: Table = [[]]
-        for end in range(1, len(word) + 1):
-            logs = [total[start] + weight for start, _, weight in into[end]]
-            top = max(logs)
-            parts = [math.exp(x - top) for x in logs]
-            whole = sum(parts)
-            total[end] = top + math.log(whole)
-            upto, rows = 0.0, []
-            for (start, ids, _), part in zip(into[end], parts):
-                upto += part / whole
-                rows.append((start, ids, upto))
-            out.append(rows)
-        if len(self.tables) >= _REMEMBERED:
-            self.tables.clear()
-        if len(word) <= 64:  # long words seldom come again
-            self.tables[word] = out
+        size = LONGEST_WORD + 1
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        hashes = {}
+        for piece, (i, weight) in self.weight.items():
+            codes = np.array([[ord(c) for c in piece]], np.int64)
+            hashes[int(self.stretch(self.prefixes(codes), 0, len(piece))[0])] = (i, weight)
+        if len(hashes) < len(self.weight):
+            raise ValueError("two pieces have one hash")
+        self.hashes = np.array(sorted(hashes), np.uint64)
+        self.ids = np.array([hashes[h][0] for h in sorted(hashes)], np.int64)
+        self.weights = np.array([hashes[h][1] for h in sorted(hashes)])
+
+    def prefixes(self, codes: np.ndarray) -> np.ndarray:
+        """Prefix hashes of each row of characters."""
+        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        np.cumsum(_mix((codes + 3).astype(np.uint64)) * self.up[: codes.shape[1]], axis=1, out=out[:, 1:])
         return out
 
-    def sample(self, text: str, key: int) -> array:
-        """One segmentation of the text, drawn for the key; the empty text has none."""
-        out = array("i")
-        if not text:
-            return out
-        draws = draw(key, len(text) + 2)
-        at = 0
-        for word in text.split(" "):
-            table = self.table(SPACE + word)
-            node = len(table) - 1
-            path: list[tuple[int, ...]] = []
-            while node:
-                rows = table[node]
-                start, ids, _ = rows[-1]
-                if len(rows) > 1:
-                    u = draws[at + node]
-                    for start, ids, upto in rows:
-                        if u < upto:
-                            break
-                path.append(ids)
-                node = start
-            for ids in reversed(path):
-                out.extend(ids)
-            at += len(table) - 1
-        return out
+    def stretch(self, prefixes: np.ndarray, start, end) -> np.ndarray:
+        return _mix((prefixes[:, end] - prefixes[:, start]) * self.down[start])
 
     def decode(self, ids: list[int]) -> str:
         """The text that the pieces spell: exactly the one that was encoded."""
@@ -145,17 +95,159 @@ class Vocabulary:
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-def draw(key: int, n: int) -> list[float]:
-    """The first ``n`` uniform numbers of a key."""
-    seed = _mix(np.array([key & (1 << 64) - 1], np.uint64))
-    mixed = _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed)
-    return ((mixed >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+class Lattice:
+    """Words, and the forward-filtered edges of all of them in flat arrays.
+
+    A node's edges follow each other; ``high`` is the node's number plus the probability that its
+    path comes by this edge or one before it, so one binary search draws an edge for any node.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.high, self.back, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by word: its nodes
+
+    def learn(self, keys: list[str]) -> None:
+        """Forward filtering of new words, those of like length together."""
+        keys = sorted(keys, key=len)
+        parts: list[tuple[np.ndarray, ...]] = []
+        node = int(self.last[-1]) + 1 if len(self.last) else 0
+        at = 0
+        while at < len(keys):
+            wide = len(keys[at])
+            n = max(1, min(len(keys) - at, _CELLS // max(1, wide)))
+            while n > 1 and n * len(keys[at + n - 1]) > _CELLS:
+                n = max(1, n // 2)
+            parts.append(self._filter(keys[at : at + n], node))
+            node = int(parts[-1][4][-1]) + 1
+            at += n
+        for key in keys:
+            self.words[key] = len(self.words)
+        joined = [np.concatenate(c) for c in zip(*parts)]
+        self.high, self.back, self.piece, self.first, self.last = (
+            np.concatenate((old, new)) for old, new in zip((self.high, self.back, self.piece, self.first, self.last), joined)
+        )
+
+    def _filter(self, keys: list[str], node: int) -> tuple[np.ndarray, ...]:
+        known = self.vocabulary
+        words = [k if k[0] == _BLANK else k[1:] for k in keys]
+        n, wide = len(words), max(map(len, words))
+        size = np.array([len(w) for w in words])
+        codes = np.full((n, wide), -2, np.int64)
+        codes[np.arange(wide) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        match = np.where(codes == ord(SPACE), -1, codes)  # the text's own such sign is no blank
+        match[[k[0] == _BLANK for k in keys], 0] = ord(SPACE)
+        prefixes = known.prefixes(match)
+        most = min(known.longest, wide)
+        ids = np.full((n, wide, most), -1, np.int64)  # by word, end and length, each less one
+        weights = np.zeros((n, wide, most))
+        for length in range(1, most + 1):
+            starts = np.arange(wide - length + 1)
+            rows, cols = np.nonzero(starts + length <= size[:, None])
+            hashed = _mix((prefixes[rows, cols + length] - prefixes[rows, cols]) * known.down[cols])
+            found = np.minimum(np.searchsorted(known.hashes, hashed), len(known.hashes) - 1)
+            hit = known.hashes[found] == hashed
+            ids[rows[hit], cols[hit] + length - 1, length - 1] = known.ids[found[hit]]
+            weights[rows[hit], cols[hit] + length - 1, length - 1] = known.weights[found[hit]]
+        rows, cols = np.nonzero((ids[:, :, 0] < 0) & (np.arange(wide) < size[:, None]))
+        lone = codes[rows, cols]
+        ids[rows, cols, 0] = -2 - lone  # the character's bytes
+        weights[rows, cols, 0] = BYTE_WEIGHT ** (1 + (lone > 0x7F) + (lone > 0x7FF) + (lone > 0xFFFF))
+        total = np.zeros((n, wide + 1))
+        total[:, 0] = 1.0
+        upto = np.zeros((n, wide, most))
+        for end in range(1, wide + 1):
+            reach = min(end, most)
+            part = np.cumsum(total[:, end - reach : end][:, ::-1] * weights[:, end - 1, :reach], axis=1)
+            whole = part[:, -1]
+            total[:, end] = whole
+            upto[:, end - 1, :reach] = part / np.where(whole > 0, whole, 1.0)[:, None]
+            tiny = (whole < 1e-200) & (whole > 0)
+            if tiny.any():  # only the ratios among the last sums matter
+                total[tiny, max(0, end - most) : end + 1] *= 1e200
+        first = node + np.concatenate(([0], np.cumsum(size)[:-1]))
+        rows, ends, lengths = np.nonzero(ids != -1)
+        numbers = first[rows] + ends
+        cumulative = upto[rows, ends, lengths]
+        final = np.append(numbers[1:] != numbers[:-1], True)
+        cumulative[final] = 1.0
+        start = ends - lengths - 1
+        back = np.where(start >= 0, first[rows] + start, -1)
+        return numbers + cumulative, back, ids[rows, ends, lengths], first, first + size - 1
+
+    def sample(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all texts and where each text's start (one more than the texts).
+
+        Backward sampling of all words at once: each round draws one edge of every word that has
+        not come to its start.
+        """
+        if len(self.high) > _EDGES:
+            self.forget()
+        words = [_words(t) for t in texts]
+        new = set().union(*words) - self.words.keys()
+        if new:
+            self.learn(list(new))
+        counts = np.array([len(w) for w in words], np.int64)
+        number = np.array([self.words[w] for ws in words for w in ws], np.int64)
+        first, node = self.first[number], self.last[number]
+        starts = np.concatenate(([0], np.cumsum(counts)))
+        place = np.arange(len(number)) - np.repeat(starts[:-1], counts)
+        key = np.repeat(_mix(np.array(keys, np.int64).view(np.uint64)), counts)
+        seed = _mix(key + place.astype(np.uint64) * _GOLDEN)
+        live = np.arange(len(number))
+        steps = np.zeros(len(number), np.int64)
+        drawn: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(live):
+            mixed = _mix(seed[live] + (node - first[live] + 1).astype(np.uint64) * _GOLDEN)
+            edge = np.searchsorted(self.high, node + (mixed >> np.uint64(11)).astype(np.float64) * 2.0**-53, "right")
+            drawn.append((live, self.piece[edge]))
+            steps[live] += 1
+            node = self.back[edge]
+            live, node = live[node >= 0], node[node >= 0]
+        ends = np.cumsum(steps)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        for turn, (which, found) in enumerate(drawn):
+            out[ends[which] - 1 - turn] = found
+        return self._spell(out, np.concatenate(([0], ends))[starts])
+
+    def _spell(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece (below -1) replaced by the pieces of their bytes."""
+        lone = np.flatnonzero(ids < 0)
+        if not len(lone):
+            return ids.astype(np.int32), at
+        raws = [chr(-2 - x).encode("utf-8", "surrogatepass") for x in ids[lone].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[lone] = [len(r) for r in raws]
+        ends = np.concatenate(([0], np.cumsum(times)))
+        out = np.repeat(ids, times)
+        out[out < 0] = self.vocabulary.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
+        return out.astype(np.int32), ends[at]
+
+
+def _words(text: str) -> list[str]:
+    if not text:
+        return []
+    words = [_BLANK + w for w in text.split(" ")]
+    if max(map(len, words)) <= LONGEST_WORD:
+        return words
+    return [
+        w[i : i + LONGEST_WORD] if not i else _GOES_ON + w[i : i + LONGEST_WORD]
+        for w in words for i in range(0, len(w), LONGEST_WORD)
+    ]
 
 
 def _vocabulary(path: str, theta: float) -> Vocabulary:
     return remembered(("pieces", path, theta), lambda: Vocabulary(path, theta))
 
 
+def _lattice(path: str, theta: float) -> Lattice:
+    return remembered(("lattice", path, theta), lambda: Lattice(_vocabulary(path, theta)))
+
+
 def _path(path: str | None) -> str:
     if path is not None:
         return path
@@ -173,16 +265,14 @@ def encode(docs: DataFrame, path: str | None = None, theta: float = THETA, seed:
     where = _path(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _vocabulary(where, theta)
+        known = _lattice(where, theta)
         for batch in batches:
-            keys, texts_ = batch.column("key").to_pylist(), batch.column("text")
-            ids = [np.frombuffer(known.sample(t.as_py(), k), np.int32) for t, k in zip(texts_, keys)]
-            sizes = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), texts_, lists], names=["doc_id", "text", "ids"]
-            )
+            for part in slices(batch, "text", _SLICE):
+                ids, at = known.sample(part.column("text").to_pylist(), part.column("key").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text"), lists], names=["doc_id", "text", "ids"]
+                )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
