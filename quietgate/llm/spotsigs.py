@@ -13,6 +13,7 @@ DataFrame functions alone; nothing runs in Python.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,23 +34,43 @@ CHAIN = 3
 #: In a stretch without common words, every so many content words make an anchor.
 STRETCH = 6
 MARK = "\x01"
+#: Stands for a null id.
+_NO_ID = -(1 << 63)
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern for the words that branches by their letters, so that few branches are tried."""
+    ends = "" in words
+    heads = sorted({w[0] for w in words if w})
+    arms = [h + _trie([w[1:] for w in words if w[:1] == h]) for h in heads]
+    if not arms:
+        return ""
+    body = arms[0] if len(arms) == 1 and not ends else "(?:" + "|".join(arms) + ")"
+    return body + ("?" if ends else "")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def signatures(text: Column) -> Column:
     """The sorted distinct signatures (longs) of a text; null for a null text."""
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    common = "|".join(sorted(set(COMMON), key=lambda w: (w, len(w))))
-    marked = F.concat(F.lit(MARK), F.regexp_replace(words, rf" (?:{common})(?= )", MARK))
+    trimmed = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.array_sort(_let(F.concat(F.lit(" "), trimmed, F.lit(" ")), _of_words))
+
+
+def _of_words(words: Column) -> Column:
+    """Distinct signatures of words, each between blanks."""
+    marked = F.concat(F.lit(MARK), F.regexp_replace(words, rf" {_trie(sorted(set(COMMON)))}(?= )", MARK))
     marked = F.regexp_replace(marked, rf"((?: [^ {MARK}]++){{{STRETCH}}})(?= [^ ])", "$1" + MARK)
     chain = rf"{MARK}(?=((?: [^ {MARK}]++{MARK}*+){{1,{CHAIN}}}))"
     found = F.transform(
         F.array_distinct(F.regexp_extract_all(marked, F.lit(chain), 1)),
         lambda x: F.xxhash64(F.translate(x, MARK, "")),
     )
-    alone = F.when(F.length(F.trim(words)) > 0, F.array(F.xxhash64(words))).otherwise(
-        F.array().cast("array<long>")
-    )
-    return F.array_sort(F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(alone))
+    alone = F.when(F.trim(words) != "", F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
+    return _let(found, lambda x: F.when(F.size(x) > 0, F.array_distinct(x)).otherwise(alone))
 
 
 def spelled(signs: Column) -> Column:
@@ -64,8 +85,7 @@ def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
     and the result is 0.
     """
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    both = F.size(F.array_intersect(a, b))
-    ratio = both / (F.size(a) + F.size(b) - both)
+    ratio = _let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
     return (
         F.when(large == 0, F.lit(1.0))
         .when((small == 0) | (small < large * F.lit(least)), F.lit(0.0))
@@ -127,15 +147,12 @@ def edited(docs: DataFrame) -> DataFrame:
     floor(n/3). A null text is empty. Columns: ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, n_signatures``.
 
-    Ids and lengths alone are ranked. Texts are dealt once, by id and hash; the heads that their
-    neighbours take, a third of them at most, once more.
+    Ids and lengths alone are ranked. Texts are dealt once, by id and hash, for both joins; the
+    heads that their neighbours take, a third of them at most, once more. Signatures are made
+    again on each side rather than dealt with the texts.
     """
-    rows = texts(docs).withColumns(
-        {
-            "doc_id": F.col("doc_id").cast("long"),
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-            "_hash": F.xxhash64("text"),
-        }
+    rows = texts(docs).select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64("text").alias("_hash"), "text"
     )
     narrow = rows.select("_id", "_hash", F.floor(F.length("text") / 3).alias("_third")).distinct()
     at = ranked(narrow, [F.col("_id").desc(), F.col("_hash")], "_at")
@@ -145,21 +162,21 @@ def edited(docs: DataFrame) -> DataFrame:
         F.col("_id").alias("_to_id"), F.col("_hash").alias("_to_hash"), F.col("_third").alias("_take"),
     )
     links = at.join(takes, "_at").select("_id", "_hash", "_to_id", "_to_hash", "_take")
-    signed = rows.withColumn("signs", signatures(F.col("text")))
     heads = (
-        signed.join(links, ["_id", "_hash"])
+        rows.join(links, ["_id", "_hash"])
         .select(
             F.col("_to_id").alias("_id"), F.col("_to_hash").alias("_hash"),
             F.substring("text", F.lit(1), F.col("_take").cast("int")).alias("_head"),
-            F.col("signs").alias("_next_signs"),
+            signatures(F.col("text")).alias("_next_signs"),
         )
         .groupBy("_id", "_hash")
         .agg(F.first("_head").alias("_head"), F.first("_next_signs").alias("_next_signs"))
     )
     size = F.length("text")
     kept = F.substring("text", F.lit(1), (size - F.floor(size / 3)).cast("int"))
-    both = signed.join(heads, ["_id", "_hash"]).select(
-        "doc_id", size.cast("long").alias("n_chars"), "signs", "_next_signs",
+    both = rows.join(heads, ["_id", "_hash"]).select(
+        F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"),
+        size.cast("long").alias("n_chars"), signatures(F.col("text")).alias("signs"), "_next_signs",
         F.concat(kept, F.col("_head")).alias("_edited"),
     )
     both = both.withColumn("_edited_signs", signatures(F.col("_edited")))
