@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,13 +24,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint: a lost executor then costs a re-read, not the iterations so far."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def sized(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """A control table, stored and counted, and broadcast only if it has at most ``rows`` rows.
-
-    Estimates of a derived table's size are far too high after joins and explodes, so the large
-    side would be shuffled for nothing. Above the bound the optimizer chooses as usual.
-    """
-    stored = cut(df)
-    return F.broadcast(stored) if stored.count() <= rows else stored

@@ -60,11 +60,21 @@ def running(
 
 
 def magnitude(value: Column, steps: int = 256) -> Column:
-    """Chunk number that never decreases with ``value``: ``steps`` chunks per factor of two."""
+    """Chunk number that never decreases with ``value``: ``steps`` chunks per factor of two.
+
+    Infinities have the first and last chunk; NaN, which orders above them, one of its own.
+    """
     v = value.cast("double")
+    most = 2200 * steps
+    endless = F.abs(v) == float("inf")
     # The offset exceeds the chunk number of the smallest double, so each side of zero keeps sign.
     size = F.floor(F.log2(F.abs(v)) * steps) + 1100 * steps
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size)
+    return (
+        F.when(F.isnan(v), F.lit(most + 1))
+        .when(endless, F.when(v > 0, F.lit(most)).otherwise(F.lit(-most)))
+        .when(v == 0, F.lit(0))
+        .otherwise(F.signum(v).cast("long") * size)
+    )
 
 
 def order_statistics(

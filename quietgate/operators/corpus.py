@@ -42,6 +42,12 @@ NUMBERS = {"qty": (2, 37), "small": (2, 90), "rate": (3, 39), "day": (1, 28)}
 PORTS = [8443, 9443, 10443, 18081]
 
 
+def required(value: Column, kind: str, what: str, *keys: str) -> Column:
+    """The value, or an error that names the keys: a row is never dropped for want of a match."""
+    told = F.concat(F.lit(what + ": "), F.concat_ws(" ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys]))
+    return F.coalesce(value, F.raise_error(told).cast(kind))
+
+
 def pick(salt: str, n: Column | int, *keys: str) -> Column:
     """Deterministic number in ``[0, n)`` from the row's keys, the same on any engine."""
     size = F.lit(n) if isinstance(n, int) else n
@@ -61,12 +67,13 @@ def expand_templates(
 
     ``seeds(family, domain, split, gold, ko, en)``; ``pools(split, language, field, choices)``,
     where an empty split means any. Expansion is an explode of a small sequence per seed, and
-    each pool is looked up by an equi join.
+    each pool is looked up by an equi join. A seed of an unknown split is an error.
     """
     counts = F.create_map(*[F.lit(x) for kv in reps.items() for x in kv])
+    times = required(F.try_element_at(counts, F.coalesce("split", F.lit(""))), "int", "unknown split", "split", "family")
     rows = (
         seeds.withColumn("language", F.explode(F.array(*[F.lit(x) for x in LANGUAGES])))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), counts[F.col("split")] - 1)))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), times - 1)))
         .select(
             F.col("family").alias("source_family"),
             "domain",
@@ -171,13 +178,18 @@ def perturb(rows: DataFrame, attacks: DataFrame | None = None) -> DataFrame:
 
 
 def counterfactual(rows: DataFrame, cross: Mapping[str, str] = CROSS) -> DataFrame:
-    """Rows plus every third match row asked under a disjoint policy, where it is no match."""
+    """Rows plus every third match row asked under a disjoint policy, where it is no match.
+
+    A domain without a disjoint policy is an error.
+    """
     other = F.create_map(*[F.lit(x) for kv in cross.items() for x in kv])
     own = rows.withColumn("policy_id", F.col("domain")).withColumn("_cross", F.lit(False))
     crossed = (
         rows.filter((F.col("gold") == "match") & (F.col("i") % 3 == 0))
-        .withColumn("policy_id", other[F.col("domain")])
-        .filter(F.col("policy_id").isNotNull())
+        .withColumn(
+            "policy_id",
+            required(F.try_element_at(other, F.coalesce("domain", F.lit(""))), "string", "no cross policy", "domain"),
+        )
         .withColumn("gold", F.lit("no_match"))
         .withColumn("tags", F.array_append("tags", "counterfactual_policy"))
         .withColumn("_cross", F.lit(True))
@@ -188,7 +200,8 @@ def counterfactual(rows: DataFrame, cross: Mapping[str, str] = CROSS) -> DataFra
 def ask(rows: DataFrame, questions: DataFrame) -> DataFrame:
     """Attach the policy's question and choices, alternating its language.
 
-    ``questions(policy_id, policy_language, question, prefixes, choices)``.
+    ``questions(policy_id, policy_language, question, prefixes, choices)``; a row whose policy
+    has no question in its language is an error.
     """
     spoken = rows.withColumn(
         "policy_language",
@@ -198,8 +211,14 @@ def ask(rows: DataFrame, questions: DataFrame) -> DataFrame:
         "prefixes", pick("prefix", F.greatest(F.size("prefixes"), F.lit(1)), *ROW, "policy_id")
     )
     return (
-        spoken.join(questions, ["policy_id", "policy_language"])
-        .withColumn("question", F.concat(F.coalesce(prefix, F.lit("")), F.col("question")))
+        spoken.join(questions, ["policy_id", "policy_language"], "left")
+        .withColumn(
+            "question",
+            F.concat(
+                F.coalesce(prefix, F.lit("")),
+                required(F.col("question"), "string", "no question", "policy_id", "policy_language"),
+            ),
+        )
         .drop("prefixes")
     )
 

@@ -53,16 +53,20 @@ def _verdict(action: str, reason) -> Column:
 
 
 def facts_verdict() -> Column:
-    """Hard gates in order: NULL when none applies."""
+    """Hard gates in order: NULL when none applies.
+
+    Text is only extracted for requests that access, tool and label let through, so an
+    extraction error comes after them.
+    """
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     return (
-        F.when(F.col("extraction_error").isNotNull(), _verdict("block", F.col("extraction_error")))
-        .when(no("acl_allowed"), _verdict("block", "source_acl_denied_before_retrieval"))
+        F.when(no("acl_allowed"), _verdict("block", "source_acl_denied_before_retrieval"))
         .when(no("tool_allowed"), _verdict("block", "tool_not_delegated"))
         .when(
             F.col("document_label") == PROHIBITED_LABEL,
             _verdict("block", "label_prohibits_ai_processing"),
         )
+        .when(F.col("extraction_error").isNotNull(), _verdict("block", F.col("extraction_error")))
         .when(
             F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\A[\s\x1c-\x1f]*+\z"),
             _verdict("review", "empty_content"),
@@ -213,18 +217,23 @@ def decide(
     """Facts, then identifiers, then scored policies; finally the revision is checked again.
 
     Scores only count for requests the earlier gates let through. Text leaves the job only as a
-    digest.
+    digest. A request whose scenario and variant have no facts is blocked as ``unknown_facts``:
+    every request gets a decision.
     """
     known = facts.select(
-        "scenario_id", "variant", "destination", "document_label", "acl_allowed", "tool_allowed"
+        "scenario_id", "variant", "destination", "document_label", "acl_allowed", "tool_allowed",
+        F.lit(True).alias("_known"),
     )
-    joined = requests.join(known, ["scenario_id", "variant"])
+    joined = requests.join(known, ["scenario_id", "variant"], "left")
     if "extraction_error" not in joined.columns:
         joined = joined.withColumn("extraction_error", F.lit(None).cast("string"))
     marked = request_digest(gate_patterns(gate_facts(joined)), revision).drop("text")
     first = marked.withColumn(
         "_gate",
-        F.coalesce("facts_gate", "patterns_gate", _verdict("allow", "policy_allowed")),
+        F.coalesce(
+            F.when(F.col("_known").isNull(), _verdict("block", "unknown_facts")),
+            "facts_gate", "patterns_gate", _verdict("allow", "policy_allowed"),
+        ),
     )
     # Scored from the request keys alone: routing it through ``first`` would scan texts twice.
     scored = gate_semantic(joined, policies, scores)
@@ -253,12 +262,14 @@ def decide(
     )
 
 
-def apply_approvals(decisions: DataFrame, approvals: DataFrame, as_of) -> DataFrame:
+def apply_approvals(
+    decisions: DataFrame, approvals: DataFrame, as_of, arrived: str = "request_id"
+) -> DataFrame:
     """Let a bound human approval release a reviewed request, once.
 
     An approval counts when approved, unconsumed, unexpired and for this very digest and
-    revision. Among requests presenting it the lowest id uses it up. A request that presents an
-    approval it may not use is blocked; a block is never lifted.
+    revision. Among requests presenting it the first to arrive (by ``arrived``, then id) uses it
+    up. A request that presents an approval it may not use is blocked; a block is never lifted.
     """
     keyed = approvals.select(
         F.col("id").alias("approval_id"),
@@ -280,7 +291,9 @@ def apply_approvals(decisions: DataFrame, approvals: DataFrame, as_of) -> DataFr
             F.lit(False),
         ),
     )
-    spent = joined.filter("_fits").groupBy("approval_id").agg(F.min("request_id").alias("_user"))
+    spent = joined.filter("_fits").groupBy("approval_id").agg(
+        F.min(F.struct(F.col(arrived).alias("at"), F.col("request_id").alias("user"))).getField("user").alias("_user")
+    )
     out = joined.join(spent, "approval_id", "left")
     granted = F.coalesce(F.col("_fits") & (F.col("request_id") == F.col("_user")), F.lit(False))
     presented = F.col("approval_id").isNotNull() & (F.col("action") != "block")
@@ -297,6 +310,33 @@ def apply_approvals(decisions: DataFrame, approvals: DataFrame, as_of) -> DataFr
     )
 
 
+def pending_approvals(decisions: DataFrame, now) -> DataFrame:
+    """The approval that each reviewed request without one asks for.
+
+    Pending, for this digest and revision only, and good for ``APPROVAL_SECONDS``.
+    """
+    asked = decisions.filter((F.col("action") == "review") & F.col("approval_id").isNull())
+    return asked.select(
+        "request_id",
+        F.col("request_digest").alias("digest"),
+        F.col("policy_revision").alias("revision"),
+        F.lit("pending").alias("status"),
+        (F.lit(now) + F.make_dt_interval(secs=F.lit(APPROVAL_SECONDS))).alias("expires"),
+    )
+
+
+def resolve_approvals(approvals: DataFrame, answers: DataFrame, now) -> DataFrame:
+    """Approvals with the answers given at ``now``: only a pending, unexpired one changes.
+
+    ``answers(id, status)``: approved or denied, one for each id.
+    """
+    told = answers.select("id", F.col("status").alias("_answer"))
+    open_ = (F.col("status") == "pending") & (F.col("expires") >= F.lit(now))
+    return approvals.join(told, "id", "left").withColumn(
+        "status", F.when(open_ & F.col("_answer").isNotNull(), F.col("_answer")).otherwise(F.col("status"))
+    ).drop("_answer")
+
+
 def release_set(decisions: DataFrame, requests: DataFrame) -> DataFrame:
     """What may leave: allowed text as it is, redacted text redacted, with a receipt.
 

@@ -208,11 +208,14 @@ def family_key(family: Column, seed: int = 20261003) -> Column:
 def family_folds(preds: DataFrame, k: int = 6) -> DataFrame:
     """``(source_family, fold)``: families in hash order dealt round-robin, so folds are even.
 
-    Ranks come from chunks by hash prefix, so the family list is never sorted in one task.
+    Ranks come from chunks by hash prefix, so the family list is never sorted in one task. Fewer
+    families than folds are an error: some fold would hold nothing.
     """
-    families = preds.select("source_family").distinct().withColumn(
-        "_key", family_key(F.col("source_family"))
+    named = preds.select("source_family").distinct()
+    several = named.agg(F.count(F.lit(1)).alias("n")).select(
+        F.when(F.col("n") >= k, F.lit(True)).otherwise(F.raise_error(F.lit("too few source families")).cast("boolean"))
     )
+    families = named.filter(several.scalar()).withColumn("_key", family_key(F.col("source_family")))
     ranked = running(
         families, [], ["_key"], F.substring("_key", 1, 2), {"_rn": ("sum", F.lit(1))}
     )
@@ -446,12 +449,15 @@ def leaderboard(runs: DataFrame, base_condition: str = "original") -> DataFrame:
     """One row per model and condition: quality, gates, actions, latency and change on its base.
 
     ``runs`` holds scored rows of every run with model, condition and split; gates come from
-    calibration rows and everything else from test rows.
+    calibration rows and everything else from test rows. A run without calibration rows has its
+    gates disabled, so all it does is review.
     """
     gates = run_gates(runs)
     test = runs.filter(F.col("split") == "test")
-    acted = test.join(gates, RUN).withColumn(
-        "_action", routed(F.col("allow"), F.col("block"))
+    acted = (
+        test.join(gates, RUN, "left")
+        .withColumns({a: F.coalesce(a, F.lit(DISABLED)) for a in ACTIONS})
+        .withColumn("_action", routed(F.col("allow"), F.col("block")))
     )
     quality = acted.groupBy(*RUN).agg(
         *summary_columns(),

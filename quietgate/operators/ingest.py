@@ -256,9 +256,9 @@ def outbox_status(
     """Where each queued event stands: refused, acknowledged, or waiting in an upload batch."""
     taken = queue_capacity(queue, max_n, max_bytes)
     kept = taken.filter("accepted")
-    waiting = batches(ack_anti(kept, acks), n).select("device_id", "event_id", "batch")
+    waiting = batches(ack_anti(kept, acks), n).select("device_id", "event_id", "seq", "batch")
     return (
-        taken.join(waiting, ["device_id", "event_id"], "left")
+        taken.join(waiting, ["device_id", "event_id", "seq"], "left")
         .withColumn(
             "status",
             F.when(~F.col("accepted"), "outbox_full")

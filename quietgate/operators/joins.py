@@ -1,7 +1,7 @@
 """Joins between events, devices, policies, queues and predictions.
 
-Control tables are broadcast only after they were counted (see ``sized``). Every other choice is
-left to the optimizer's size check, and adaptive execution splits a skewed side.
+No side is hinted: the optimizer broadcasts by measured size, and adaptive execution splits a
+skewed side. Keys that are few by nature (hours) are salted.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import sized
-
 # Largest time block of the interval index: 2**20 seconds, above the 7-day policy lifetime.
 _TOP = 20
+# Fixed value: a policy expires after its issue, and at most so many seconds after it.
+LIFETIME = 7 * 24 * 3600
+# A busy hour is dealt over so many tasks; the segments of an hour are few and go to each.
+HOUR_PARTS = 16
 
 
 def events_with_device(events: DataFrame, devices: DataFrame, n: int = 200) -> DataFrame:
@@ -48,7 +50,7 @@ def rule_actions(events: DataFrame, policy_rules: DataFrame) -> DataFrame:
 
     The map (at most one entry per rule) is joined, so events are never exploded or regrouped.
     """
-    maps = sized(policy_maps(policy_rules).withColumnRenamed("revision", "policy_revision"))
+    maps = policy_maps(policy_rules).withColumnRenamed("revision", "policy_revision")
     none = F.create_map().cast("map<string,string>")
     return (
         events.join(maps, "policy_revision", "left")
@@ -80,16 +82,21 @@ def _cover(lo: str, hi: str) -> Column:
     )
 
 
+def valid_period() -> Column:
+    return F.col("expires_at").between(F.col("issued_at") + 1, F.col("issued_at") + LIFETIME)
+
+
 def policy_segments(policies: DataFrame, bucket: int = 3600) -> DataFrame:
     """Disjoint ``(bucket, lo, hi, revision)`` pieces of time with the policy in force.
 
     A revision is usable from 60 s before its issue until it expires; the highest usable one is
-    in force. Each boundary looks its revision up through an interval index (blocks keyed by
+    in force. One that does not expire after its issue, or more than ``LIFETIME`` after it, is
+    never in force, so a policy has a bounded number of hours. Each boundary looks its revision up through an interval index (blocks keyed by
     level, reduced to the highest revision), so no policy is ever paired with every boundary.
     """
-    usable = policies.select(
+    usable = policies.filter(valid_period()).select(
         "revision", (F.col("issued_at") - 60).alias("lo"), F.col("expires_at").alias("hi")
-    ).filter("lo < hi")
+    )
     index = (
         usable.select("revision", F.explode(_cover("lo", "hi")).alias("b"))
         .groupBy("b.level", "b.block")
@@ -126,16 +133,22 @@ def policy_segments(policies: DataFrame, bucket: int = 3600) -> DataFrame:
 
 def policy_asof(events: DataFrame, policies: DataFrame, bucket: int = 3600) -> DataFrame:
     """Add the policy in force at each event's ``ts_s``: ``in_force`` (0 when none) and ``in_force_rules``."""
-    segments = sized(
-        policy_segments(policies, bucket).join(
-            policies.select("revision", F.col("rules").alias("in_force_rules")), "revision"
-        )
+    segments = (
+        policy_segments(policies, bucket)
+        .join(policies.select("revision", F.col("rules").alias("in_force_rules")), "revision")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOUR_PARTS - 1))))
+    )
+    keyed = events.withColumns(
+        {
+            "bucket": F.floor(F.col("ts_s") / bucket).cast("long"),
+            "part": F.pmod(F.monotonically_increasing_id(), F.lit(HOUR_PARTS)).cast("int"),
+        }
     )
-    keyed = events.withColumn("bucket", F.floor(F.col("ts_s") / bucket).cast("long"))
     e, s = keyed.alias("e"), segments.alias("s")
     return e.join(
         s,
         (F.col("e.bucket") == F.col("s.bucket"))
+        & (F.col("e.part") == F.col("s.part"))
         & (F.col("e.ts_s") >= F.col("s.lo"))
         & (F.col("e.ts_s") < F.col("s.hi")),
         "left",
@@ -155,7 +168,7 @@ def applicable_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
         .drop("scenarios", "destinations", "enabled")
         .withColumnRenamed("id", "policy_id")
     )
-    return requests.join(sized(named), ["scenario_id", "destination"])
+    return requests.join(named, ["scenario_id", "destination"])
 
 
 def unknown_revisions(events: DataFrame, policies: DataFrame) -> DataFrame:
@@ -179,13 +192,14 @@ def revoked_filter(reports: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def ack_anti(queue: DataFrame, acks: DataFrame) -> DataFrame:
-    """Queued events not acknowledged yet."""
-    return queue.join(acks.select("event_id"), "event_id", "left_anti")
+    """Queued events that their own device has no acknowledgement of yet."""
+    return queue.join(acks.select("device_id", "event_id"), ["device_id", "event_id"], "left_anti")
 
 
 def foreign_acks(queue: DataFrame, acks: DataFrame) -> DataFrame:
-    """Acknowledged ids that were never sent; must be empty."""
-    return acks.select("event_id").join(queue.select("event_id"), "event_id", "left_anti")
+    """Acknowledgements of ids that the device never queued; must be empty."""
+    sent = queue.select("device_id", "event_id")
+    return acks.select("device_id", "event_id").join(sent, ["device_id", "event_id"], "left_anti")
 
 
 def corpus_leak(corpus: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def latest_n(df: DataFrame, ts: str, n: int, tie: str | None = None) -> DataFrame:
     """Newest ``n`` rows; planned as TakeOrderedAndProject."""
@@ -49,17 +51,28 @@ def shuffled_options(key: str, options: list[str], seed: int) -> Column:
     )
 
 
-def length_buckets(df: DataFrame, len_col: str, n: int) -> DataFrame:
-    """Range-partition by length and sort inside, so that batches of ``n`` pad little."""
-    partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = df.repartitionByRange(int(partitions), len_col).sortWithinPartitions(len_col)
-    within = F.monotonically_increasing_id()
+def length_buckets(df: DataFrame, len_col: str, key: str, n: int) -> DataFrame:
+    """Add ``batch``: rows by length, ties by ``key``, in batches of ``n``, so that batches pad little.
+
+    Rows are numbered within range partitions and those are offset by the counts before them:
+    one count a partition passes through one task, and equal lengths may span partitions.
+    """
+    order = [F.col(len_col), F.col(key)]
+    placed = cut(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
     # The low 33 bits number the rows of a partition; the high bits name the partition.
-    return ordered.withColumn("_row", within).withColumn(
-        "batch",
-        F.concat_ws(
-            "-",
-            F.shiftright("_row", 33).cast("string"),
-            F.floor(F.col("_row").bitwiseAND((1 << 33) - 1) / n).cast("string"),
-        ),
-    ).drop("_row")
+    part = F.shiftright("_row", 33)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    )
+    rank = F.col("_start") + F.col("_row").bitwiseAND((1 << 33) - 1)
+    return (
+        placed.withColumn("_part", part).join(starts, "_part")
+        .withColumn("batch", F.floor(rank / n).cast("long"))
+        .drop("_row", "_part", "_start")
+    )

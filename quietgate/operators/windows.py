@@ -168,7 +168,7 @@ def _capacity_fold(max_n: int, max_bytes: int):
                     used_n += 1
                     used_b += int(size)
                 flags.append(fits)
-            yield pdf.assign(accepted=flags)[["device_id", "event_id", "accepted"]]
+            yield pdf.assign(accepted=flags)[["device_id", "event_id", "seq", "accepted"]]
 
     return fold
 
@@ -208,13 +208,13 @@ def queue_capacity(
         .sortWithinPartitions("device_id", "seq")
     )
     schema = T.StructType(
-        [queue.schema["device_id"], queue.schema["event_id"], T.StructField("accepted", T.BooleanType())]
+        [*[queue.schema[c] for c in ("device_id", "event_id", "seq")], T.StructField("accepted", T.BooleanType())]
     )
     fitted = late.mapInPandas(_capacity_fold(max_n, max_bytes), schema).filter("accepted")
     return (
         placed.join(
-            fitted.select("device_id", "event_id", F.lit(True).alias("_late")),
-            ["device_id", "event_id"],
+            fitted.select("device_id", "event_id", "seq", F.lit(True).alias("_late")),
+            ["device_id", "event_id", "seq"],
             "left",
         )
         .withColumn("accepted", F.col("_head") | F.coalesce("_late", F.lit(False)))

@@ -100,7 +100,8 @@ TEMPLATES: dict[str, str] = {
     # One policy revision per third of a day of events; every fifth expires after two hours.
     "policies": """
     SELECT revision, issued_at,
-           issued_at + CASE WHEN revision % 5 = 4 THEN 7200 ELSE 604800 END AS expires_at
+           issued_at + CASE WHEN revision % 5 = 4 THEN 7200 WHEN revision % 9 = 5 THEN 2592000
+                            ELSE 604800 END AS expires_at
     FROM (
       SELECT slot + 1 AS revision, min(s) AS issued_at
       FROM (SELECT cast(floor(@secs(ts) / 28800.0) as bigint) AS slot, cast(@secs(ts) as bigint) AS s
@@ -175,7 +176,10 @@ TEMPLATES: dict[str, str] = {
     "queue": """
     SELECT device_id, event_id, n AS seq, 200 + n * 7919 % 900 AS bytes FROM {managed}
     """,
-    "acks": "SELECT event_id FROM {managed} WHERE n % 3 = 1",
+    # One acknowledgement in four names the event of another device.
+    "acks": """
+    SELECT CASE WHEN n % 4 = 0 THEN device_id + 1000000 ELSE device_id END AS device_id, event_id FROM {managed} WHERE n % 3 = 1
+    """,
     "audit_log": """
     SELECT device_id AS log_id, event_id, bytes FROM (
       SELECT device_id, cast(row_number() OVER (PARTITION BY device_id ORDER BY n) as bigint) AS event_id,

@@ -163,7 +163,7 @@ def batches(queue):
 
 @CATALOG.add(
     "queue", "acks",
-    sql="SELECT event_id, bytes FROM queue WHERE event_id NOT IN (SELECT event_id FROM acks)",
+    sql="SELECT event_id, bytes FROM queue q WHERE NOT EXISTS (FROM acks a WHERE a.device_id = q.device_id AND a.event_id = q.event_id)",
 )
 def ack_anti(queue, acks):
     return joins.ack_anti(queue, acks).select("event_id", "bytes")
@@ -171,7 +171,7 @@ def ack_anti(queue, acks):
 
 @CATALOG.add(
     "queue", "resent",
-    sql="SELECT event_id FROM resent WHERE event_id NOT IN (SELECT event_id FROM queue)",
+    sql="SELECT device_id, event_id FROM resent r WHERE NOT EXISTS (FROM queue q WHERE q.device_id = r.device_id AND q.event_id = r.event_id)",
 )
 def foreign_acks(queue, resent):
     return joins.foreign_acks(queue, resent)
@@ -180,7 +180,7 @@ def foreign_acks(queue, resent):
 @CATALOG.add(
     "queue", "acks",
     sql=_FOLD
-    + f""", kept AS (SELECT w.*, w.event_id IN (SELECT event_id FROM acks) AS acked FROM walk w WHERE rn > 0),
+    + f""", kept AS (SELECT w.*, EXISTS (FROM acks a WHERE a.device_id = w.device_id AND a.event_id = w.event_id) AS acked FROM walk w WHERE rn > 0),
     waiting AS (SELECT device_id, event_id, cast(floor((row_number() OVER (PARTITION BY device_id ORDER BY seq) - 1) / {UPLOAD}.0) as bigint) AS batch
       FROM kept WHERE accepted AND NOT acked)
     SELECT k.device_id, k.event_id, w.batch, CASE WHEN NOT accepted THEN 'outbox_full' WHEN w.batch IS NULL THEN 'acknowledged' ELSE 'waiting' END AS status

@@ -32,7 +32,8 @@ def policy_timeline(policies):
 
 
 _IN_FORCE = """SELECT m.*, coalesce((SELECT max(revision) FROM policies p
-      WHERE p.issued_at <= m.ts_s + 60 AND p.expires_at > m.ts_s), 0) AS in_force FROM managed m"""
+      WHERE p.issued_at <= m.ts_s + 60 AND p.expires_at > m.ts_s AND p.expires_at > p.issued_at
+        AND p.expires_at - p.issued_at <= 604800), 0) AS in_force FROM managed m"""
 
 
 @CATALOG.add(
@@ -162,10 +163,10 @@ def applicable_policies(content, facts, policies):
     )
 
 
-_FACTS = """CASE WHEN r.extraction_error IS NOT NULL THEN 'block:' || r.extraction_error
-      WHEN NOT f.acl_allowed THEN 'block:source_acl_denied_before_retrieval'
+_FACTS = """CASE WHEN NOT f.acl_allowed THEN 'block:source_acl_denied_before_retrieval'
       WHEN NOT f.tool_allowed THEN 'block:tool_not_delegated'
       WHEN f.document_label = 'ai_processing_prohibited' THEN 'block:label_prohibits_ai_processing'
+      WHEN r.extraction_error IS NOT NULL THEN 'block:' || r.extraction_error
       WHEN trim(r.text) = '' THEN 'review:empty_content' END"""
 _JOINED = "content r JOIN facts f ON f.scenario_id = r.scenario_id AND f.variant = r.variant"
 
@@ -258,6 +259,20 @@ def decide(_planted, content, facts, policies, scores):
     )
 
 
+_UNKNOWN = "(scenario_id = 'rag_acl' AND variant = 'allowed')"
+
+
+@CATALOG.add(
+    "planted", "content", "facts", "content_policies", "content_scores",
+    sql=f"""SELECT request_id, CASE WHEN {_UNKNOWN} THEN 'block' ELSE split_part(final, ':', 1) END AS action,
+      CASE WHEN {_UNKNOWN} THEN 'unknown_facts' ELSE split_part(final, ':', 2) END AS reason FROM ({_DECIDED}) x""",
+)
+def decide_unknown_facts(_planted, content, facts, policies, scores):
+    """A scenario and variant without facts: its requests are blocked, not lost."""
+    known = facts.filter(f"NOT {_UNKNOWN}")
+    return _decisions(content, known, policies, scores).select("request_id", "action", "reason")
+
+
 @CATALOG.add(
     "content", "facts",
     sql="""SELECT r.request_id, sha256('{"content":"' || sha256(r.text) || '","facts":{"acl_allowed":' || f.acl_allowed
@@ -314,6 +329,17 @@ def approval_match(_planted, content, facts, policies, scores):
     ).select("request_id", "action", "reason")
 
 
+@CATALOG.add(
+    "planted", "content", "facts", "content_policies", "content_scores",
+    sql=f"""SELECT request_id, 'pending' AS status, cast({REVISION} as bigint) AS revision,
+      TIMESTAMP '2024-01-20 00:05:00' AS expires FROM ({_DECIDED}) x WHERE final LIKE 'review:%' AND approval_id IS NULL""",
+)
+def pending_approvals(_planted, content, facts, policies, scores):
+    decided = _decisions(content, facts, policies, scores)
+    asked = dec.pending_approvals(decided, dt.datetime(2024, 1, 19, 23, 55))
+    return asked.select("request_id", "status", "revision", F.col("expires").cast("timestamp_ntz").alias("expires"))
+
+
 @CATALOG.add(
     "planted", "content", "facts", "content_policies", "content_scores",
     sql=f"""SELECT x.request_id, split_part(final, ':', 1) AS action, sha256(r.text) AS content_hash,

@@ -106,7 +106,7 @@ def test_sorts(spark):
     assert one == again != sorted(one) and sorted(one) == list(range(500))
     assert one != [r.id for r in sorts.deterministic_shuffle(df, "id", 2).collect()]
     buckets = {}
-    for r in sorts.length_buckets(df, "len", 16).collect():
+    for r in sorts.length_buckets(df, "len", "id", 16).collect():
         buckets.setdefault(r.batch, []).append(r.len)
     assert sum(map(len, buckets.values())) == 500 and max(map(len, buckets.values())) <= 16
     spans = sorted((min(v), max(v)) for v in buckets.values())
