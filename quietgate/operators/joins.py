@@ -212,6 +212,30 @@ def corpus_leak(corpus: DataFrame, benchmark: DataFrame, text: str = "text") ->
     )
 
 
+def _word_runs(text: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` blank-separated words."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.transform(words, lambda w, i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
+
+
+def passage_leak(
+    corpus: DataFrame, benchmark: DataFrame, key: str, text: str = "text", words: int = 8
+) -> DataFrame:
+    """Corpus rows (``key``) that hold a whole benchmark passage of at least ``words + 2`` words.
+
+    A passage is met by one run of its inner words, which stand between blanks wherever the
+    passage stands: an equi join of hashes, no pairs. What it meets is then tested verbatim.
+    """
+    inner = F.slice(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""), 2, words)
+    long_enough = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")) >= words + 2
+    frozen = benchmark.filter(long_enough).select(
+        F.xxhash64(F.array_join(inner, " ")).alias("_run"), F.col(text).alias("_passage")
+    )
+    runs = corpus.select(key, text, F.explode(F.array_distinct(_word_runs(F.col(text), words))).alias("_run"))
+    met = runs.join(frozen, "_run").filter(F.contains(F.col(text), F.col("_passage")))
+    return met.select(key).distinct()
+
+
 def id_coverage(preds: DataFrame, expected: DataFrame, key: str = "id") -> DataFrame:
     """One row: counts on both sides, ids missing, ids not expected, ids predicted twice."""
     a = preds.groupBy(key).agg(F.count(F.lit(1)).alias("_p"))

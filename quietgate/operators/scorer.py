@@ -39,28 +39,14 @@ def score_documents(
 ) -> DataFrame:
     """Add ``p_match``, ``p_no_match``, ``p_insufficient`` and ``prediction``.
 
-    Equal inputs are scored once: rows are reduced to distinct content before the model runs and
-    the scores are joined back by digest. Any model with a ``rawPrediction`` over the three
-    labels will do.
+    Rows are scored where they are: shuffling texts to score equal ones once costs more than the
+    model does. Any model with a ``rawPrediction`` over the three labels will do.
     """
-    keyed = df.withColumn(CONTENT, _content(text, question)).withColumn(
-        "_digest", F.sha2(CONTENT, 256)
-    )
-    distinct = keyed.groupBy("_digest").agg(F.first(CONTENT).alias(CONTENT))
-    raw = model.transform(distinct).select(
-        "_digest", vector_to_array("rawPrediction").alias("_raw")
-    )
+    keyed = df.select(F.struct(*df.columns).alias("_row"), _content(text, question).alias(CONTENT))
+    raw = model.transform(keyed).select("_row", vector_to_array("rawPrediction").alias("_raw"))
     logits = [F.get("_raw", F.lit(i)) for i in range(len(LABELS))]
-    scored = raw.select(
-        "_digest",
-        *[p.alias(P[x]) for p, x in zip(softmax(logits, temperature), LABELS)],
-    )
-    return (
-        keyed.drop(CONTENT)
-        .join(scored, "_digest")
-        .drop("_digest")
-        .withColumn("prediction", best_label())
-    )
+    scored = raw.select("_row.*", *[p.alias(P[x]) for p, x in zip(softmax(logits, temperature), LABELS)])
+    return scored.withColumn("prediction", best_label())
 
 
 def fit_scorer(

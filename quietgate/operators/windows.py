@@ -315,8 +315,24 @@ def attempt_throttle(attempts: DataFrame, limit: int = 20, seconds: int = 60) ->
     )
 
 
-def throttle_estimate(attempts: DataFrame, limit: int = 20, seconds: int = 60) -> DataFrame:
-    """Native flag that counts refused attempts too: an upper bound on what would be refused."""
-    w = Window.partitionBy("account").orderBy("_t").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    timed = attempts.withColumn("_t", micros(attempts, "ts"))
-    return timed.withColumn("over_limit", F.count(F.lit(1)).over(w) > limit).drop("_t")
+def throttle_estimate(
+    attempts: DataFrame, limit: int = 20, seconds: int = 60, chunk: int = 900
+) -> DataFrame:
+    """Native flag that counts refused attempts too: an upper bound on what would be refused.
+
+    Time is cut into chunks of at least ``chunk`` seconds; the last window of a chunk is copied
+    into the next one, so a busy account is as many tasks as it has chunks.
+    """
+    window, size = seconds * 1_000_000, max(seconds, chunk) * 1_000_000
+    at = F.floor(F.col("_t") / size)
+    cells = F.array(
+        F.struct(at.alias("chunk"), F.lit(True).alias("own")),
+        F.when(F.col("_t") > (at + 1) * size - window, F.struct((at + 1).alias("chunk"), F.lit(False).alias("own"))),
+    )
+    dealt = attempts.withColumn("_t", micros(attempts, "ts")).withColumn("_cell", F.explode(F.array_compact(cells)))
+    w = Window.partitionBy("account", "_cell.chunk").orderBy("_t").rangeBetween(-window + 1, 0)
+    return (
+        dealt.withColumn("over_limit", F.count(F.lit(1)).over(w) > limit)
+        .filter("_cell.own")
+        .drop("_t", "_cell")
+    )

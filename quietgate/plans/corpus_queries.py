@@ -64,15 +64,22 @@ def split_overlap(rows):
 
 @CATALOG.add(
     "documents", "benchmark",
-    sql="""SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN (SELECT min(text) FROM benchmark) ELSE text END AS text FROM documents) d
-    WHERE text IN (SELECT text FROM benchmark)""",
+    sql="""SELECT doc_id FROM documents WHERE text IN (SELECT text FROM benchmark)
+    UNION ALL SELECT -1 - item_id AS doc_id FROM benchmark""",
 )
 def corpus_leak(docs, benchmark):
-    leaked = benchmark.agg(F.min("text").alias("t")).select("t").scalar()
-    mixed = docs.select(
-        "doc_id", F.when(F.col("doc_id") % 10 == 0, leaked).otherwise(F.col("text")).alias("text")
-    )
-    return joins.corpus_leak(mixed, benchmark).select("doc_id")
+    """All documents as they are, and the benchmark's own items, which leak by definition."""
+    items = benchmark.select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    return joins.corpus_leak(docs.select("doc_id", "text").unionByName(items), benchmark).select("doc_id")
+
+
+@CATALOG.add(
+    "documents", "benchmark",
+    sql="""SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+    WHERE len(string_split_regex(trim(b.text), '\\s+')) >= 10""",
+)
+def passage_leak(docs, benchmark):
+    return joins.passage_leak(docs, benchmark, "doc_id").select("doc_id")
 
 
 @CATALOG.add(
@@ -141,10 +148,10 @@ def strip_text(rows):
 
 @CATALOG.add(
     "corpus",
-    sql="SELECT split, count(*) AS rows FROM corpus WHERE split IN ('train', 'test') GROUP BY split",
+    sql="SELECT split, count(*) AS rows FROM corpus GROUP BY split",
 )
 def union_splits(rows):
-    parts = [rows.filter(F.col("split") == s) for s in ("train", "test")]
+    parts = [rows.filter(F.col("split") == s) for s in ("train", "dev", "calibration", "test")]
     return sets.union_splits(*parts).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -97,13 +97,14 @@ def accepted_ids(rows, devices, policies):
 
 
 @CATALOG.add(
-    "report_rows",
-    sql="""SELECT device_id, max(received_at) AS last_seen, cast(CASE WHEN arg_max(day, received_at) % 7 = 3 THEN 2 ELSE 0 END as bigint) AS applied_revision,
+    "report_rows", "devices", "policies",
+    sql=_ACCEPT + """SELECT device_id, max(received_at) AS last_seen, cast(CASE WHEN arg_max(day, received_at) % 7 = 3 THEN 2 ELSE 0 END as bigint) AS applied_revision,
       CASE WHEN arg_max(day, received_at) % 2 = 0 THEN 'running' ELSE 'starting' END AS engine_state
-    FROM report_rows GROUP BY device_id""",
+    FROM verdict WHERE reject_reason IS NULL GROUP BY device_id""",
 )
-def device_latest(rows):
-    return ingest.device_latest(report_frame(rows)).select(
+def device_latest(rows, devices, policies):
+    judged = ingest.accept_reports(report_frame(rows), device_frame(devices), policies)
+    return ingest.device_latest(judged).select(
         "device_id", "last_seen", "applied_revision", "engine_state"
     )
 
