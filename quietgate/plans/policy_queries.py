@@ -10,7 +10,7 @@ from ..operators import decide as dec
 from ..operators import joins, windows
 from .catalog import Catalog
 from .report_queries import rule_array
-from .scan_queries import _CARD_TEXT, rules_sql
+from .scan_queries import _CARD_TEXT, marked_sql, rules_sql
 
 CATALOG = Catalog()
 
@@ -347,7 +347,7 @@ def pending_approvals(_planted, content, facts, policies, scores):
     FROM ({_DECIDED}) x JOIN content r ON r.request_id = x.request_id WHERE final LIKE 'allow:%'""",
 )
 def release_allowed(_planted, content, facts, policies, scores):
-    """Unredacted releases; redacted ones are covered by the release tests."""
+    """Unredacted releases by themselves."""
     decided = _decisions(content, facts, policies, scores)
     out = dec.release_set(decided.filter("action = 'allow'"), content)
     return out.select(
@@ -355,7 +355,16 @@ def release_allowed(_planted, content, facts, policies, scores):
     )
 
 
-@CATALOG.add("content", "facts", "content_policies", "content_scores")
-def release_set(content, facts, policies, scores):
+@CATALOG.add(
+    "planted", "content", "facts", "content_policies", "content_scores",
+    sql=f"""WITH RECURSIVE decided AS MATERIALIZED ({_DECIDED}),
+    scanned AS MATERIALIZED (SELECT r.request_id AS doc_id, r.text FROM content r JOIN decided d ON d.request_id = r.request_id
+      WHERE final LIKE 'redact:%'), {marked_sql("scanned")},
+    released AS (SELECT doc_id, t FROM marked UNION ALL SELECT r.request_id, r.text FROM content r JOIN decided d ON d.request_id = r.request_id
+      WHERE final LIKE 'allow:%')
+    SELECT d.request_id, split_part(final, ':', 1) AS action, split_part(final, ':', 2) AS reason, sha256(t) AS content_hash,
+      cast(strlen(t) as int) AS byte_count FROM released x JOIN decided d ON d.request_id = x.doc_id""",
+)
+def release_set(_planted, content, facts, policies, scores):
     decided = _decisions(content, facts, policies, scores)
     return dec.release_set(decided, content).drop("released_text", "request_digest")

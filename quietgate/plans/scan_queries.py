@@ -263,6 +263,16 @@ def kept_sql(table: str) -> str:
 _KEPT = "WITH RECURSIVE " + kept_sql("planted")
 
 
+def marked_sql(table: str) -> str:
+    """CTEs ending in ``marked(doc_id, t)``: the table's texts, redacted."""
+    return f"""{kept_sql(table)}, parts AS (
+      SELECT doc_id, list({{'s': s, 'e': e, 'r': rule}} ORDER BY s) AS f FROM kept GROUP BY doc_id),
+    marked AS (SELECT p.doc_id, CASE WHEN f IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(f) + 1), lambda i:
+        substr(text, CASE WHEN i = 1 THEN 1 ELSE f[i-1].e + 1 END, f[i].s - CASE WHEN i = 1 THEN 0 ELSE f[i-1].e END)
+          || '[REDACTED:' || f[i].r || ']'), '') || substr(text, f[len(f)].e + 1) END AS t
+      FROM {table} p LEFT JOIN parts USING (doc_id))"""
+
+
 @CATALOG.add(
     "planted",
     sql=f"""{_KEPT} SELECT doc_id, rule, {_SEVERITY} AS severity, {_MASKED} AS masked,
@@ -363,12 +373,7 @@ def known_rule_filter(events):
 
 @CATALOG.add(
     "planted",
-    sql=_KEPT + """, parts AS (
-      SELECT doc_id, list({'s': s, 'e': e, 'r': rule} ORDER BY s) AS f FROM kept GROUP BY doc_id),
-    marked AS (SELECT p.doc_id, CASE WHEN f IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(f) + 1), lambda i:
-        substr(text, CASE WHEN i = 1 THEN 1 ELSE f[i-1].e + 1 END, f[i].s - CASE WHEN i = 1 THEN 0 ELSE f[i-1].e END)
-          || '[REDACTED:' || f[i].r || ']'), '') || substr(text, f[len(f)].e + 1) END AS t
-      FROM planted p LEFT JOIN parts USING (doc_id))
+    sql="WITH RECURSIVE " + marked_sql("planted") + """
     SELECT doc_id, sha256(t) AS redacted_hash, cast(length(t) as int) AS n FROM marked""",
 )
 def redact(docs):
