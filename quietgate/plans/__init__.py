@@ -12,12 +12,13 @@ def all_catalogs():
         report_queries,
         request_queries,
         scan_queries,
+        store_queries,
         stream_queries,
     )
 
     modules = [
         scan_queries, request_queries, report_queries, policy_queries, ingest_queries,
-        corpus_queries, evaluation_queries, stream_queries,
+        corpus_queries, evaluation_queries, store_queries, stream_queries,
     ]
     catalogs = [m.CATALOG for m in modules]
     names = [n for c in catalogs for n in c.queries]
