@@ -10,7 +10,7 @@ from ..functions.lineage import shared_folder
 from ..operators import scan
 from ..sources import readers, sinks
 from .catalog import Catalog
-from .scan_queries import _CARD_TEXT, _PHONE, has_card, has_rrn
+from .scan_queries import _PHONE, has_card, has_rrn
 
 CATALOG = Catalog()
 
@@ -87,7 +87,7 @@ _ANY = "".join(_SCRIPTS)
 @CATALOG.add(
     "planted",
     sql=f"""WITH plain AS (SELECT doc_id, translate(text, '{_ANY}', '{"0123456789" * len(_SCRIPTS)}') AS text,
-      translate({_CARD_TEXT}, '{_ANY}', '{"0123456789" * len(_SCRIPTS)}') AS other FROM planted)
+      translate(CASE WHEN doc_id % 16 = 0 THEN base ELSE text END, '{_ANY}', '{"0123456789" * len(_SCRIPTS)}') AS other FROM planted)
     SELECT doc_id, concat_ws(',', CASE WHEN {has_card('other')} THEN 'credit_card' END,
       CASE WHEN regexp_matches(text, '{_PHONE}') THEN 'kr_phone' END, CASE WHEN {has_rrn('text')} THEN 'kr_rrn' END) AS rules FROM plain""",
 )
