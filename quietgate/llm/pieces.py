@@ -35,6 +35,8 @@ LONGEST_WORD = 4096
 #: Edges of words whose forward sums a worker remembers, bytes of text sampled together, and
 #: characters of words filtered together.
 _EDGES, _SLICE, _CELLS = 3_000_000, 1 << 20, 1 << 15
+#: Slots of the table of pieces' hashes.
+_SLOT_BITS = 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15
 #: The first character of a word's key: a blank stands before it, or it goes on after a cut.
@@ -79,6 +81,26 @@ class Vocabulary:
         self.hashes = np.array(sorted(hashes), np.uint64)
         self.ids = np.array([hashes[h][0] for h in sorted(hashes)], np.int64)
         self.weights = np.array([hashes[h][1] for h in sorted(hashes)])
+        slots = np.arange((1 << _SLOT_BITS) + 1, dtype=np.uint64)
+        self.slots = np.searchsorted(self.hashes >> np.uint64(64 - _SLOT_BITS), slots)
+        self.fullest = int(np.diff(self.slots).max())
+
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are a piece's, and the piece's number in order of hashes.
+
+        Most are none, and most of those fall into an empty slot.
+        """
+        slot = (hashed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        first = self.slots[slot]
+        size = self.slots[slot + 1] - first
+        some = np.flatnonzero(size)
+        found = np.full(len(hashed), -1, np.int64)
+        for i in range(self.fullest):
+            some = some[size[some] > i]
+            equal = some[self.hashes[first[some] + i] == hashed[some]]
+            found[equal] = first[equal] + i
+        at = np.flatnonzero(found >= 0)
+        return at, found[at]
 
     def prefixes(self, codes: np.ndarray) -> np.ndarray:
         """Prefix hashes of each row of characters."""
@@ -149,10 +171,9 @@ class Lattice:
             starts = np.arange(wide - length + 1)
             rows, cols = np.nonzero(starts + length <= size[:, None])
             hashed = _mix((prefixes[rows, cols + length] - prefixes[rows, cols]) * known.down[cols])
-            found = np.minimum(np.searchsorted(known.hashes, hashed), len(known.hashes) - 1)
-            hit = known.hashes[found] == hashed
-            ids[rows[hit], cols[hit] + length - 1, length - 1] = known.ids[found[hit]]
-            weights[rows[hit], cols[hit] + length - 1, length - 1] = known.weights[found[hit]]
+            hit, found = known.find(hashed)
+            ids[rows[hit], cols[hit] + length - 1, length - 1] = known.ids[found]
+            weights[rows[hit], cols[hit] + length - 1, length - 1] = known.weights[found]
         rows, cols = np.nonzero((ids[:, :, 0] < 0) & (np.arange(wide) < size[:, None]))
         lone = codes[rows, cols]
         ids[rows, cols, 0] = -2 - lone  # the character's bytes
