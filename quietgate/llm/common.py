@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +62,9 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
 
     A longer text is a run of its own; every row is in exactly one run.
     """
-    sizes = batch.column(column).cast(pa.binary()).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
-    for i, value in enumerate(sizes):
-        length = len(value) if value is not None else 0
+    for i, length in enumerate(sizes):
         if i > start and total + length > size:
             yield batch.slice(start, i - start)
             start, total = i, 0

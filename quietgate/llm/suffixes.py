@@ -19,7 +19,8 @@ sorted, about one in forty.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from functools import cmp_to_key
 
 import numpy as np
@@ -34,10 +35,10 @@ WINDOW = 400
 GRAM = 320
 MARGIN = WINDOW - GRAM
 #: Window starts of one piece of a long text, and bytes hashed together.
-_PIECE = 1 << 18
-_BUFFER = 1 << 18
+_PIECE = 1 << 17
+_BUFFER = 1 << 17
 #: First sightings of a suffix that a task remembers, to settle copies that it sees itself.
-_SIGHTED = 300_000
+_SIGHTED = 50_000
 
 # Odd multipliers of the polynomial hashes, modulo 2^64, and of the mixer.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -240,11 +241,12 @@ class Suffix:
 
     __slots__ = ("key", "other", "hashes", "tag")
 
-    def __init__(self, key: bytes, other: bytes, hashes: list[int], tag: tuple) -> None:
+    def __init__(self, key: bytes, other: bytes, hashes: Sequence[int], tag: tuple) -> None:
         self.key, self.other, self.hashes, self.tag = key, other, hashes, tag
 
 
-def prefix_hashes(keys: list[bytes]) -> list[list[int]]:
+def prefix_hashes(keys: list[bytes]) -> list[array]:
+    """Prefix hashes of each key, eight bytes each."""
     one, _ = _polynomials()
     width = max(map(len, keys), default=0)
     table = np.zeros((len(keys), width), np.uint64)
@@ -252,7 +254,7 @@ def prefix_hashes(keys: list[bytes]) -> list[list[int]]:
         table[i, : len(key)] = one.table[np.frombuffer(key, np.uint8)]
     out = np.zeros((len(keys), width + 1), np.uint64)
     np.cumsum(table * one.up[:width], axis=1, out=out[:, 1:])
-    return out.tolist()
+    return [array("Q", row.tobytes()) for row in out]
 
 
 def extension(a: Suffix, b: Suffix) -> int:
