@@ -68,4 +68,8 @@ QUERIES: dict[str, Query] = {
         op6_sentencepiece, op7_url_filter, op8_near_duplicates, op9_language_id, op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {"op4_exact_top_k": topk.SQL, "op7_url_filter": urls.SQL}
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": topk.SQL,
+    "op5_suffix_array_dedup": suffixes.SQL,
+    "op7_url_filter": urls.SQL,
+}

@@ -7,13 +7,13 @@ sorted, about one in forty.
 1. Anchors are counted by hash. One that stands once can lie in no repeated string.
 2. Where all anchors of a hash also agree in the ``MARGIN`` bytes on both sides, every string
    around them is repeated.
-3. The others are dealt by ranges of (hash, following bytes) and of (hash, preceding bytes read
-   backwards). Within a hash, a merge sort orders the suffixes; prefix polynomial hashes and
+3. The others are dealt by ranges of (hash, following bytes), of (hash, preceding bytes read
+   backwards) and of (hash, both by turns). Within a hash, a merge sort orders the suffixes; prefix polynomial hashes and
    binary search give the common extension of two of them in logarithmic time, and the bytes
-   themselves are compared to rule out collisions. Neighbours in either order share the longest
+   themselves are compared to rule out collisions. Neighbours in these orders share the longest
    extensions; a pair whose extensions add up to a whole string gives a repeated run.
 4. A string that its neighbours do not settle (its two sides have different best partners) is
-   looked up by its own bytes among all suffixes of its hash.
+   looked up by its own bytes among the suffixes of its hash that may hold it.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bloom, long_bloom, record, remembered, stored
+from .common import in_bloom, long_bloom, record, remembered, slices, stored
 
 WINDOW = 400
 GRAM = 320
@@ -37,6 +37,8 @@ MARGIN = WINDOW - GRAM
 #: Window starts of one piece of a long text, and bytes hashed together.
 _PIECE = 1 << 17
 _BUFFER = 1 << 17
+#: Bytes of text that a task takes from Arrow into Python at a time.
+_SLICE = 2 << 20
 #: First sightings of a suffix that a task remembers, to settle copies that it sees itself.
 _SIGHTED = 50_000
 
@@ -80,7 +82,7 @@ class Polynomial:
 
 def _polynomials() -> tuple[Polynomial, Polynomial]:
     size = _PIECE + _BUFFER + 4 * WINDOW
-    return remembered("polynomials", lambda: tuple(Polynomial(b, size) for b in _BASES))
+    return remembered(("polynomials", size), lambda: tuple(Polynomial(b, size) for b in _BASES))
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -178,19 +180,20 @@ def _raws(batch: pa.RecordBatch) -> list[bytes]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("gram", pa.int64()), ("context", pa.int64())])
     for batch in batches:
-        for found in _anchors(_raws(batch)):
-            yield record(schema, (found.gram, found.context))
+        for part in slices(batch, "text", _SLICE):
+            for found in _anchors(_raws(part)):
+                yield record(schema, (found.gram, found.context))
 
 
 _SETTLED, _ALIKE, _SORTED = 0, 1, 2
 _CANDIDATES = (
     "kind int, gram long, context long, gram2 long, id long, hash long, place long, low long,"
-    " high long, left binary, right binary"
+    " high long, left binary, right binary, mixed binary"
 )
 _CANDIDATE_TYPES = pa.schema(
     [("kind", pa.int32()), ("gram", pa.int64()), ("context", pa.int64()), ("gram2", pa.int64()),
      ("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()), ("low", pa.int64()),
-     ("high", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
+     ("high", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("mixed", pa.binary())]
 )
 
 
@@ -203,7 +206,7 @@ def _candidates(repeated: np.ndarray, varied: np.ndarray) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], tuple | None] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", _SLICE)):
             ids, hashes = batch.column("id").to_pylist(), batch.column("hash").to_pylist()
             for found in _anchors(_raws(batch)):
                 keep = np.flatnonzero(in_bloom(repeated, found.gram))
@@ -218,31 +221,45 @@ def _candidates(repeated: np.ndarray, varied: np.ndarray) -> Callable:
                     if key in seen:
                         first = seen[key]
                         if first is not None:
-                            rows.append((_SETTLED, *key, 0, *first, None, None))
+                            rows.append((_SETTLED, *key, 0, *first, None, None, None))
                             seen[key] = None
-                        rows.append((_SETTLED, *key, 0, *where, None, None))
+                        rows.append((_SETTLED, *key, 0, *where, None, None, None))
                         continue
                     if len(seen) >= _SIGHTED:
                         seen.clear()
                     seen[key] = where
                     if v:
-                        left = found.bytes(int(found.low_at[j]), int(found.at[j]))
+                        left = found.bytes(int(found.low_at[j]), int(found.at[j]))[::-1]
                         right = found.bytes(int(found.at[j]) + GRAM, int(found.high_at[j]))
-                        rows.append((_SORTED, *key, int(found.gram2[j]), *where, left[::-1], right))
+                        rows.append((_SORTED, *key, int(found.gram2[j]), *where, left, right, by_turns(left, right)))
                     else:
-                        rows.append((_ALIKE, *key, 0, *where, None, None))
+                        rows.append((_ALIKE, *key, 0, *where, None, None, None))
                 yield record(_CANDIDATE_TYPES, zip(*rows))
 
     return run
 
 
 class Suffix:
-    """One side of an anchor: its bytes, prefix hashes of them, and the other side."""
+    """What follows or precedes an anchor, or both by turns, with prefix hashes, and both sides."""
 
-    __slots__ = ("key", "other", "hashes", "tag")
+    __slots__ = ("key", "hashes", "left", "right", "tag")
 
-    def __init__(self, key: bytes, other: bytes, hashes: Sequence[int], tag: tuple) -> None:
-        self.key, self.other, self.hashes, self.tag = key, other, hashes, tag
+    def __init__(self, side: int, left: bytes, right: bytes, hashes: Sequence[int], tag: tuple) -> None:
+        self.key = key_of(side, left, right)
+        self.hashes, self.left, self.right, self.tag = hashes, left, right, tag
+
+
+def key_of(side: int, left: bytes, right: bytes) -> bytes:
+    """The bytes that order a suffix: 0 those after it, 1 those before it, backwards, 2 by turns."""
+    return (right, left)[side] if side < 2 else by_turns(left, right)
+
+
+def by_turns(left: bytes, right: bytes) -> bytes:
+    """A byte of each in turn while both last, then the rest of the longer."""
+    n = min(len(left), len(right))
+    out = bytearray(2 * n)
+    out[::2], out[1::2] = left[:n], right[:n]
+    return bytes(out) + left[n:] + right[n:]
 
 
 def prefix_hashes(keys: list[bytes]) -> list[array]:
@@ -283,7 +300,8 @@ def compare(a: Suffix, b: Suffix) -> int:
     x, y = a.key[n : n + 1], b.key[n : n + 1]
     if x != y:
         return -1 if x < y else 1
-    return (a.other > b.other) - (a.other < b.other)
+    x, y = (a.left, a.right), (b.left, b.right)
+    return (x > y) - (x < y)
 
 
 def suffix_order(members: list[Suffix]) -> list[Suffix]:
@@ -294,22 +312,21 @@ def suffix_order(members: list[Suffix]) -> list[Suffix]:
 _EDGE, _PAIR = 0, 1
 _ADJACENT = (
     "kind int, part int, side int, gram long, gram2 long, id long, hash long, place long,"
-    " key_common int, other_common int, key binary, other binary"
+    " l int, r int, left binary, right binary"
 )
 _ADJACENT_TYPES = pa.schema(
     [("kind", pa.int32()), ("part", pa.int32()), ("side", pa.int32()), ("gram", pa.int64()),
      ("gram2", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()),
-     ("key_common", pa.int32()), ("other_common", pa.int32()), ("key", pa.binary()),
-     ("other", pa.binary())]
+     ("l", pa.int32()), ("r", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]
 )
 #: Rows of sorted output passed on at a time.
 _OUT = 20_000
 
 
 def _pair_rows(group: tuple, a: Suffix, b: Suffix) -> Iterator[tuple]:
-    key, other = extension(a, b), _plain_extension(a.other, b.other)
+    l, r = _plain_extension(a.left, b.left), _plain_extension(a.right, b.right)
     for x in (a, b):
-        yield (_PAIR, 0, *group, *x.tag, key, other, None, None)
+        yield (_PAIR, 0, *group, *x.tag, l, r, None, None)
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,27 +341,27 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal first, last
         if not run:
             return
-        hashes = prefix_hashes([k for k, _, _ in run])
-        order = suffix_order([Suffix(k, o, h, t) for (k, o, t), h in zip(run, hashes)])
+        hashes = prefix_hashes([key_of(group[0], l, r) for l, r, _ in run])
+        order = suffix_order([Suffix(group[0], l, r, h, t) for (l, r, t), h in zip(run, hashes)])
         for a, b in zip(order, order[1:]):
             rows.extend(_pair_rows(group, a, b))
         first = first or (group, order[0])
         last = (group, order[-1])
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("side", "gram", "gram2", "id", "hash", "place", "key", "other")]
-        for side, gram, gram2, id_, hash_, place, key, other in zip(*columns):
+        columns = [batch.column(n).to_pylist() for n in ("side", "gram", "gram2", "id", "hash", "place", "left", "right")]
+        for side, gram, gram2, id_, hash_, place, left, right in zip(*columns):
             if (side, gram, gram2) != group:
                 settle()
                 group, run = (side, gram, gram2), []
                 if len(rows) >= _OUT:
                     yield record(_ADJACENT_TYPES, zip(*rows))
                     rows.clear()
-            run.append((key, other, (id_, hash_, place)))
+            run.append((left, right, (id_, hash_, place)))
     settle()
     for edge in (first, last):
         if edge is not None:
-            rows.append((_EDGE, part, *edge[0], *edge[1].tag, 0, 0, edge[1].key, edge[1].other))
+            rows.append((_EDGE, part, *edge[0], *edge[1].tag, 0, 0, edge[1].left, edge[1].right))
     if rows:
         yield record(_ADJACENT_TYPES, zip(*rows))
 
@@ -353,14 +370,11 @@ def _across_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Neighbours in different partitions: two rows a partition come here, in the order of parts."""
     edges: list[tuple] = []
     for batch in batches:
-        names = ("part", "side", "gram", "gram2", "id", "hash", "place", "key", "other")
+        names = ("part", "side", "gram", "gram2", "id", "hash", "place", "left", "right")
         edges.extend(zip(*[batch.column(n).to_pylist() for n in names]))
     rows: list[tuple] = []
     ordered = sorted(range(len(edges)), key=lambda i: (edges[i][0], i))
-    made = [
-        (edges[i][1:4], Suffix(edges[i][7], edges[i][8], prefix_hashes([edges[i][7]])[0], edges[i][4:7]), edges[i][0])
-        for i in ordered
-    ]
+    made = [(edges[i][1:4], Suffix(edges[i][1], *edges[i][7:9], (), edges[i][4:7]), edges[i][0]) for i in ordered]
     for (ga, a, pa_), (gb, b, pb) in zip(made, made[1:]):
         if ga == gb and pa_ != pb:
             rows.extend(_pair_rows(ga, a, b))
@@ -368,53 +382,99 @@ def _across_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield record(_ADJACENT_TYPES, zip(*rows))
 
 
-def _runs_and_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each suffix's repeated runs, and the strings around it that its neighbours leave open."""
+_MEMBERS = (
+    "gram long, gram2 long, id long, hash long, place long, known array<struct<a:int,b:int>>, open array<int>"
+)
+
+
+def _known_and_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each suffix, which strings around it its neighbours settle and which they leave open.
+
+    A string is told by how many of its bytes precede the anchor. ``known`` are stretches of
+    these numbers, ``open`` the others that some partner by the left and some by the right allow.
+    """
+    stretch = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     schema = pa.schema(
         [("gram", pa.int64()), ("gram2", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()),
-         ("low", pa.int64()), ("high", pa.int64()), ("open", pa.int32())]
+         ("place", pa.int64()), ("known", stretch), ("open", pa.list_(pa.int32()))]
     )
     for batch in batches:
-        names = ("gram", "gram2", "id", "hash", "place", "sides")
-        rows = []
-        for gram, gram2, id_, hash_, place, sides in zip(*[batch.column(n).to_pylist() for n in names]):
+        known_of, open_of = [], []
+        for sides in batch.column("sides").to_pylist():
             lefts, rights = [s["l"] for s in sides], [s["r"] for s in sides]
             known = sorted((MARGIN - r, l) for l, r in zip(lefts, rights) if l + r >= MARGIN)
-            rows += [(gram, gram2, id_, hash_, place - l, place + GRAM + MARGIN - a, None) for a, l in known]
-            at = max(0, MARGIN - max(rights))
-            top = max(lefts)
-            for a, l in [*known, (top + 1, top)]:
-                rows += [(gram, gram2, id_, hash_, None, None, x) for x in range(at, min(a, top + 1))]
-                at = max(at, l + 1)
-        if rows:
-            yield record(schema, zip(*rows))
+            at, top, left_open = max(0, MARGIN - max(rights)), max(lefts), []
+            joined: list[list[int]] = []
+            for a, b in known:
+                left_open += range(at, min(a, top + 1))
+                at = max(at, b + 1)
+                if joined and a <= joined[-1][1] + 1:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            left_open += range(at, top + 1)
+            known_of.append([{"a": a, "b": b} for a, b in joined])
+            open_of.append(left_open)
+        names = ("gram", "gram2", "id", "hash", "place")
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(n) for n in names], pa.array(known_of, stretch), pa.array(open_of, pa.list_(pa.int32()))],
+            schema=schema,
+        )
 
 
 def _adjacent(sides: DataFrame) -> DataFrame:
-    """Runs of the suffixes in ``sides`` (candidates of the sorted kind)."""
+    """What neighbours say about each suffix in ``sides`` (candidates of the sorted kind)."""
     columns = ["gram", "gram2", "id", "hash", "place"]
-    right = sides.select(F.lit(0).alias("side"), *columns, F.col("right").alias("key"), F.col("left").alias("other"))
-    left = sides.select(F.lit(1).alias("side"), *columns, F.col("left").alias("key"), F.col("right").alias("other"))
+    both = sides.select(*columns, "left", "right", "mixed")
+    each = both.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    key = F.when(F.col("side") == 0, F.col("right")).when(F.col("side") == 1, F.col("left")).otherwise(F.col("mixed"))
     dealt = (
-        right.unionByName(left)
+        each.withColumn("key", key)
+        .drop("mixed")
         .repartitionByRange("side", "gram", "gram2", "key")
         .sortWithinPartitions("side", "gram", "gram2")
     )
-    found = stored(dealt.mapInArrow(_sorted_runs, _ADJACENT))
+    found = stored(dealt.drop("key").mapInArrow(_sorted_runs, _ADJACENT))
     edges = found.filter(F.col("kind") == _EDGE).coalesce(1).mapInArrow(_across_edges, _ADJACENT)
     pairs = found.filter(F.col("kind") == _PAIR).unionByName(edges)
-    is_right = F.col("side") == 0
-    each = pairs.select(
-        *columns,
-        F.struct(
-            F.when(is_right, F.col("other_common")).otherwise(F.col("key_common")).alias("l"),
-            F.when(is_right, F.col("key_common")).otherwise(F.col("other_common")).alias("r"),
-        ).alias("s"),
+    merged = pairs.groupBy(*columns).agg(F.collect_set(F.struct("l", "r")).alias("sides"))  # twelve at most
+    return merged.mapInArrow(_known_and_open, _MEMBERS)
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the strings asked for that a suffix may share, and which are its own questions."""
+    schema = pa.schema(
+        [("own", pa.binary()), ("asks", pa.bool_()), ("id", pa.int64()), ("hash", pa.int64()), ("low", pa.int64())]
     )
-    merged = each.groupBy(*columns).agg(F.collect_list("s").alias("sides"))  # six at most
-    return merged.mapInArrow(
-        _runs_and_gaps, "gram long, gram2 long, id long, hash long, low long, high long, open int"
+    for batch in batches:
+        names = ("gram", "gram2", "id", "hash", "place", "known", "open", "asked", "left", "right")
+        rows = []
+        for gram, gram2, id_, hash_, place, known, own, asked, left, right in zip(*[batch.column(n).to_pylist() for n in names]):
+            mine = set(own)
+            for a in asked:
+                if a in mine or any(k["a"] <= a <= k["b"] for k in known):
+                    text = b"%d %d %d " % (gram, gram2, a) + left[:a] + right[: MARGIN - a]
+                    digest = hashlib.blake2b(text, digest_size=16).digest()
+                    rows.append((digest, a in mine, id_, hash_, place - a))
+        if rows:
+            yield record(schema, zip(*rows))
+
+
+def _answers(members: DataFrame, sides: DataFrame) -> DataFrame:
+    """Open strings that another suffix holds too: ``id, hash, low, high``."""
+    columns = ["gram", "gram2"]
+    asked = (
+        members.select(*columns, F.explode("open").alias("a")).groupBy(*columns)
+        .agg(F.collect_set("a").alias("asked"))  # MARGIN + 1 numbers at most
+    )
+    here = members.join(asked, columns)
+    bytes_ = sides.select("id", "hash", "place", "left", "right")
+    found = here.join(bytes_, ["id", "hash", "place"]).mapInArrow(
+        _looked_up, "own binary, asks boolean, id long, hash long, low long"
     )
+    found = stored(found)
+    twice = found.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own")
+    return found.filter("asks").join(twice, "own").select("id", "hash", "low", (F.col("low") + WINDOW).alias("high"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -442,29 +502,13 @@ def repeats(docs: DataFrame) -> DataFrame:
         several.filter("context = other").select("gram", "context"), ["gram", "context"]
     ).select("id", "hash", "low", "high")
     sides = found.filter(F.col("kind") == _SORTED)
-    runs = stored(_adjacent(sides))
-    near = runs.filter(F.col("open").isNull()).select("id", "hash", "low", "high")
-    out = settled.unionByName(alike).unionByName(near)
-    wanted = runs.filter(F.col("open").isNotNull()).select("gram", "gram2", "open").distinct()
-    if wanted.isEmpty():
-        return out
-    asked = sides.join(wanted, ["gram", "gram2"]).filter(
-        (F.length("left") >= F.col("open")) & (F.length("right") >= MARGIN - F.col("open"))
-    )
-    own = F.sha2(
-        F.concat(
-            F.substring("left", F.lit(1), F.col("open")),
-            F.substring("right", F.lit(1), MARGIN - F.col("open")),
-        ),
-        256,
+    members = stored(_adjacent(sides))
+    near = members.select("id", "hash", "place", F.explode("known").alias("k")).select(
+        "id", "hash", (F.col("place") - F.col("k.b")).alias("low"),
+        (F.col("place") - F.col("k.a") + WINDOW).alias("high"),
     )
-    asked = asked.select("gram", "gram2", "open", own.alias("own"), "id", "hash", "place")
-    twice = asked.groupBy("gram", "gram2", "open", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    more = asked.join(twice, ["gram", "gram2", "open", "own"]).select(
-        "id", "hash", (F.col("place") - F.col("open")).alias("low"),
-        (F.col("place") - F.col("open") + WINDOW).alias("high"),
-    )
-    return out.unionByName(more)
+    answers = _answers(members.filter(F.size("open") + F.size("known") > 0), sides)
+    return settled.unionByName(alike).unionByName(near).unionByName(answers)
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -503,7 +547,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
     def part(inside: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "raw", _SLICE)):
                 found = in_bloom(touched.value, batch.column("hash").to_numpy())
                 yield batch.filter(pa.array(found == inside))
 
@@ -524,7 +568,7 @@ def summary(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "raw", _SLICE)):
             rows = []
             ids, raws = batch.column("doc_id").to_pylist(), batch.column("raw").cast(pa.binary()).to_pylist()
             for doc, raw, spans in zip(ids, raws, batch.column("spans").to_pylist()):
@@ -547,7 +591,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "raw", _SLICE)):
             raws = batch.column("raw").cast(pa.binary()).to_pylist()
             spans = batch.column("spans").to_pylist()
             new = [kept(r, merged(s)).decode("utf-8", "ignore") for r, s in zip(raws, spans)]
@@ -560,3 +604,28 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns |= {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT r, unnest(range(0, octet_length(b) - 399)) AS i FROM d
+), h AS (
+  SELECT w.r, i, md5(b[i + 1 : i + 400]) AS h FROM w JOIN d USING (r)
+), rep AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM h) x WHERE n > 1
+), starts AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM rep
+), runs AS (
+  SELECT r, min(i) AS s, max(i) + 400 AS e
+  FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM starts) x GROUP BY r, g
+), spans AS (
+  SELECT r, list({'s': s, 'e': e} ORDER BY s) AS f, count(*) AS k, sum(e - s) AS gone FROM runs GROUP BY r
+)
+SELECT doc_id, octet_length(b) AS n_bytes, cast(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(k, 0) AS n_spans,
+  sha256(CASE WHEN f IS NULL THEN b ELSE list_reduce(list_transform(range(1, len(f) + 2), lambda j:
+    b[CASE WHEN j = 1 THEN 1 ELSE f[j - 1].e + 1 END : CASE WHEN j > len(f) THEN octet_length(b) ELSE f[j].s END]),
+    lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN spans USING (r)
+"""

@@ -85,12 +85,13 @@ def test_strings_whose_sides_have_different_partners(spark):
 
 
 def test_extension_is_verified_on_bytes():
-    a = suffixes.Suffix(b"abcd", b"", [0, 1, 2, 3, 4], ())
-    b = suffixes.Suffix(b"abxd", b"", [0, 1, 2, 3, 4], ())  # hashes that collide
+    a = suffixes.Suffix(0, b"", b"abcd", [0, 1, 2, 3, 4], ())
+    b = suffixes.Suffix(0, b"", b"abxd", [0, 1, 2, 3, 4], ())  # hashes that collide
     assert suffixes.extension(a, b) == 2
     keys = [b"", b"b", b"ab", b"abc", b"abd", b"a" * 80]
-    made = [suffixes.Suffix(k, b"", h, (k,)) for k, h in zip(keys, suffixes.prefix_hashes(keys))]
+    made = [suffixes.Suffix(1, k, b"", h, (k,)) for k, h in zip(keys, suffixes.prefix_hashes(keys))]
     assert [s.key for s in suffixes.suffix_order(made)] == sorted(keys)
+    assert suffixes.by_turns(b"abcd", b"xy") == b"axbycd" and suffixes.by_turns(b"", b"xy") == b"xy"
 
 
 def test_documents_without_their_repeats(spark):
