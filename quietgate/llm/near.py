@@ -28,9 +28,9 @@ BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Bytes of text sketched together.
 _SLICE = 1 << 18
-#: Buckets that still hold several components get another centre while they hold more than so
-#: many pairs a row, up to so many times; then all pairs that are left are compared.
-_FEW_PAIRS, _STAR_ROUNDS = 8, 6
+#: So many times the rows of a bucket are compared with one centre; what then is not in one
+#: component meets by its rarest shingles.
+_STAR_ROUNDS = 2
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -251,15 +251,75 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(stars.unionByName(stars.select(F.col("label").alias("row"), "label").distinct()))
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("row", pa.int64()), ("comp", pa.int64()), ("n", pa.int32()), ("element", pa.int64())])
+    for batch in batches:
+        for row, comp, text in zip(batch.column("row").to_pylist(), batch.column("comp").to_pylist(), batch.column("text")):
+            found = occurrences(text.as_py()).view(np.int64)
+            n = len(found)
+            if n:
+                yield record(schema, (np.full(n, row), np.full(n, comp), np.full(n, n, np.int32), found))
+
+
+def _rarest_pairs(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of rows in different components that may be similar enough: all that are.
+
+    Of a pair of that similarity t the larger text of m elements has at most m - t m that the
+    smaller lacks, and the smaller of n at most n - 2t/(1 + t) n that the larger lacks; so they
+    share one of so many and one more of each one's rarest. Elements of one row or one component
+    alone pair nothing.
+    """
+    texts_ = open_.select("row", "comp").distinct().join(known, "row")
+    each = stored(texts_.mapInArrow(_elements, "row long, comp long, n int, element long"))
+    often = each.groupBy("element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    rare = each.join(often, "element").groupBy("row", "comp", "n").agg(
+        F.array_sort(F.collect_list(F.struct("often", "element"))).alias("by")  # a text's own
+    )
+    alone = F.col("n") - F.size("by")  # the rarest of all come first
+    rest = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1 - alone
+    prefix = (
+        rare.withColumns({"large": rest(SIMILARITY), "small": rest(2 * SIMILARITY / (1 + SIMILARITY))})
+        .filter("large > 0")
+        .select("row", "comp", "n", "small", F.posexplode(F.slice("by", F.lit(1), F.col("large").cast("int"))).alias("at", "e"))
+        .select("row", "comp", "n", F.col("e.element").alias("element"), (F.col("at") < F.col("small")).alias("few"))
+    )
+    prefix = stored(prefix)
+    met = prefix.groupBy("element").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    prefix = prefix.join(met.select("element"), "element")
+    x = prefix.filter("few").select("element", F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    y = prefix.select("element", F.col("row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    alike = (F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & (
+        F.col("na") >= F.col("nb") * F.lit(SIMILARITY) - 1e-9
+    )
+    pairs = x.join(y, "element").filter(alike)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _centres(open_: DataFrame, turn: int) -> DataFrame:
+    """``band, c, cc``: of each bucket the row with the most companions in all its buckets.
+
+    Copies that differ from each other more than from what they were copied from meet it in
+    their largest buckets, and it is in all of those. Later turns draw by that number.
+    """
+    sizes = open_.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
+    weight = open_.select("band", "row").join(sizes, "band").groupBy("row").agg(F.sum("k").alias("weight"))
+    drawn = F.lit(1.0) if not turn else (F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 20)) + 1) / F.lit(float(1 << 20))
+    score = (F.col("weight") * drawn).alias("score")
+    rows = open_.select("band", "row", "comp").join(weight, "row").select("band", score, "row", "comp")
+    best = rows.groupBy("band").agg(F.max("score").alias("score"))
+    top = rows.join(best, ["band", "score"]).groupBy("band").agg(F.min("row").alias("c"), F.max("row").alias("last"))
+    return top.join(open_.select("band", F.col("row").alias("c"), F.col("comp").alias("cc")), ["band", "c"]).select("band", "c", "cc")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``row, id, key, n, rep, label`` of every row: its text's first row and its class' first.
 
     Equal texts are one text; different ones are linked if they share a band and their
     similarity is ``SIMILARITY`` or more, and classes are the components of the links. In each
     bucket texts are compared with one centre; where a bucket still holds several components
-    another centre is taken, and at last all pairs of different components that were not
-    compared yet, so that no link within a bucket is lost. Pairs already known to be in one
-    component are not compared.
+    another centre is taken; at last the rows of such buckets meet by their rarest shingles,
+    which loses no link between components. Pairs already known to be in one component are not
+    compared.
     """
     schema = "id long, key string, n int, bands array<bigint>"
     keyed = _keyed(docs)
@@ -299,21 +359,13 @@ def classes(docs: DataFrame) -> DataFrame:
                 told = told.join(label, "row", "left").withColumn("comp", F.coalesce("label", "row")).drop("label")
             else:
                 told = told.withColumn("comp", F.col("row"))
-            sizes = told.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(
-                F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count(F.lit(1)).alias("c")
-            ).filter("c > 1")
-            open_ = stored(told.join(sizes.select("band", "n", "s"), "band"))
-            left = open_.agg(F.count(F.lit(1)), F.sum((F.col("n") - F.col("s") / F.col("n")) / 2)).first()
-            last = turn == _STAR_ROUNDS or (left[1] or 0) <= _FEW_PAIRS * left[0]
+            several = told.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+            open_ = stored(told.join(several.select("band"), "band"))
+            last = turn == _STAR_ROUNDS
         if last:
-            x = open_.select("band", F.col("row").alias("a"), F.col("comp").alias("ca"))
-            y = open_.select("band", F.col("row").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "band").filter("a < b and ca <> cb").select("a", "b").distinct()
+            pairs = _rarest_pairs(open_, known)
         else:
-            centre = open_.groupBy("band").agg(F.min(F.xxhash64("row", F.lit(turn))).alias("h"))
-            centre = open_.join(centre, "band").filter(F.xxhash64("row", F.lit(turn)) == F.col("h"))
-            centre = centre.select("band", F.col("row").alias("c"), F.col("comp").alias("cc"))
-            met = open_.join(centre, "band").filter("comp <> cc")
+            met = open_.join(_centres(open_, turn), "band").filter("comp <> cc")
             pairs = met.select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -94,9 +94,10 @@ def test_classes_are_the_components_of_all_links(spark, clash):
     assert len(kept) == len({(r.class_id, r.class_size) for r in got}) or len(kept) == len(classes(rows))
 
 
-def test_links_between_others_than_the_centre(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_links_between_others_than_the_centre(spark, monkeypatch, rounds):
     """A chain of texts, each near the next only: one class, however the buckets' centres fall."""
-    monkeypatch.setattr(near, "_FEW_PAIRS", 0)
+    monkeypatch.setattr(near, "_STAR_ROUNDS", rounds)
     tokens = words(9, 200).split()
     rows = []
     for i in range(12):
