@@ -7,11 +7,13 @@ sorted, about one in forty.
 1. Anchors are counted by hash. One that stands once can lie in no repeated string.
 2. Where all anchors of a hash also agree in the ``MARGIN`` bytes on both sides, every string
    around them is repeated.
-3. The others are dealt by ranges of (hash, following bytes), of (hash, preceding bytes read
-   backwards) and of (hash, both by turns). Within a hash, a merge sort orders the suffixes; prefix polynomial hashes and
-   binary search give the common extension of two of them in logarithmic time, and the bytes
-   themselves are compared to rule out collisions. Neighbours in these orders share the longest
-   extensions; a pair whose extensions add up to a whole string gives a repeated run.
+3. The others are dealt and sorted by ranges of (hash, following bytes), of (hash, preceding
+   bytes read backwards) and of (hash, both by turns), then by both sides and by row, so that a
+   range may end between any two of them. A task takes them in bounded chunks, which a merge
+   sort orders; prefix polynomial hashes and binary search give the common extension of two
+   suffixes in logarithmic time, and the bytes themselves are compared to rule out collisions.
+   Neighbours in these orders share the longest extensions; a pair whose extensions add up to a
+   whole string gives a repeated run.
 4. A string that its neighbours do not settle (its two sides have different best partners) is
    looked up by its own bytes among the suffixes of its hash that may hold it.
 """
@@ -321,6 +323,8 @@ _ADJACENT_TYPES = pa.schema(
 )
 #: Rows of sorted output passed on at a time.
 _OUT = 20_000
+#: Suffixes of one hash that a task holds and sorts together.
+_CHUNK = 2048
 
 
 def _pair_rows(group: tuple, a: Suffix, b: Suffix) -> Iterator[tuple]:
@@ -330,7 +334,11 @@ def _pair_rows(group: tuple, a: Suffix, b: Suffix) -> Iterator[tuple]:
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of each suffix in its hash's order, and the first and last of the partition."""
+    """Neighbours of each suffix in its hash's order, and the first and last of the partition.
+
+    Rows come in that order, so a chunk follows on the one before: memory does not depend on how
+    many suffixes a hash has.
+    """
     part = TaskContext.get().partitionId()
     rows: list[tuple] = []
     group, run = None, []
@@ -343,17 +351,19 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         hashes = prefix_hashes([key_of(group[0], l, r) for l, r, _ in run])
         order = suffix_order([Suffix(group[0], l, r, h, t) for (l, r, t), h in zip(run, hashes)])
-        for a, b in zip(order, order[1:]):
+        before = [last[1]] if last is not None and last[0] == group else []
+        for a, b in zip(before + order, (before + order)[1:]):
             rows.extend(_pair_rows(group, a, b))
         first = first or (group, order[0])
         last = (group, order[-1])
+        run.clear()
 
     for batch in batches:
         columns = [batch.column(n).to_pylist() for n in ("side", "gram", "gram2", "id", "hash", "place", "left", "right")]
         for side, gram, gram2, id_, hash_, place, left, right in zip(*columns):
-            if (side, gram, gram2) != group:
+            if (side, gram, gram2) != group or len(run) >= _CHUNK:
                 settle()
-                group, run = (side, gram, gram2), []
+                group = (side, gram, gram2)
                 if len(rows) >= _OUT:
                     yield record(_ADJACENT_TYPES, zip(*rows))
                     rows.clear()
@@ -428,11 +438,12 @@ def _adjacent(sides: DataFrame) -> DataFrame:
     both = sides.select(*columns, "left", "right", "mixed")
     each = both.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     key = F.when(F.col("side") == 0, F.col("right")).when(F.col("side") == 1, F.col("left")).otherwise(F.col("mixed"))
+    order = ["side", "gram", "gram2", "key", "left", "right", "id", "hash", "place"]
     dealt = (
         each.withColumn("key", key)
         .drop("mixed")
-        .repartitionByRange("side", "gram", "gram2", "key")
-        .sortWithinPartitions("side", "gram", "gram2")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
     )
     found = stored(dealt.drop("key").mapInArrow(_sorted_runs, _ADJACENT))
     edges = found.filter(F.col("kind") == _EDGE).coalesce(1).mapInArrow(_across_edges, _ADJACENT)

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quietgate.llm import suffixes
@@ -108,3 +109,44 @@ def test_documents_without_their_repeats(spark):
 
 def test_empty_table(spark):
     assert suffixes.summary(frame(spark, [])).collect() == []
+
+
+def test_many_suffixes_of_one_key_are_split(spark, monkeypatch):
+    """A passage whose anchors all have one right side: its rows go to many tasks, in small chunks."""
+    most = []
+    order = suffixes.suffix_order
+    monkeypatch.setattr(suffixes, "suffix_order", lambda members: most.append(len(members)) or order(members))
+    rng = random.Random(7)
+    key = rng.randbytes(suffixes.MARGIN)
+    tags = [(i, i, 0) for i in range(3 * suffixes._CHUNK)]
+    sides = sorted((rng.randbytes(suffixes.MARGIN), key, tag) for tag in tags)
+    names = ["side", "gram", "gram2", "id", "hash", "place", "left", "right"]
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(suffixes.TaskContext, "get", staticmethod(lambda: Context))
+    batch = pa.RecordBatch.from_pydict(
+        {n: c for n, c in zip(names, zip(*[(0, 1, 1, *tag, left, right) for left, right, tag in sides]))}
+    )
+    found = [r for out in suffixes._sorted_runs(iter([batch])) for r in out.to_pylist()]
+    pairs = [r for r in found if r["kind"] == suffixes._PAIR]
+    assert [p["id"] for p in pairs] == [t[0] for a, b in zip(sides, sides[1:]) for t in (a[2], b[2])]
+    assert max(most) <= suffixes._CHUNK
+
+
+def test_rows_of_equal_key_are_dealt_to_several_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(suffixes, "stored", lambda df: seen.append(df) or df)
+    key = bytes(suffixes.MARGIN)
+    rows = [(1, 1, i, i, 0, b"%080d" % i, key, suffixes.by_turns(b"%080d" % i, key)) for i in range(4000)]
+    names = "gram long, gram2 long, id long, hash long, place long, left binary, right binary, mixed binary"
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")  # so few rows would be one task
+    try:
+        got = suffixes._adjacent(spark.createDataFrame(rows, names))
+        assert seen[0].filter(f"kind = {suffixes._EDGE} and side = 0").select("part").distinct().count() > 1
+        assert got.filter("size(open) + size(known) > 0").count() == 4000
+    finally:
+        spark.conf.set(merge, before)
