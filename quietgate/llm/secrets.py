@@ -30,10 +30,13 @@ _ASSIGN_GATE = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Names that put a credential after them, wider than the base.
 _CONTEXT_GATE = ("pass", "pwd", "secret", "token", "key", "bearer", "credential", "auth")
+# A name may follow another after "_", "-", "." or a change of case: DB_PWD, sshPrivateKey.
+_BLANK = r"[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _CONTEXT = re.compile(
-    r"""(?ia:\b(?:password|passphrase|passwd|pass|pwd|secret|token|api[_-]?key|access[_-]?key"""
+    r"""(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"""
+    r"""(?ia:(?:password|passphrase|passwd|pass|pwd|secret|token|api[_-]?key|access[_-]?key"""
     r"""|private[_-]?key|bearer|credentials?|authorization|auth))["']?"""
-    r"""(?:\x20{0,8}(?:[:=]|\bis\b)|(?<=[Rr])(?=\x20))\x20{0,8}["']?([!-&(-;=?-~]{6,})"""
+    rf"""(?:{_BLANK}*+(?:[:=]|\bis\b)|(?<=[Rr])(?={_BLANK})){_BLANK}*+["']?([!-&(-;=?-~]{{6,}})"""
 )
 
 # Words people use in passwords, most used first.
@@ -92,10 +95,44 @@ def _char_cost(value: str) -> float:
     return math.log10(max(kinds, 10))
 
 
+class _Starts:
+    """Least of ``cost + log10(end - origin)`` over all starts so far, for ends that only grow.
+
+    An earlier start of lower cost overtakes a later one once and for good, so the starts are a
+    stack in the order in which they will be overtaken; each goes in and out once.
+    """
+
+    __slots__ = ("stack",)
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, float, float]] = []  # origin, cost, end when the one below is better
+
+    def add(self, origin: int, cost: float) -> None:
+        stack = self.stack
+        while stack:
+            low, least, until = stack[-1]
+            if least < cost:
+                ratio = 10.0 ** min(cost - least, 300.0)
+                end = (origin * ratio - low) / (ratio - 1.0) if ratio > 1.0 else math.inf
+                if end < until or len(stack) == 1:
+                    stack.append((origin, cost, end))
+                    return
+            stack.pop()
+        stack.append((origin, cost, math.inf))
+
+    def least(self, end: int) -> float:
+        stack = self.stack
+        while len(stack) > 1 and stack[-1][2] <= end:
+            stack.pop()
+        return stack[-1][1] + math.log10(end - stack[-1][0]) if stack else math.inf
+
+
 def guess_cost(value: str) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` needs.
 
-    Linear in the value's length; the empty value costs 0.
+    A walk has three keys or more and may begin anywhere in a run of neighbouring keys; a repeat
+    says its unit once, at the unit's own cost, and then any number of times. Linear in the
+    value's length; the empty value costs 0.
     """
     n = len(value)
     low = value.lower()
@@ -116,30 +153,35 @@ def guess_cost(value: str) -> float:
             m = _DATE.match(low, i, min(n, i + _LONGEST_DATE))
             if m:
                 pieces[m.end()].append((i, 2.1 if m.end() - i == 4 else 4.6 + 0.6 * (m.end() - i > 8)))
-    start = 0
-    for i in range(1, n + 1):  # walks of three keys or more, from each run's start
-        if i == n or low[i - 1 : i + 1] not in _STEPS:
-            start = i
-            continue
-        for begin in {start, max(start, i - 2), max(start, i - 3)}:
-            if i - begin >= 2:
-                pieces[i + 1].append((begin, 1.7 + math.log10(i + 1 - begin)))
+                if m.end() - i > 4 and low[i : i + 2] in ("19", "20") and low[i + 2 : i + 4].isdecimal():
+                    pieces[i + 4].append((i, 2.1))  # the year alone
+    run, walks = 0, _Starts()  # the run of neighbouring keys up to here, and walks from its keys
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # best ending in a brute-force stretch
     runs = [0] * (REPEAT_UNIT + 1)  # characters up to here that equal those a unit before
+    repeats: list[list[_Starts]] = [[] for _ in range(REPEAT_UNIT + 1)]  # by end modulo the unit
     for end in range(1, n + 1):
         opened = best[end - 1] + (_SEGMENT if end > 1 else 0.0)
         brute[end] = min(brute[end - 1], opened) + char
         least = brute[end]
+        if end > 1 and low[end - 2 : end] not in _STEPS:
+            run, walks = end - 1, _Starts()
+        if end - run >= 3:
+            first = end - 3
+            walks.add(first, best[first] + (_SEGMENT if first else 0.0))
+            least = min(least, walks.least(end) + 1.7)
         for start, cost in pieces[end]:
             least = min(least, best[start] + cost + (_SEGMENT if start else 0.0))
         for unit in range(1, min(REPEAT_UNIT, end - 1) + 1):
             runs[unit] = runs[unit] + 1 if value[end - 1] == value[end - 1 - unit] else 0
-            times = runs[unit] // unit
-            if times and (times + 1) * unit >= 3:
+            if runs[unit] == 1:
+                repeats[unit] = [_Starts() for _ in range(unit)]
+            fewest = max(1, 3 // unit - 1)
+            if runs[unit] >= fewest * unit:
                 # The unit stands once at its own cost; the rest only says how often.
-                first = end - times * unit
-                least = min(least, best[first] + math.log10(times + 1) + _SEGMENT)
+                first, starts = end - fewest * unit, repeats[unit][end % unit]
+                starts.add(first - unit, best[first])
+                least = min(least, starts.least(end) - math.log10(unit) + _SEGMENT)
         best[end] = least
     return best[n]
 
@@ -162,9 +204,13 @@ def find(text: str, min_cost: float = MIN_COST) -> tuple[list[tuple[int, int, in
     if any(x in low for x in _CONTEXT_GATE):
         covers = [(a, b) for a, _, b in base]
         at, reach = 0, -1
-        for m in _CONTEXT.finditer(text):
+        m = _CONTEXT.search(text)
+        while m:
             start, end = m.span(1)
             cost = guess_cost(text[start:end])
+            # A cheap value without a sign may be the next name: Authorization: Bearer ...
+            named = cost < min_cost and not any(x in text[start : end - 1] for x in ":=")
+            m = _CONTEXT.search(text, start if named else end)
             dearest = max(dearest, cost)
             while at < len(covers) and covers[at][0] <= start:
                 reach = max(reach, covers[at][1])

@@ -97,3 +97,55 @@ def test_redaction_marks_every_span_and_keeps_the_rest(spark):
     by = {(r.doc_id, r.text) for r in got.collect()}
     assert (9, "é字😀 [secret] [secret]") in by
     assert (1, None) in by and (-7, "one two three") in by
+
+
+_VALUE = "kX9vQ2mLb7TwZr4p"
+
+
+@pytest.mark.parametrize("text", [
+    f"AWS_SECRET_ACCESS_KEY={_VALUE}", f"DB_PWD={_VALUE}", f"ssh_private_key: {_VALUE}", f"db_passphrase = '{_VALUE}'",
+    f"pwd:\t{_VALUE}", f"pwd\t=\t{_VALUE}", f"pwd = \u3000\u00a0{_VALUE}", "pwd =" + " " * 50 + _VALUE,
+    f"sshPrivateKey={_VALUE}", f"SSHPrivateKey={_VALUE}", f"db-pwd={_VALUE}", f"db.pwd={_VALUE}", f"Authorization: Bearer\t{_VALUE}",
+])
+def test_prefixed_names_and_blanks(text):
+    start = text.index(_VALUE)
+    assert secrets.redact(text).endswith(("[secret]", "[secret]'")) and _VALUE not in secrets.redact(text)
+    base_, added, _ = secrets.find(text)
+    assert base_ or added == [(start, 3, start + len(_VALUE))]
+
+
+def test_names_inside_words_put_no_credential_after_them():
+    for text in (f"the trespass is {_VALUE}", f"compass: {_VALUE}", f"pwd\n= {_VALUE}", f"xpwd={_VALUE}"):
+        assert secrets.find(text)[1] == [], text
+
+
+def _least(value):
+    """The least cost over all cuts and kinds of pieces, each tried from its definition."""
+    n, low = len(value), value.lower()
+    plain, char = low.translate(secrets._LEET), secrets._char_cost(value) if value else 0.0
+    best = [0.0] + [math.inf] * n
+    for end in range(1, n + 1):
+        for a in range(end):
+            piece, size, cut = value[a:end], end - a, secrets._SEGMENT if a else 0.0
+            costs = [size * char]
+            if plain[a:end] in secrets._RANK:
+                costs.append(secrets._RANK[plain[a:end]] + 0.3 * (piece != piece.lower()) + 0.5 * (low[a:end] != plain[a:end]))
+            if size >= 3 and all(low[i : i + 2] in secrets._STEPS for i in range(a, end - 1)):
+                costs.append(1.7 + math.log10(size))
+            if secrets._DATE.fullmatch(low[a:end]):
+                costs.append(2.1 if size == 4 else 4.6 + 0.6 * (size > 8))
+            best[end] = min(best[end], best[a] + cut + min(costs))
+            for unit in range(1, min(secrets.REPEAT_UNIT, a) + 1):
+                if size % unit == 0 and size + unit >= 3 and value[a - unit : end] == value[a - unit : a] * (size // unit + 1):
+                    best[end] = min(best[end], best[a] + math.log10(size // unit + 1) + secrets._SEGMENT)
+    return best[n]
+
+
+def test_walks_and_repeats_cost_the_least_of_all_cuts():
+    rng = random.Random(11)
+    parts = ["cheese", "wertyuiop", "qwerty", "poiuy", "abc", "cba", "asdfgh", "aaa", "xyxyxy", "20190101", "2019", "0101", "k9", "Zq", "summer", "1234", "ewert"]
+    values = ["cheesewertyuiop", "qwertyqwertyqwerty", "aaaaaaaa", "abcabcabc", "20190101", "20010101010101"]
+    values += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    values += ["".join(rng.choice("qwea1") for _ in range(rng.randint(1, 24))) for _ in range(400)]
+    for value in values:
+        assert secrets.guess_cost(value) == pytest.approx(_least(value), abs=1e-9), value
