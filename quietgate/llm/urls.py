@@ -26,13 +26,18 @@ BLOCKS = 1 << 14
 _WORDS = 8
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; null or empty where there is none."""
+    return F.regexp_extract(url, r"(?s)\A.*?://(.*)\z", 1)
+
+
 def host_of(url: Column) -> Column:
-    found = F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1)
+    found = F.regexp_extract(_after_scheme(url), r"\A([^/?#]*)", 1)
     return F.coalesce(F.translate(found, _UPPER, _LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def canonical(host: Column, path: Column) -> Column:

@@ -55,3 +55,14 @@ def test_empty_tables(spark):
     assert urls.judge(none, urls.listed_pages(none)).collect() == []
     some = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     assert [r.verdict for r in urls.judge(some, urls.listed_pages(none)).collect()] == ["allow"]
+
+
+def test_redirects_keep_to_the_first_scheme(spark):
+    asked = [
+        "http://host?u=http://x.com/en/y", "http://a.com#r=http://x.com/en/y", "http://a.com?u=://", "http://a.com/?u=http://b.org/es/1",
+        "http://a.org?to=https://b.example.com/en/7", "x?y#z://h/p?u=ftp://q/r", "http://?u=http://x.com/en/y", "http://h\n?u=http://x.com/en/y",
+    ]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    got = urls.judge(pages, urls.listed_pages(pages)).collect()
+    assert {r.page_id: (r.host, r.path, r.rule) for r in got} == {i: plain(u) for i, u in enumerate(asked)}
+    assert {r.path for r in got if r.page_id in (0, 1)} == {""}
