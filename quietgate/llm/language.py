@@ -1,6 +1,6 @@
 """Language identification by a bit-sliced Bloom filter of character n-grams.
 
-Every position of the filter holds a bitmask of languages. The masks at an n-gram's positions,
+Every position of the filter holds a bitmask of languages, in as many words as they need. The masks at an n-gram's positions,
 and-ed, are all languages that contain it (and a few that seem to). Popcounts per language over
 a text's n-grams, less the false positives expected from the filter's fill, decide.
 """
@@ -13,19 +13,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import record, slices, texts
+from .common import record, slices, stored, texts
 
-#: Positions of the filter (a power of two) and hash functions.
+#: Least positions of the filter (a power of two), and hash functions.
 POSITIONS_BITS = 19
 HASHES = 3
-#: A language has an n-gram if it was seen twice there, at this share at least of the highest rate.
+#: The filter has so many positions at least for each n-gram of the language that has most.
+POSITIONS_A_GRAM = 8
+#: A language has an n-gram if it was seen twice there and is this share of the language's
+#: n-grams (so a language has 1 / LEAST_SHARE at most), at this share of the highest rate.
 LEAST_SEEN = 2
+LEAST_SHARE = 1e-6
 LEAST_RATE = 0.1
-#: At most so many languages, the most frequent ones, are told apart: the masks' width.
-MAX_LANGUAGES = 64
+#: Languages in a word of the masks.
+_WORD = 64
 #: Bytes of text that are turned into n-grams at a time.
 _SLICE = 2 << 20
 #: Distinct n-grams that a task holds before it passes them on.
@@ -62,8 +66,8 @@ def grams(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, whole, np.concatenate(([0], ends[:-1] + 1))
 
 
-def positions(found: np.ndarray, hash_number: int) -> np.ndarray:
-    return ((found.astype(np.uint64) * _ODD[hash_number]) >> np.uint64(64 - POSITIONS_BITS)).astype(np.int64)
+def positions(found: np.ndarray, hash_number: int, bits: int) -> np.ndarray:
+    return ((found.astype(np.uint64) * _ODD[hash_number]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -93,13 +97,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class LanguageFilter:
-    """The learned filter: 2^POSITIONS_BITS masks, whatever the corpus' size."""
+    """The learned filter: at each of a power of two of positions a mask of every 64 languages."""
 
-    languages: list[str]  # bit 0 first; the most frequent language first
-    masks: np.ndarray
+    languages: list[str]  # bit 0 of the first word first; the most frequent language first
+    masks: list[np.ndarray]  # one array a word
+
+    def _places(self) -> Iterator[tuple[int, int]]:
+        return (divmod(i, _WORD) for i in range(len(self.languages)))
 
     def false_rates(self) -> np.ndarray:
-        bits = [float(np.mean((self.masks >> i) & 1 != 0)) for i in range(len(self.languages))]
+        one = [m.dtype.type(1) for m in self.masks]
+        bits = [float(np.mean((self.masks[w] >> one[w].dtype.type(i)) & one[w] != 0)) for w, i in self._places()]
         return np.array(bits) ** HASHES
 
     def score(self, values: list[str]) -> list[tuple[str, float, float]]:
@@ -113,18 +121,17 @@ class LanguageFilter:
         if not self.languages:
             return [("und", 0.0, 0.0)] * len(values)
         found, whole, starts = grams(values)
-        masks = self.masks[positions(found, 0)]
-        for i in range(1, HASHES):
-            masks &= self.masks[positions(found, i)]
-        masks[~whole] = 0
-        one = masks.dtype.type(1)
-        seen = np.stack(
-            [
-                np.add.reduceat((masks >> masks.dtype.type(i)) & one, starts, dtype=np.int64)
-                for i in range(len(self.languages))
-            ],
-            axis=1,
-        )
+        bits = len(self.masks[0]).bit_length() - 1
+        at = [positions(found, i, bits) for i in range(HASHES)]
+        seen = np.empty((len(values), len(self.languages)), np.int64)
+        for w, table in enumerate(self.masks):
+            masks = table[at[0]]
+            for more in at[1:]:
+                masks &= table[more]
+            masks[~whole] = 0
+            kind = masks.dtype.type
+            for i in range(w * _WORD, min((w + 1) * _WORD, len(self.languages))):
+                seen[:, i] = np.add.reduceat((masks >> kind(i % _WORD)) & kind(1), starts, dtype=np.int64)
         total = np.add.reduceat(whole, starts, dtype=np.int64)
         false = self.false_rates()
         clean = np.maximum(0.0, seen - total[:, None] * false) / (1 - np.minimum(false, 0.999))
@@ -141,50 +148,57 @@ class LanguageFilter:
 def fit(train: DataFrame) -> LanguageFilter:
     """Learn from every row of ``text, lang``; rows with either null teach nothing.
 
-    The counts of all n-grams are summed in Spark; what reaches the driver is one count for each
-    language (at most ``MAX_LANGUAGES``) and one mask for each filled position of the filter.
+    The counts of all n-grams are summed in Spark; what reaches the driver is a few counts for
+    each language and one mask for each filled position and word of the filter, whose size
+    follows from the n-grams learned: 2^23 positions at most.
     """
     rows = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text"
     )
-    counts = (
-        rows.mapInArrow(_count, "lang string, gram long, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    )
     totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    names = [r["lang"] for r in totals.orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).collect()]
+    names = [r["lang"] for r in totals.orderBy(F.desc("docs"), "lang").collect()]
     if not names:
-        return LanguageFilter([], np.zeros(1, np.uint8))
-    names_of = F.array(*[F.lit(x) for x in names])
-    counts = counts.filter(F.col("lang").isin(names))
-    by_gram = counts.groupBy("gram").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")  # one entry a language
+        return LanguageFilter([], [])
+    counts = stored(
+        rows.mapInArrow(_count, "lang string, gram long, n long")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    rate = lambda x: F.coalesce(F.col("by")[x], F.lit(0)) / F.lit(max(1, sums.get(x, 0)))
-    highest = F.greatest(*[rate(x) for x in names], F.lit(0.0))
-    mask = F.lit(0).cast("long")
-    for i, x in enumerate(names):
-        has = (F.coalesce(F.col("by")[x], F.lit(0)) >= LEAST_SEEN) & (rate(x) >= LEAST_RATE * F.col("_top"))
-        bit = (1 << i) - (1 << 64 if i == 63 else 0)
-        mask = mask.bitwiseOR(F.when(has, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    masks = by_gram.withColumn("_top", highest).select("gram", mask.alias("mask")).filter("mask <> 0")
+    known = train.sparkSession.createDataFrame(
+        [(x, i, max(1, sums.get(x, 0))) for i, x in enumerate(names)], "lang string, i int, total long"
+    )
+    rate = F.col("n") / F.col("total")
+    top = F.max("rate").over(Window.partitionBy("gram"))  # one row a language
+    learned = stored(
+        counts.join(known, "lang").withColumn("rate", rate).withColumn("top", top)
+        .filter(
+            (F.col("n") >= LEAST_SEEN) & (F.col("rate") >= LEAST_SHARE) & (F.col("rate") >= LEAST_RATE * F.col("top"))
+        )
+        .select("gram", "i")
+    )
+    most = max((r["count"] for r in learned.groupBy("i").count().collect()), default=0)
+    bits = max(POSITIONS_BITS, (POSITIONS_A_GRAM * most - 1).bit_length() if most else 0)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("at", pa.int64()), ("mask", pa.int64())])
+        schema = pa.schema([("at", pa.int64()), ("word", pa.int32()), ("mask", pa.int64())])
         for batch in batches:
-            found = batch.column("gram").to_numpy()
-            mask = batch.column("mask").to_numpy()
-            for i in range(HASHES):
-                yield record(schema, (positions(found, i), mask))
+            found, i = batch.column("gram").to_numpy(), batch.column("i").to_numpy()
+            mask = (np.uint64(1) << (i % _WORD).astype(np.uint64)).view(np.int64)
+            for k in range(HASHES):
+                yield record(schema, (positions(found, k, bits), i // _WORD, mask))
 
     filled = (
-        masks.mapInArrow(place, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+        learned.mapInArrow(place, "at long, word int, mask long")
+        .groupBy("at", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
     )
-    kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= n)
-    table = np.zeros(1 << POSITIONS_BITS, kind)
-    table[filled["at"].to_numpy()] = filled["mask"].to_numpy().astype(np.uint64).astype(kind)
-    return LanguageFilter(names, table)
+    at, word, mask = (filled[c].to_numpy() for c in ("at", "word", "mask"))
+    tables = []
+    for w in range(0, len(names), _WORD):
+        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(names) - w, _WORD) <= n)
+        table, here = np.zeros(1 << bits, kind), word == w // _WORD
+        table[at[here]] = mask[here].astype(np.uint64).astype(kind)
+        tables.append(table)
+    return LanguageFilter(names, tables)
 
 
 _PREDICTED = [("lang_pred", pa.string()), ("score", pa.float64()), ("coverage", pa.float64())]
@@ -194,7 +208,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred, score, coverage``, from ``text`` alone.
 
     A null text, or one without a letter, is ``und`` at 0. Columns of the same names are
-    replaced. One narrow stage; the filter is broadcast (its size is fixed).
+    replaced. One narrow stage; the filter is broadcast (its size is bounded, see :func:`fit`).
     """
     known = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))
     kept = docs.drop(*[n for n, _ in _PREDICTED])

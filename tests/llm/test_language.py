@@ -60,3 +60,29 @@ def test_nothing_learned_and_empty_table(spark):
     assert model.languages == []
     assert language.predict(none, model).collect() == []
     assert {r.lang_pred for r in language.predict(frame(spark, awkward()), model).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than a word has bits: each is told, the least frequent too."""
+    rng = np.random.default_rng(5)
+    alphabet = list("abcdefghijklmnopqrstuvwxyz")
+    speech = [["".join(rng.choice(alphabet, 7)) for _ in range(12)] for _ in range(130)]
+    rows = [(" ".join(w), f"l{i:03d}") for i, w in enumerate(speech) for _ in range(2 if i > 70 else 3)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(model.languages) == sorted({x for _, x in rows}) and len(model.masks) == 3
+    told = model.score([" ".join(w[3:9]) for w in speech])
+    assert [x for x, _, _ in told] == [f"l{i:03d}" for i in range(130)]
+    docs = spark.createDataFrame([(129, " ".join(speech[129]))], "doc_id long, text string")
+    assert [r.lang_pred for r in language.predict(docs, model).collect()] == ["l129"]
+
+
+def test_the_filter_grows_with_the_grams_and_leaves_rare_ones_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "POSITIONS_BITS", 6)
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000))
+    docs = spark.createDataFrame([(text + " zzzzz", "a")] * 2, "text string, lang string")
+    model = language.fit(docs)
+    assert model.false_rates().max() < 0.05 and len(model.masks[0]) > 1 << 13
+    assert model.score(["zzzzz"])[0][2] > 0.5
+    monkeypatch.setattr(language, "LEAST_SHARE", 3e-4)
+    assert language.fit(docs).score(["zzzzz"])[0][2] == 0
