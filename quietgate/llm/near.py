@@ -10,6 +10,9 @@ compared by the overlap of their multisets.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .common import in_bloom, long_bloom, record, slices, stored
+from .common import in_bloom, long_bloom, record, remembered, slices, stored
 from .suffixes import _mix, _polynomials
 
 SHINGLE = 5
@@ -40,7 +43,9 @@ def _step(k: int) -> np.uint64:
 
 
 def _fold() -> np.ndarray:
-    """ASCII letters, digits and bytes of other characters belong to words, all else does not."""
+    """ASCII letters, digits and bytes of other characters belong to words, all else does not.
+
+    For texts that :func:`parted` has gone over."""
     table = np.zeros(256, bool)
     table[0x80:] = True
     for first, last in (("0", "9"), ("a", "z"), ("A", "Z")):
@@ -50,6 +55,49 @@ def _fold() -> np.ndarray:
 
 _WORD = _fold()
 
+#: Scripts written without blanks between words: Thai, Lao, Myanmar, Khmer, Tai, kana, Bopomofo,
+#: Han, Yi, Javanese. Each letter, with its marks, is a word.
+_NO_BLANKS = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007),
+    (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3041, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Outside ASCII: what is no part of a word at all, what parts words, and letters that are words."""
+    format_, apart, marks, single = [], [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        kind = unicodedata.category(chr(code))
+        if kind == "Cf" and code != 0x200B:
+            format_.append(code)
+        elif kind[0] == "M":
+            marks.append(code)
+        elif kind[0] not in "LN" and kind not in ("Cn", "Co", "Cs"):
+            apart.append(code)
+        elif kind[0] in "LN" and any(a <= code <= b for a, b in _NO_BLANKS):
+            single.append(code)
+
+    def listed(codes: list[int]) -> str:
+        ends = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+        runs = zip([0, *ends], [*ends, len(codes)])
+        return "[%s]" % "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in runs)
+
+    return re.compile(listed(format_)), re.compile(listed(apart)), re.compile(f"{listed(single)}{listed(marks)}*+")
+
+
+def parted(value: str) -> str:
+    """The text in lower case with blanks for the separators outside ASCII, so that bytes tell words.
+
+    Letters of scripts without blanks stand alone; characters that only format are left out.
+    """
+    value = value.lower()
+    if value.isascii():
+        return value
+    format_, apart, single = remembered("near words", _patterns)
+    return single.sub(r" \g<0> ", apart.sub(" ", format_.sub("", value)))
+
 
 def shingles(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The shingles of some texts as a multiset: text, shingle's hash and weight, by text.
@@ -57,7 +105,7 @@ def shingles(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Words are runs of ASCII letters and digits and of other characters, lower-cased. A text of
     one to four words has one shingle of them all; one without words has none.
     """
-    raws = [v.lower().encode("utf-8", "replace") for v in values]
+    raws = [parted(v).encode("utf-8", "replace") for v in values]
     data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     ends_of = np.cumsum([len(r) + 1 for r in raws])
     hash_, _ = _polynomials_for(len(data))

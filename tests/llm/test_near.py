@@ -120,3 +120,25 @@ def test_one_document_of_each_class_stays(spark):
 def test_empty_table(spark):
     assert near.near_duplicates(frame(spark, [])).collect() == []
     assert near.one_of_each(frame(spark, [])).collect() == []
+
+
+def test_words_end_at_unicode_separators():
+    same = lambda a, b: near.overlap(near.occurrences(a), near.occurrences(b)) == 1
+    plain = "one two three four five six seven été naïve"
+    for other in (
+        "one two “three” four five—six seven ‘été’ naïve", plain.replace(" ", "\u00a0"), plain.replace(" ", "\u3000"), "one two three, four five… six seven «été» naïve。",
+        plain.replace("seven", "se\u00adven"),
+    ):
+        assert same(plain, other), other
+    assert not same(plain, plain.replace("été", "ete"))
+    assert near.parted("Слово कि한국 é").split() == ["слово", "कि한국", "é"]
+    assert near.parted("字字。かな、กิก").split() == ["字", "字", "か", "な", "กิ", "ก"]
+
+
+def test_scripts_without_blanks_have_a_word_a_letter(spark):
+    rng = random.Random(4)
+    text = "。".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20)) for _ in range(20))
+    rows = [(1, text), (2, text[:200] + "变" + text[201:]), (3, text[::-1])]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 3}
+    assert {r.n_shingles for r in got} == {396}
