@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, packing, pieces, secrets, spotsigs, suffixes, topk, toxicity, urls
+from . import (
+    language, lexical, near, packing, pieces, secrets, simhash, spotsigs, suffixes, topk, toxicity, urls, whitening,
+)
 from .common import table
 
 
@@ -59,6 +61,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held_out), grammar, "held_out")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -66,10 +80,12 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_secret_scan, op2_spotsigs, op3_best_fit_packing, op4_exact_top_k, op5_suffix_array_dedup,
         op6_sentencepiece, op7_url_filter, op8_near_duplicates, op9_language_id, op10_toxicity,
+        op11_lexical_search, op12_simhash, op13_whitening,
     )
 }
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": topk.SQL,
     "op5_suffix_array_dedup": suffixes.SQL,
     "op7_url_filter": urls.SQL,
+    "op11_lexical_search": lexical.SQL,
 }
