@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -25,16 +25,26 @@ QUERY_BLOCK = 256
 VECTOR_BLOCK = 2048
 #: A scaled component beyond this takes exact Python integers instead of doubles.
 _EXACT = float(1 << 53)
+_LONG = float(1 << 63)
+_MOST = (1 << 63) - 1
+
+
+def _scaled(x: Column) -> Column:
+    y = x.cast("double") * SCALE
+    whole = (y >= -_LONG) & (y < _LONG)
+    return F.when(whole, F.floor(y).cast("long")).otherwise(
+        F.raise_error(F.lit("a scaled component is no long")).cast("long")
+    )
 
 
 def scaled(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """``vec_id, dim, x``: floor(1024 * component) as longs, vectors with a null or non-finite
-    component (or null, or with a null id) left out. Scaled components lie within a long."""
+    component (or null, or with a null id) left out. Raises if a scaled component is no long."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = vectors.filter(F.col(vector).isNotNull() & F.col("vec_id").isNotNull() & ~bad)
     return usable.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.size(vector).alias("dim"),
-        F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("x"),
+        F.transform(vector, _scaled).alias("x"),
     )
 
 
@@ -79,7 +89,9 @@ def _scores(row: dict) -> np.ndarray:
     if row["q_top"] * row["top"] * row["dim"] < _EXACT:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
     exact = q.astype(object) @ v.astype(object).T if row["dim"] else np.zeros((len(q), len(v)), object)
-    return np.clip(exact, -(1 << 62), (1 << 62) - 1).astype(np.int64)
+    if exact.size and not -_MOST <= int(exact.min()) <= int(exact.max()) <= _MOST:
+        raise ValueError("a score is no long")
+    return exact.astype(np.int64)
 
 
 def _candidates(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, groups: int | None
     Both frames come from :func:`scaled`. A query's own id is no candidate; ties go to the
     smaller id; vectors of another length are no candidates. A query with fewer candidates gets
     them all, one with none has no row. A repeated row is a candidate each time; a repeated
-    query is answered once for each id. Scores beyond 2^62 are held there.
+    query is answered once for each id. Raises if a score is no long.
 
     Vectors are dealt evenly over ``groups`` parts, whatever their values, and query blocks go
     to every part. Each round passes one histogram a query and task; at the k-th score a task
@@ -111,43 +123,42 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, groups: int | None
     q_parts = -(-n_queries // QUERY_BLOCK)
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_parts)).cast("int")
     packed = _blocks(asked.withColumn("q_part", block).repartition("q_part"), "q_part", QUERY_BLOCK)
-    packed = cut(packed.select("q_part", "dim", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "xs", "top")]))
+    packed = cut(packed.select("q_part", "dim", F.md5("ids").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "xs", "top")]))
     bound = packed.select("dim", F.col("q_top").alias("top")).groupBy("dim").agg(F.max("top").alias("a")).join(
         held.groupBy("dim").agg(F.max("top").alias("b")), "dim"
     ).agg(F.max(F.col("a") * F.col("b") * F.col("dim"))).first()[0]
-    reach = min(int(bound or 0) + 1, (1 << 62) - 1)  # every score is within -reach .. reach
+    reach = min(int((bound or 0) * 1.001) + 1, _MOST)  # every score is within -reach .. reach
     bits = (2 * reach).bit_length()
-    spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = held.join(spread, ["part", "dim"])
 
     # Of each query: the lowest score of the bin that holds its k-th, and how many are above it.
     state = asked.select(F.col("vec_id").alias("query_id"), F.lit(-reach).alias("low"), F.lit(0).cast("long").alias("above"))
     shift = bits
     while shift > 0:
         width, shift = shift, max(0, shift - BINS_BITS)
-        state = cut(_refine(pairs, state, width, shift, k))
-    return _answers(pairs, state, k)
+        state = cut(_refine(_pairs(held, packed, state, parts), state, width, shift, k))
+    return _answers(_pairs(held, packed, state, parts), k)
 
 
-def _with_state(pairs: DataFrame, state: DataFrame) -> DataFrame:
-    """Each pair of blocks with its queries' states, packed in the order of the query ids."""
-    found = pairs.select("q_part", "dim", "q_ids").distinct()
+def _pairs(held: DataFrame, packed: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+    """Each block of vectors with each block of queries and its queries' states, in their order.
+
+    States join the query blocks, which are few, before those go to every part.
+    """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.binary()), ("at", pa.int32()), ("query_id", pa.int64())])
+        schema = pa.schema([("q_block", pa.string()), ("at", pa.int32()), ("query_id", pa.int64())])
         for batch in batches:
-            for ids in batch.column("q_ids").to_pylist():
+            for block, ids in zip(batch.column("q_block").to_pylist(), batch.column("q_ids").to_pylist()):
                 each = np.frombuffer(ids, np.int64)
-                yield record(schema, ([ids] * len(each), np.arange(len(each), dtype=np.int32), each))
+                yield record(schema, ([block] * len(each), np.arange(len(each), dtype=np.int32), each))
 
-    rows = found.mapInArrow(unpack, "key binary, at int, query_id long").join(state, "query_id")
-    packed = rows.groupBy("key").agg(  # a block's queries, at most QUERY_BLOCK
+    rows = packed.select("q_block", "q_ids").mapInArrow(unpack, "q_block string, at int, query_id long")
+    states = rows.join(state, "query_id").groupBy("q_block").agg(  # a block's queries, at most QUERY_BLOCK
         F.array_sort(F.collect_list(F.struct("at", "low", "above"))).alias("state")
     )
-    packed = packed.select(
-        F.col("key").alias("q_ids"), F.col("state.low").alias("low"), F.col("state.above").alias("above")
-    )
-    return pairs.join(packed, "q_ids")
+    told = packed.join(states, "q_block").withColumns({"low": F.col("state.low"), "above": F.col("state.above")})
+    spread = told.drop("state").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return held.join(spread, ["part", "dim"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -172,30 +183,32 @@ def _refine(pairs: DataFrame, state: DataFrame, width: int, shift: int, k: int)
 
         for row in _rows(batches):
             queries, _, score, other = _candidates(row)
-            at = score - np.array(row["low"], np.int64)[:, None]
-            inside = other & (at >= 0) & (at < (1 << width))
-            slot = (at >> shift) + (np.arange(len(queries)) * bins)[:, None]
+            low = np.array(row["low"], np.int64)[:, None]
+            at = score.view(np.uint64) - low.view(np.uint64)  # modulo 2^64, right where score >= low
+            inside = other & (score >= low) & (at <= np.uint64((1 << width) - 1))
+            slot = (at >> np.uint64(shift)).astype(np.int64) + (np.arange(len(queries)) * bins)[:, None]
             n = np.bincount(slot[inside], minlength=len(queries) * bins).reshape(len(queries), bins)
             sums[row["q_ids"]] = sums.get(row["q_ids"], 0) + n
             if len(sums) >= 16:
                 yield from give()
         yield from give()
 
-    counted = _with_state(pairs, state).mapInArrow(count, "query_id long, bin int, n long")
+    counted = pairs.mapInArrow(count, "query_id long, bin int, n long")
     summed = counted.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
     down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
     summed = summed.withColumn("upto", F.sum("n").over(down)).withColumn(
         "lowest", F.min("bin").over(Window.partitionBy("query_id"))
     )
     joined = summed.join(state, "query_id")
+    wide = lambda c: c.cast("decimal(19,0)")
     before = F.col("above") + F.col("upto") - F.col("n")
     holds = (before < k) & ((F.col("above") + F.col("upto") >= k) | (F.col("bin") == F.col("lowest")))
     return joined.filter(holds).select(
-        "query_id", (F.col("low") + F.col("bin").cast("long") * F.lit(1 << shift)).alias("low"), before.alias("above")
+        "query_id", (wide(F.col("low")) + wide(F.col("bin")) * wide(F.lit(1 << shift))).cast("long").alias("low"), before.alias("above")
     )
 
 
-def _answers(pairs: DataFrame, state: DataFrame, k: int) -> DataFrame:
+def _answers(pairs: DataFrame, k: int) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         ties: dict[int, np.ndarray] = {}
@@ -217,7 +230,7 @@ def _answers(pairs: DataFrame, state: DataFrame, k: int) -> DataFrame:
             if len(ids):
                 yield record(schema, (np.full(len(ids), query), ids, np.full(len(ids), kth[query])))
 
-    found = _with_state(pairs, state).mapInArrow(pick, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(pick, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ordered = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ordered.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

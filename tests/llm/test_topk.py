@@ -31,9 +31,18 @@ def test_ties_copies_and_awkward_vectors(spark):
     rows += [(200 + i, [0.5, 0.25, 0.0, -1.0, 1.0], None) for i in range(120)]  # a third are one vector
     rows += [(500, None, 1), (501, [1.0, None, 0.0, 0.0, 0.0], 1), (502, [float("nan")] * 5, 1),
              (503, [float("inf"), 0.0, 0.0, 0.0, 0.0], 1), (None, [1.0] * 5, 1), (520, [], 1), (540, [1.0, 2.0], 1),
-             (541, [3.0, 4.0], 1), (600, [1e20, 0.0, 0.0, 0.0, 0.0][:1] * 3, 1)]
-    rows = [r for r in rows if r[0] != 600]
+             (541, [3.0, 4.0], 1)]
     assert run(spark, rows, 20, 10) == brute(rows, 20, 10)
+    with pytest.raises(Exception, match="no long"):
+        run(spark, rows + [(600, [1e20] * 3, 1)], 20, 10)
+
+
+def test_scores_near_the_ends_of_a_long(spark):
+    big = 2.0**21  # scaled 2^31: products of two are 2^62
+    rows = [(0, [big, 0.0], 0), (1, [big * 1.5, 1.0], 0), (2, [-big * 1.5, 2.0], 0), (3, [big * 1.5, 3.0], 0), (4, [1.0, 1.0], 0)]
+    assert run(spark, rows, 4, 10) == brute(rows, 4, 10)
+    with pytest.raises(Exception, match="no long"):
+        run(spark, [(0, [2.0**24], 0), (1, [2.0**24], 0)], 100, 10)
 
 
 def test_large_components_are_exact(spark):
