@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -89,6 +90,36 @@ def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
     return found[key]
 
 
+def release(*keep: str) -> None:
+    """Drops what this worker remembers under other names than these, and gives freed memory back.
+
+    A worker outlives its task: what the operator before it had made would stay beside this one's.
+    """
+    kept = sys.modules.get("_quietgate_worker")
+    found = kept.__dict__.get("kept", {}) if kept is not None else {}
+    for key in [k for k in found if (k if isinstance(k, str) else k[0]) not in keep]:
+        del found[key]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library: freed memory stays in the process
+        pass
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run, *keep: str) -> Run:
+    """``run`` in a worker that holds only what is named of earlier tasks, and little after it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(*keep)
+        yield from run(batches)
+        release(*keep)
+
+    return tidied
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written as Parquet in the shared folder and read again: compressed, read column by column."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .common import in_bloom, long_bloom, record, remembered, slices, stored
+from .common import in_bloom, long_bloom, record, remembered, slices, stored, tidy
 from .suffixes import _mix, _polynomials
 
 SHINGLE = 5
@@ -65,18 +65,24 @@ _NO_BLANKS = (
 )
 
 
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Outside ASCII: what is no part of a word at all, what parts words, and letters that are words."""
-    format_, apart, marks, single = [], [], [], []
+#: Kinds of characters outside ASCII: of words, no part of a text, parting words, words by themselves.
+_OF_WORDS, _FORMAT, _APART, _SINGLE = range(4)
+
+
+def _kinds() -> tuple[np.ndarray, re.Pattern]:
+    """The kind of each code point, and a pattern of the letters that are words, with their marks."""
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    marks, single = [], []
     for code in range(0x80, sys.maxunicode + 1):
         kind = unicodedata.category(chr(code))
         if kind == "Cf" and code != 0x200B:
-            format_.append(code)
+            kinds[code] = _FORMAT
         elif kind[0] == "M":
             marks.append(code)
         elif kind[0] not in "LN" and kind not in ("Cn", "Co", "Cs"):
-            apart.append(code)
+            kinds[code] = _APART
         elif kind[0] in "LN" and any(a <= code <= b for a, b in _NO_BLANKS):
+            kinds[code] = _SINGLE
             single.append(code)
 
     def listed(codes: list[int]) -> str:
@@ -84,7 +90,7 @@ def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
         runs = zip([0, *ends], [*ends, len(codes)])
         return "[%s]" % "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in runs)
 
-    return re.compile(listed(format_)), re.compile(listed(apart)), re.compile(f"{listed(single)}{listed(marks)}*+")
+    return kinds, re.compile(f"{listed(single)}{listed(marks)}*+")
 
 
 def parted(value: str) -> str:
@@ -95,8 +101,14 @@ def parted(value: str) -> str:
     value = value.lower()
     if value.isascii():
         return value
-    format_, apart, single = remembered("near words", _patterns)
-    return single.sub(r" \g<0> ", apart.sub(" ", format_.sub("", value)))
+    kinds, single = remembered("near words", _kinds)
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[codes]
+    if not kind.any():
+        return value
+    codes = np.where(kind == _APART, np.uint32(0x20), codes)[kind != _FORMAT]
+    value = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    return single.sub(r" \g<0> ", value) if (kind == _SINGLE).any() else value
 
 
 def shingles(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,27 +256,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select("id", F.md5("text").alias("key"), "text")
 
 
+def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("row", pa.int64()), ("occ", pa.binary())])
+    for batch in batches:
+        for part in slices(batch, "text", _SLICE):
+            found = [occurrences(text.as_py()).tobytes() for text in part.column("text")]
+            yield record(schema, (part.column("row"), found))
+
+
+def _occurrences(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), np.uint64)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    last: tuple[int, np.ndarray] | None = None
     for batch in batches:
         out = []
         columns = [batch.column(c).to_pylist() for c in ("a", "b")]
-        for a, b, ta, tb in zip(*columns, batch.column("ta"), batch.column("tb")):
-            if last is None or last[0] != a:
-                last = (a, occurrences(ta.as_py()))
-            if overlap(last[1], occurrences(tb.as_py())) >= SIMILARITY - 1e-12:
+        for a, b, oa, ob in zip(*columns, batch.column("oa"), batch.column("ob")):
+            if overlap(_occurrences(oa), _occurrences(ob)) >= SIMILARITY - 1e-12:
                 out.append((a, b))
         if out:
             yield record(schema, zip(*out))
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Of the pairs (each once), those whose texts are similar enough. Few texts, long or not,
-    stand in a task at a time: pairs stream through."""
-    b = known.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-    a = known.select(F.col("row").alias("a"), F.col("text").alias("ta"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long")
+    """Of the pairs (each once), those whose texts are similar enough. Few multisets, large or
+    not, stand in a task at a time: pairs stream through."""
+    b = known.select(F.col("row").alias("b"), F.col("occ").alias("ob"))
+    a = known.select(F.col("row").alias("a"), F.col("occ").alias("oa"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "oa", "ob").mapInArrow(tidy(_compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,8 +323,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("row", pa.int64()), ("comp", pa.int64()), ("n", pa.int32()), ("element", pa.int64())])
     for batch in batches:
-        for row, comp, text in zip(batch.column("row").to_pylist(), batch.column("comp").to_pylist(), batch.column("text")):
-            found = occurrences(text.as_py()).view(np.int64)
+        for row, comp, occ in zip(batch.column("row").to_pylist(), batch.column("comp").to_pylist(), batch.column("occ")):
+            found = _occurrences(occ).view(np.int64)
             n = len(found)
             if n:
                 yield record(schema, (np.full(n, row), np.full(n, comp), np.full(n, n, np.int32), found))
@@ -317,8 +338,8 @@ def _rarest_pairs(open_: DataFrame, known: DataFrame) -> DataFrame:
     share one of so many and one more of each one's rarest. Elements of one row or one component
     alone pair nothing.
     """
-    texts_ = open_.select("row", "comp").distinct().join(known, "row")
-    each = stored(texts_.mapInArrow(_elements, "row long, comp long, n int, element long"))
+    multisets = open_.select("row", "comp").distinct().join(known, "row")
+    each = stored(multisets.mapInArrow(_elements, "row long, comp long, n int, element long"))
     often = each.groupBy("element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     rare = each.join(often, "element").groupBy("row", "comp", "n").agg(
         F.array_sort(F.collect_list(F.struct("often", "element"))).alias("by")  # a text's own
@@ -371,7 +392,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     schema = "id long, key string, n int, bands array<bigint>"
     keyed = _keyed(docs)
-    sketch = stored(keyed.mapInArrow(_sketch, schema).withColumn("row", F.monotonically_increasing_id()))
+    sketch = stored(keyed.mapInArrow(tidy(_sketch, "near words", "polynomials"), schema).withColumn("row", F.monotonically_increasing_id()))
     reps = sketch.groupBy("key").agg(F.min("row").alias("rep"))
     members = stored(sketch.select("row", "id", "key", "n").join(reps, "key"))
     firsts = members.filter("row = rep").select("row")
@@ -392,10 +413,10 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = keyed.withColumn("hash", F.xxhash64("key"))
     known = stored(
         rows.mapInArrow(asked, rows.schema).join(involved.select("row", "id", "key"), ["id", "key"])
-        .select("row", "text")
+        .select("row", "text").mapInArrow(tidy(_multisets, "near words", "polynomials"), "row long, occ binary")
     )
     if members.filter("row <> rep").join(involved.select("id", "key"), ["id", "key"], "left_semi").limit(1).count():
-        known = stored(known.groupBy("row").agg(F.first("text").alias("text")))  # rows that repeat in id and text
+        known = stored(known.groupBy("row").agg(F.first("occ").alias("occ")))  # rows that repeat in id and text
 
     edges = tested = label = None
     open_ = buckets.withColumn("comp", F.col("row"))

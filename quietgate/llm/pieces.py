@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, remembered, slices
+from .common import record, remembered, slices, tidy
 from .suffixes import _mix
 
 MODEL = "piece_bpe_32k.model"
@@ -117,6 +117,27 @@ class Vocabulary:
         return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
+class Column:
+    """Numbers that are only ever added at the end; room doubles, so each is moved a few times."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.size = np.zeros(1 << 12, kind), 0
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, parts: Iterable[np.ndarray]) -> None:
+        for part in parts:
+            size = self.size + len(part)
+            if size > len(self.room):
+                room = np.zeros(1 << size.bit_length(), self.room.dtype)
+                room[: self.size] = self.all
+                self.room = room
+            self.room[self.size : size] = part
+            self.size = size
+
+
 class Lattice:
     """Words, and the forward-filtered edges of all of them in flat arrays.
 
@@ -130,14 +151,14 @@ class Lattice:
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.high, self.back, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by word: its nodes
+        self.high, self.back, self.piece = Column(np.float64), Column(np.int64), Column(np.int32)
+        self.first, self.last = Column(np.int64), Column(np.int64)  # by word: its nodes
 
     def learn(self, keys: list[str]) -> None:
         """Forward filtering of new words, those of like length together."""
         keys = sorted(keys, key=len)
         parts: list[tuple[np.ndarray, ...]] = []
-        node = int(self.last[-1]) + 1 if len(self.last) else 0
+        node = int(self.last.all[-1]) + 1 if len(self.last.all) else 0
         at = 0
         while at < len(keys):
             wide = len(keys[at])
@@ -149,10 +170,8 @@ class Lattice:
             at += n
         for key in keys:
             self.words[key] = len(self.words)
-        joined = [np.concatenate(c) for c in zip(*parts)]
-        self.high, self.back, self.piece, self.first, self.last = (
-            np.concatenate((old, new)) for old, new in zip((self.high, self.back, self.piece, self.first, self.last), joined)
-        )
+        for column, new in zip((self.high, self.back, self.piece, self.first, self.last), zip(*parts)):
+            column.add(new)
 
     def _filter(self, keys: list[str], node: int) -> tuple[np.ndarray, ...]:
         known = self.vocabulary
@@ -206,7 +225,7 @@ class Lattice:
         Backward sampling of all words at once: each round draws one edge of every word that has
         not come to its start.
         """
-        if len(self.high) > _EDGES:
+        if len(self.high.all) > _EDGES:
             self.forget()
         words = [_words(t) for t in texts]
         new = set().union(*words) - self.words.keys()
@@ -214,7 +233,8 @@ class Lattice:
             self.learn(list(new))
         counts = np.array([len(w) for w in words], np.int64)
         number = np.array([self.words[w] for ws in words for w in ws], np.int64)
-        first, node = self.first[number], self.last[number]
+        high, back, piece = self.high.all, self.back.all, self.piece.all
+        first, node = self.first.all[number], self.last.all[number]
         starts = np.concatenate(([0], np.cumsum(counts)))
         place = np.arange(len(number)) - np.repeat(starts[:-1], counts)
         key = np.repeat(_mix(np.array(keys, np.int64).view(np.uint64)), counts)
@@ -224,10 +244,10 @@ class Lattice:
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
             mixed = _mix(seed[live] + (node - first[live] + 1).astype(np.uint64) * _GOLDEN)
-            edge = np.searchsorted(self.high, node + (mixed >> np.uint64(11)).astype(np.float64) * 2.0**-53, "right")
-            drawn.append((live, self.piece[edge]))
+            edge = np.searchsorted(high, node + (mixed >> np.uint64(11)).astype(np.float64) * 2.0**-53, "right")
+            drawn.append((live, piece[edge]))
             steps[live] += 1
-            node = self.back[edge]
+            node = back[edge]
             live, node = live[node >= 0], node[node >= 0]
         ends = np.cumsum(steps)
         out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
@@ -261,6 +281,10 @@ def _words(text: str) -> list[str]:
     ]
 
 
+#: What a worker keeps between tasks.
+_KEPT = ("pieces", "lattice")
+
+
 def _vocabulary(path: str, theta: float) -> Vocabulary:
     return remembered(("pieces", path, theta), lambda: Vocabulary(path, theta))
 
@@ -277,14 +301,7 @@ def _path(path: str | None) -> str:
     return public_tokenizers.path(MODEL)
 
 
-def encode(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = 0) -> DataFrame:
-    """``doc_id, text, ids``: each text (a null one is empty) and its sampled pieces.
-
-    The key of a row is its id and ``seed``: rows of equal id and text get equal pieces, equal
-    texts of other ids other ones; a null id has a key of its own. One narrow stage.
-    """
-    where = _path(path)
-
+def _encoder(where: str, theta: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _lattice(where, theta)
         for batch in batches:
@@ -295,12 +312,25 @@ def encode(docs: DataFrame, path: str | None = None, theta: float = THETA, seed:
                     [part.column("doc_id"), part.column("text"), lists], names=["doc_id", "text", "ids"]
                 )
 
-    rows = docs.select(
+    return run
+
+
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("key"),
     )
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+
+
+def encode(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = 0) -> DataFrame:
+    """``doc_id, text, ids``: each text (a null one is empty) and its sampled pieces.
+
+    The key of a row is its id and ``seed``: rows of equal id and text get equal pieces, equal
+    texts of other ids other ones; a null id has a key of its own. One narrow stage.
+    """
+    run = _encoder(_path(path), theta)
+    return _keyed(docs, seed).mapInArrow(tidy(run, *_KEPT), "doc_id long, text string, ids array<int>")
 
 
 _DIGEST = pa.schema(
@@ -309,13 +339,10 @@ _DIGEST = pa.schema(
 )
 
 
-def digest(encoded: DataFrame, path: str | None = None, theta: float = THETA) -> DataFrame:
-    """``doc_id, n_chars, n_pieces, ids_crc32, decoded_sha256, lossless`` of encoded rows.
+_DIGEST_COLUMNS = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
 
-    The pieces alone are decoded; ``lossless`` says whether that gave the text again.
-    """
-    where = _path(path)
 
+def _digester(where: str, theta: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(where, theta)
         for batch in batches:
@@ -328,6 +355,23 @@ def digest(encoded: DataFrame, path: str | None = None, theta: float = THETA) ->
             if rows:
                 yield record(_DIGEST, zip(*rows))
 
-    return encoded.mapInArrow(
-        run, "doc_id long, n_chars long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
-    )
+    return run
+
+
+def digest(encoded: DataFrame, path: str | None = None, theta: float = THETA) -> DataFrame:
+    """``doc_id, n_chars, n_pieces, ids_crc32, decoded_sha256, lossless`` of encoded rows.
+
+    The pieces alone are decoded; ``lossless`` says whether that gave the text again. A text
+    without pieces is the empty one; a null id stays null, repeated rows are answered each.
+    """
+    return encoded.mapInArrow(tidy(_digester(_path(path), theta), *_KEPT), _DIGEST_COLUMNS)
+
+
+def encoded_digest(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = 0) -> DataFrame:
+    """:func:`digest` of :func:`encode` in one Python stage: pieces do not leave it."""
+    encoded, told = _encoder(_path(path), theta), _digester(_path(path), theta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from told(encoded(batches))
+
+    return _keyed(docs, seed).mapInArrow(tidy(run, *_KEPT), _DIGEST_COLUMNS)

@@ -81,3 +81,17 @@ def test_rows(spark, clash):
 
 def test_empty_table(spark):
     assert pieces.digest(pieces.encode(frame(spark, []))).collect() == []
+
+
+def test_one_stage_and_two_agree(spark):
+    docs = frame(spark, awkward(), clash=True)
+    two = pieces.digest(pieces.encode(docs)).collect()
+    assert sorted(two, key=str) == sorted(pieces.encoded_digest(docs).collect(), key=str)
+
+
+def test_columns_grow_by_adding():
+    column = pieces.Column(np.int64)
+    parts = [np.arange(k, k + 3000) for k in range(0, 30000, 3000)]
+    for part in parts:
+        column.add([part])
+    assert (column.all == np.arange(30000)).all()
