@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bloom, long_bloom, record, remembered, slices, stored
+from .common import in_bloom, long_bloom, record, remembered, slices, stored, tidy
 
 WINDOW = 400
 GRAM = 320
@@ -40,7 +40,7 @@ MARGIN = WINDOW - GRAM
 _PIECE = 1 << 17
 _BUFFER = 1 << 17
 #: Bytes of text that a task takes from Arrow into Python at a time.
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 #: First sightings of a suffix that a task remembers, to settle copies that it sees itself.
 _SIGHTED = 50_000
 
@@ -445,11 +445,11 @@ def _adjacent(sides: DataFrame) -> DataFrame:
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
     )
-    found = stored(dealt.drop("key").mapInArrow(_sorted_runs, _ADJACENT))
+    found = stored(dealt.drop("key").mapInArrow(tidy(_sorted_runs, "polynomials"), _ADJACENT))
     edges = found.filter(F.col("kind") == _EDGE).coalesce(1).mapInArrow(_across_edges, _ADJACENT)
     pairs = found.filter(F.col("kind") == _PAIR).unionByName(edges)
     merged = pairs.groupBy(*columns).agg(F.collect_set(F.struct("l", "r")).alias("sides"))  # twelve at most
-    return merged.mapInArrow(_known_and_open, _MEMBERS)
+    return merged.mapInArrow(tidy(_known_and_open), _MEMBERS)
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +481,7 @@ def _answers(members: DataFrame, sides: DataFrame) -> DataFrame:
     here = members.join(asked, columns)
     bytes_ = sides.select("id", "hash", "place", "left", "right")
     found = here.join(bytes_, ["id", "hash", "place"]).mapInArrow(
-        _looked_up, "own binary, asks boolean, id long, hash long, low long"
+        tidy(_looked_up), "own binary, asks boolean, id long, hash long, low long"
     )
     found = stored(found)
     twice = found.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own")
@@ -493,7 +493,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     ``docs`` has ``id``, ``hash`` (of the text) and ``text``, none null.
     """
-    anchors = docs.select("text").mapInArrow(_count, "gram long, context long")
+    anchors = docs.select("text").mapInArrow(tidy(_count, "polynomials"), "gram long, context long")
     several = (
         anchors.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("context"), F.max("context").alias("other"))
@@ -507,7 +507,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _candidates(*filters.value)(batches)
 
-    found = stored(docs.mapInArrow(scan, _CANDIDATES))
+    found = stored(docs.mapInArrow(tidy(scan, "polynomials"), _CANDIDATES))
     settled = found.filter(F.col("kind") == _SETTLED).select("id", "hash", "low", "high")
     alike = found.filter(F.col("kind") == _ALIKE).join(
         several.filter("context = other").select("gram", "context"), ["gram", "context"]
@@ -541,34 +541,49 @@ def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``raw`` (its text, a null one empty) and ``spans``.
+_SPANS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
-    Rows that repeat in id and text are texts of their own: each is repeated in the other.
-    Texts that certainly hold nothing repeated (by a filter of bounded size) are not shuffled.
+
+def with_spans(docs: DataFrame, finish: Callable, schema) -> DataFrame:
+    """What ``finish`` makes of batches of ``row``, ``known``, ``raw`` and ``spans``.
+
+    ``row`` has all columns of ``docs`` but the text, ``raw`` is the text (a null one, not
+    ``known``, empty) and ``spans`` its repeated stretches. Rows that repeat in id and text are
+    texts of their own: each is repeated in the other. Texts that certainly hold nothing repeated
+    (by a filter of bounded size) are not shuffled.
     """
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
         F.coalesce("text", F.lit("")).alias("raw"),
-        F.struct(*docs.columns).alias("row"),
+        F.col("text").isNotNull().alias("known"),
+        F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
     ).withColumn("hash", F.xxhash64("raw"))
     found = repeats(rows.select("id", "hash", F.col("raw").alias("text")))
     spans = stored(found.groupBy("id", "hash").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
     touched = docs.sparkSession.sparkContext.broadcast(long_bloom(spans, "hash"))
 
-    def part(inside: bool) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in slices(whole, "raw", _SLICE)):
-                found = in_bloom(touched.value, batch.column("hash").to_numpy())
-                yield batch.filter(pa.array(found == inside))
+    def split(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "raw", _SLICE)):
+            found = in_bloom(touched.value, batch.column("hash").to_numpy())
+            yield batch.filter(pa.array(found == inside))
+
+    def asked_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from split(batches, True)
+
+    def clear_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("row", "known", "raw")
+        yield from finish(
+            pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.nulls(b.num_rows, _SPANS)], names=[*names, "spans"])
+            for b in split(batches, False)
+        )
 
-        return run
+    def joined_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from finish(part for whole in batches for part in slices(whole, "raw", _SLICE))
 
-    clear = rows.mapInArrow(part(False), rows.schema)
-    asked = rows.mapInArrow(part(True), rows.schema)
-    joined = asked.join(spans, ["id", "hash"], "left").select("row", "raw", "spans")
-    none = F.lit(None).cast("array<struct<low:bigint,high:bigint>>")
-    return clear.select("row", "raw", none.alias("spans")).unionByName(joined)
+    clear = rows.mapInArrow(tidy(clear_of), schema)
+    asked = rows.mapInArrow(tidy(asked_of), rows.schema)
+    joined = asked.join(spans, ["id", "hash"], "left").select("row", "known", "raw", "spans")
+    return clear.unionByName(joined.mapInArrow(tidy(joined_of), schema))
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -578,10 +593,10 @@ def summary(docs: DataFrame) -> DataFrame:
          ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "raw", _SLICE)):
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            ids, raws = batch.column("doc_id").to_pylist(), batch.column("raw").cast(pa.binary()).to_pylist()
+            ids, raws = batch.column("row").field(0).to_pylist(), batch.column("raw").cast(pa.binary()).to_pylist()
             for doc, raw, spans in zip(ids, raws, batch.column("spans").to_pylist()):
                 runs = merged(spans)
                 rest = kept(raw, runs)
@@ -589,31 +604,31 @@ def summary(docs: DataFrame) -> DataFrame:
             if rows:
                 yield record(schema, zip(*rows))
 
-    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
-    return found.select("row.doc_id", "raw", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return with_spans(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), finish,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes: ``text`` and ``n_chars`` change, nothing else.
 
-    A character of which a byte goes is gone; a null text stays null.
+    Every copy of a repeated string goes, the first too, as the removal is judged on the input;
+    a character of which a byte goes is gone. A null text stays null, a text that is repeated as
+    a whole becomes empty, and its row stays.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "raw", _SLICE)):
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             raws = batch.column("raw").cast(pa.binary()).to_pylist()
-            spans = batch.column("spans").to_pylist()
-            new = [kept(r, merged(s)).decode("utf-8", "ignore") for r, s in zip(raws, spans)]
+            known, spans = batch.column("known").to_pylist(), batch.column("spans").to_pylist()
+            new = [kept(r, merged(s)).decode("utf-8", "ignore") if k else None for r, s, k in zip(raws, spans, known)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "new"])
 
-    found = with_spans(docs)
-    schema = found.select("row", F.lit("").alias("new")).schema
-    out = found.mapInArrow(run, schema)
-    text = F.when(F.col("row.text").isNotNull(), F.col("new"))
-    columns = {c: F.col("row").getField(c) for c in docs.columns}
-    columns |= {"text": text, "n_chars": F.length(text).cast("long")}
+    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    out = with_spans(docs, finish, docs.select(row, F.col("text").alias("new")).schema)
+    columns = {c: F.col("row").getField(c) for c in docs.columns if c != "text"}
+    columns |= {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
