@@ -33,7 +33,7 @@ COMPONENTS = BANDS * ROWS
 _SLICE = 1 << 18
 #: So many times the rows of a bucket are compared with one centre; what then is not in one
 #: component meets by its rarest shingles.
-_STAR_ROUNDS = 2
+_STAR_ROUNDS = 5
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -364,20 +364,45 @@ def _rarest_pairs(open_: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _centres(open_: DataFrame, turn: int) -> DataFrame:
+def _first_centres(open_: DataFrame) -> DataFrame:
     """``band, c, cc``: of each bucket the row with the most companions in all its buckets.
 
     Copies that differ from each other more than from what they were copied from meet it in
-    their largest buckets, and it is in all of those. Later turns draw by that number.
+    their largest buckets, and it is in all of those.
     """
     sizes = open_.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
     weight = open_.select("band", "row").join(sizes, "band").groupBy("row").agg(F.sum("k").alias("weight"))
-    drawn = F.lit(1.0) if not turn else (F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(1 << 20)) + 1) / F.lit(float(1 << 20))
-    score = (F.col("weight") * drawn).alias("score")
-    rows = open_.select("band", "row", "comp").join(weight, "row").select("band", score, "row", "comp")
-    best = rows.groupBy("band").agg(F.max("score").alias("score"))
-    top = rows.join(best, ["band", "score"]).groupBy("band").agg(F.min("row").alias("c"), F.max("row").alias("last"))
-    return top.join(open_.select("band", F.col("row").alias("c"), F.col("comp").alias("cc")), ["band", "c"]).select("band", "c", "cc")
+    rows = open_.select("band", "row").join(weight, "row")
+    best = rows.groupBy("band").agg(F.max(F.struct("weight", (-F.col("row")).alias("least"))).alias("best"))
+    return best.select("band", (-F.col("best.least")).alias("c"), (-F.col("best.least")).alias("cc"))
+
+
+def _drawn_centres(open_: DataFrame, turn: int) -> DataFrame:
+    """``band, c, cc``: of each bucket's largest component one row, drawn anew each turn.
+
+    What is left of a group of copies meets as many others of it as it has buckets, each turn.
+    """
+    drawn = F.struct(F.xxhash64("row", F.lit(turn)).alias("draw"), "row")
+    each = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("drawn"))
+    best = each.groupBy("band").agg(F.max(F.struct("n", "comp", F.col("drawn.row").alias("c"))).alias("best"))
+    return best.select("band", "best.c", F.col("best.comp").alias("cc"))
+
+
+def _joined_components(label: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``row, label`` after new links: those between what is already one component are left out."""
+    if label is None:
+        return components(new)
+    a, b = (label.select(F.col("row").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    between = new.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")
+    ).filter("a <> b")
+    between = cut(between.distinct())
+    if between.isEmpty():
+        return label
+    merged = components(between)
+    after = merged.select(F.col("row").alias("label"), F.col("label").alias("least"))
+    old = label.join(after, "label", "left").select("row", F.coalesce("least", "label").alias("label"))
+    return cut(old.unionByName(merged.join(label, "row", "left_anti").select("row", "label")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -418,32 +443,34 @@ def classes(docs: DataFrame) -> DataFrame:
     if members.filter("row <> rep").join(involved.select("id", "key"), ["id", "key"], "left_semi").limit(1).count():
         known = stored(known.groupBy("row").agg(F.first("occ").alias("occ")))  # rows that repeat in id and text
 
-    edges = tested = label = None
+    tested = label = None
     open_ = buckets.withColumn("comp", F.col("row"))
     for turn in range(_STAR_ROUNDS + 1):
         last = False
         if turn:
-            told = buckets
+            told = open_.drop("comp")
             if label is not None:
                 told = told.join(label, "row", "left").withColumn("comp", F.coalesce("label", "row")).drop("label")
             else:
                 told = told.withColumn("comp", F.col("row"))
             several = told.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-            open_ = stored(told.join(several.select("band"), "band"))
+            open_ = stored(told.join(several.select("band"), "band").select("row", "band", "comp"))
+            if open_.isEmpty():
+                break
             last = turn == _STAR_ROUNDS
         if last:
             pairs = _rarest_pairs(open_, known)
         else:
-            met = open_.join(_centres(open_, turn), "band").filter("comp <> cc")
+            centres = _drawn_centres(open_, turn) if turn else _first_centres(open_)
+            met = open_.join(centres, "band").filter("comp <> cc")
             pairs = met.select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         new = stored(_verified(pairs, known))
-        edges = new if edges is None else edges.unionByName(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.isEmpty():
-            label = components(edges)
+            label = _joined_components(label, new)
         if last:
             break
     out = members
