@@ -321,6 +321,8 @@ _ADJACENT_TYPES = pa.schema(
      ("gram2", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int64()),
      ("l", pa.int32()), ("r", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]
 )
+#: Digests of repeated strings that a look-up task remembers to have told.
+_TOLD = 200_000
 #: Rows of sorted output passed on at a time.
 _OUT = 20_000
 #: Suffixes of one hash that a task holds and sorts together.
@@ -453,10 +455,15 @@ def _adjacent(sides: DataFrame) -> DataFrame:
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the strings asked for that a suffix may share, and which are its own questions."""
+    """Digests of the strings asked for that a suffix may share, and which are its own questions.
+
+    One that is no question only tells that the string is repeated, so a task says it once while
+    it remembers it; rows come by hash, so that the suffixes of one are in few tasks.
+    """
     schema = pa.schema(
         [("own", pa.binary()), ("asks", pa.bool_()), ("id", pa.int64()), ("hash", pa.int64()), ("low", pa.int64())]
     )
+    told: set[bytes] = set()
     for batch in batches:
         names = ("gram", "gram2", "id", "hash", "place", "known", "open", "asked", "left", "right")
         rows = []
@@ -466,6 +473,12 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if a in mine or any(k["a"] <= a <= k["b"] for k in known):
                     text = b"%d %d %d " % (gram, gram2, a) + left[:a] + right[: MARGIN - a]
                     digest = hashlib.blake2b(text, digest_size=16).digest()
+                    if a not in mine:
+                        if digest in told:
+                            continue
+                        if len(told) >= _TOLD:
+                            told.clear()
+                        told.add(digest)
                     rows.append((digest, a in mine, id_, hash_, place - a))
         if rows:
             yield record(schema, zip(*rows))
@@ -480,11 +493,14 @@ def _answers(members: DataFrame, sides: DataFrame) -> DataFrame:
     )
     here = members.join(asked, columns)
     bytes_ = sides.select("id", "hash", "place", "left", "right")
-    found = here.join(bytes_, ["id", "hash", "place"]).mapInArrow(
+    joined = here.join(bytes_, ["id", "hash", "place"])
+    found = joined.repartitionByRange("gram", "gram2", "id", "place").mapInArrow(
         tidy(_looked_up), "own binary, asks boolean, id long, hash long, low long"
     )
     found = stored(found)
-    twice = found.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own")
+    # A digest that is no question stands for a repeated string, even if it comes once.
+    shared = (F.count(F.lit(1)) > 1) | ~F.bool_and("asks")
+    twice = found.groupBy("own").agg(shared.alias("shared")).filter("shared").select("own")
     return found.filter("asks").join(twice, "own").select("id", "hash", "low", (F.col("low") + WINDOW).alias("high"))
 
 
