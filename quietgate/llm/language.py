@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import record, slices, stored, texts
+from .common import record, slices, stored, texts, tidy
 
 #: Least positions of the filter (a power of two), and hash functions.
 POSITIONS_BITS = 19
@@ -31,12 +31,13 @@ LEAST_RATE = 0.1
 #: Languages in a word of the masks.
 _WORD = 64
 #: Bytes of text that are turned into n-grams at a time.
-_SLICE = 2 << 20
+_SLICE = 1 << 18
 #: Distinct n-grams that a task holds before it passes them on.
 _HELD = 1 << 20
 
 _END = 0xFF  # no byte of UTF-8
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and a few signs that count as neither digits nor letters (fractions, circled numbers).
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -66,6 +67,10 @@ def grams(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, whole, np.concatenate(([0], ends[:-1] + 1))
 
 
+def has_letter(value: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER_OR_NUMBER.finditer(value))
+
+
 def positions(found: np.ndarray, hash_number: int, bits: int) -> np.ndarray:
     return ((found.astype(np.uint64) * _ODD[hash_number]) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -101,14 +106,19 @@ class LanguageFilter:
 
     languages: list[str]  # bit 0 of the first word first; the most frequent language first
     masks: list[np.ndarray]  # one array a word
+    rates: np.ndarray | None = None
 
     def _places(self) -> Iterator[tuple[int, int]]:
         return (divmod(i, _WORD) for i in range(len(self.languages)))
 
     def false_rates(self) -> np.ndarray:
+        """For each language, how likely an n-gram that it lacks seems to be in it. Told once."""
+        if self.rates is not None:
+            return self.rates
         one = [m.dtype.type(1) for m in self.masks]
         bits = [float(np.mean((self.masks[w] >> one[w].dtype.type(i)) & one[w] != 0)) for w, i in self._places()]
-        return np.array(bits) ** HASHES
+        self.rates = np.array(bits) ** HASHES
+        return self.rates
 
     def score(self, values: list[str]) -> list[tuple[str, float, float]]:
         """For each text: language, its share of all corrected counts, its share of the n-grams.
@@ -140,7 +150,7 @@ class LanguageFilter:
         share = top / np.maximum(clean.sum(axis=1), 1e-12)
         cover = np.minimum(1.0, top / np.maximum(total, 1))
         return [
-            (self.languages[b], min(1.0, float(s)), float(c)) if _LETTER.search(v) else ("und", 0.0, 0.0)
+            (self.languages[b], min(1.0, float(s)), float(c)) if has_letter(v) else ("und", 0.0, 0.0)
             for v, b, s, c in zip(values, best, share, cover)
         ]
 
@@ -160,7 +170,7 @@ def fit(train: DataFrame) -> LanguageFilter:
     if not names:
         return LanguageFilter([], [])
     counts = stored(
-        rows.mapInArrow(_count, "lang string, gram long, n long")
+        rows.mapInArrow(tidy(_count), "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -226,7 +236,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
                     [*part.columns, *more], names=[*part.schema.names, *[n for n, _ in _PREDICTED]]
                 )
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -243,6 +253,13 @@ def known_language(docs: DataFrame, model: LanguageFilter, least: float = LEAST_
 
     Columns and values of the rows kept are unchanged.
     """
-    told = predict(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col("text")), model)
-    kept = told.filter((F.col("lang_pred") != "und") & (F.col("coverage") >= least))
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    known = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = LanguageFilter(*known.value)
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                found = learned.score([v or "" for v in part.column("text").to_pylist()])
+                yield part.filter(pa.array([lang != "und" and cover >= least for lang, _, cover in found]))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
