@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .common import record, remembered, texts
+from .common import record, remembered, texts, tidy
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
     return texts(docs).select(ids, "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        tidy(run, "encoder"), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

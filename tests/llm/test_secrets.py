@@ -95,7 +95,7 @@ def test_redaction_marks_every_span_and_keeps_the_rest(spark):
     got = secrets.redacted(docs)
     assert got.columns == docs.columns
     by = {(r.doc_id, r.text) for r in got.collect()}
-    assert (9, "é字😀 [secret] [secret]") in by
+    assert (9, "é字😀 [secret]\" [secret]") in by  # the closing quote is no part of the value
     assert (1, None) in by and (-7, "one two three") in by
 
 
@@ -114,6 +114,39 @@ def test_prefixed_names_and_blanks(text):
     assert base_ or added == [(start, 3, start + len(_VALUE))]
 
 
+@pytest.mark.parametrize("text, value", [
+    ('password: hunter2kX9vQ;nextfield=abc', "hunter2kX9vQ"), (f'token=("{_VALUE}")', _VALUE), (f"call(pwd={_VALUE}, 3)", _VALUE),
+    (f"pwd=a(b)[{_VALUE}])", f"a(b)[{_VALUE}]"), ('passphrase = "café9#kLmN2pQx"', "café9#kLmN2pQx"), (f"pwd is {_VALUE}.", _VALUE),
+    ('passphrase: "kX9v, Q2mL; b7Tw"', "kX9v, Q2mL; b7Tw"), (f"pwd: '{_VALUE} and so on", _VALUE), (f"pwd := `{_VALUE}`", _VALUE),
+    (f'{{"pwd":"{_VALUE}","user":"anna"}}', _VALUE),
+])
+def test_a_value_ends_where_it_should(text, value):
+    start = text.index(value)
+    base_, added, _ = secrets.find(text)
+    assert (start, 3, start + len(value)) in added or any(b >= start + len(value) for _, _, b in base_)
+    assert all(b <= start + len(value) for _, _, b in added)
+
+
+def test_words_of_the_table_are_cheap_and_repeated_secrets_are_not(spark):
+    prose = "password is important for everybody who writes"
+    rows = [(i, f"{prose} important things {i}", "en", "a", 0) for i in range(30)]
+    rows += [(100 + i, "pwd = kXvQmRzLbTwp and a word", "en", "a", 0) for i in range(60)]
+    docs = frame(spark, rows)
+    assert secrets.find(prose)[1]  # by the short list of common words alone it is dear
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    assert all(got[i].n_guess == 0 for i in range(30))
+    assert all(got[100 + i].n_guess == 1 for i in range(60))
+    assert {r.text for r in secrets.redacted(docs).collect() if r.doc_id >= 100} == {"pwd = [secret] and a word"}
+
+
+def test_a_very_long_value_is_read_in_a_window():
+    import tracemalloc
+    value = "".join(random.Random(1).choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(30_000))
+    tracemalloc.start()
+    assert secrets.guess_cost(value) > 1000
+    assert tracemalloc.get_traced_memory()[1] < 1_500_000
+
+
 def test_names_inside_words_put_no_credential_after_them():
     for text in (f"the trespass is {_VALUE}", f"compass: {_VALUE}", f"pwd\n= {_VALUE}", f"xpwd={_VALUE}"):
         assert secrets.find(text)[1] == [], text
