@@ -34,7 +34,7 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.digest(pieces.encode(table(spark, folder, "documents")))
+    return pieces.encoded_digest(table(spark, folder, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
