@@ -1,7 +1,8 @@
 """Training-data pipeline over ``documents``: five stages, each written and read again.
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
-columns of ``documents``.
+columns of ``documents``. Nulls may stand in any column and rows may repeat, in id, text or both;
+an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -14,28 +15,46 @@ from quietgate.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language learned from the rows that are not held out."""
+    """Keeps documents in a language learned from the rows that are not held out.
+
+    A null or empty text, or one without a letter, goes; so does one few of whose n-grams belong
+    to its language. Rows that repeat meet the same fate each, ties of languages go to the more
+    frequent one, and a null ``lang`` teaches nothing but is no reason to go.
+    """
     held_out = F.coalesce(language.fold_of(F.col("doc_id"), 3) == 1, F.lit(False))
     return language.known_language(docs, language.fit(docs.filter(~held_out)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates: that of the least id (null lowest).
+
+    Equal texts are one class, null and empty ones too; of rows that repeat in id and text one
+    stays. Its columns and values are unchanged.
+    """
     return near.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes long repeated byte strings from the texts."""
+    """Removes byte strings of 400 or more that stand twice, in one text or several, every copy.
+
+    The first copy goes too, as removal is judged on the input: a passage that many documents
+    share is boilerplate here and leaves the corpus whole. Every row stays, one of which nothing
+    is left with an empty text; a null text stays null.
+    """
     return suffixes.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Marks secrets in the texts."""
+    """Replaces secrets in the texts by a mark; every row stays, null and empty texts as they are."""
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every piece of every document in a training sequence."""
+    """Places every piece of every document in a training sequence.
+
+    A null or empty text is one piece of one id; repeated rows are packed each. Returns pieces,
+    not documents.
+    """
     return packing.pack(docs)
 
 
