@@ -97,27 +97,40 @@ def looks_json(value: Column) -> Column:
 _SLASH, _QUOTE = "\ue000", "\ue001"
 _MARK = "\ue002"
 _NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
-_ATOM = rf"(?<![0-9A-Za-z.+\-])(?:{_NUMBER}|true|false|null)(?![0-9A-Za-z.+\-])"
-# Any value is ATOM (strings keep their own mark, since only a string may be a key).
-_VALUE = "\ue003"
-_ITEM = f"[{_MARK}{_VALUE}]"
-_CONTAINER = (
-    rf"\[{_ITEM}(?:,{_ITEM})*+\]"
-    rf"|\{{{_MARK}:{_ITEM}(?:,{_MARK}:{_ITEM})*+\}}"
-)
 
 
-def _well_formed(structure: Column, max_depth: int) -> Column:
-    """Grammar and depth check of JSON whose string literals were replaced by a mark.
+def _shallow(structure: Column, max_depth: int) -> Column:
+    """Whether brackets outside string literals nest no deeper than ``max_depth``; an empty pair is
+    a value like any other.
 
-    Innermost containers collapse to a value once per round, so the text reduces to a single
-    value within ``max_depth`` rounds exactly when it is one document of at most that depth.
+    Only a text with more opening brackets than that needs the pass that counts the depth.
     """
-    # Neighbouring atoms leave two values side by side, which no container pattern accepts.
-    shape = F.regexp_replace(F.regexp_replace(structure, _ATOM, _VALUE), r"[ \t\r\n]+", "")
-    shape = F.regexp_replace(shape, r"\[\]|\{\}", _VALUE)
-    for _ in range(max_depth):
-        shape = F.regexp_replace(shape, _CONTAINER, _VALUE)
+    nested = F.regexp_replace(structure, r"\[[ \t\r\n]*+\]|\{[ \t\r\n]*+\}|[^\[\]{}]++", "")
+    opened = F.length(F.regexp_replace(nested, r"[\]}]++", ""))
+    step = lambda b: F.when(b.isin("[", "{"), 1).otherwise(-1)
+    deepest = F.aggregate(
+        F.split(nested, ""),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")),
+        lambda acc, b: F.struct(
+            F.when(b == "", acc["at"]).otherwise(acc["at"] + step(b)).alias("at"),
+            F.when(b == "", acc["most"]).otherwise(F.greatest(acc["most"], acc["at"] + step(b))).alias("most"),
+        ),
+        lambda acc: acc["most"],
+    )
+    return F.when(opened <= max_depth, F.lit(True)).otherwise(deepest <= max_depth)
+
+
+def _one_document(text: Column, structure: Column) -> Column:
+    """One strict JSON document and nothing after it, its numbers finite.
+
+    The JVM parser is strict but stops after the first document. Inside an array what follows
+    could only be told from it if it closed the array or went on in it, inside an object if it
+    closed the object or named another key; nothing does both.
+    """
+    alone = (
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+        & F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNotNull()
+    )
     overflow = F.when(
         structure.rlike(r"[0-9][eE]|[0-9]{300}"),
         F.exists(
@@ -125,7 +138,7 @@ def _well_formed(structure: Column, max_depth: int) -> Column:
             lambda n: F.abs(n.try_cast("double")) == float("inf"),
         ),
     ).otherwise(F.lit(False))
-    return shape.rlike(rf"\A{_ITEM}\z") & ~overflow
+    return alone & ~overflow
 
 
 def json_strings(text: Column, max_depth: int = 32) -> Column:
@@ -161,10 +174,10 @@ def json_strings(text: Column, max_depth: int = 32) -> Column:
         good = (
             (F.size(parts) % 2 == 1)
             & ~bad
-            & ~structure.rlike(rf"[{_SLASH}{_QUOTE}{_VALUE}]")
+            & ~structure.rlike(rf"[{_SLASH}{_QUOTE}]")
             & (_count(structure, _MARK) == F.size(literals))
-            & _well_formed(structure, max_depth)
-            & F.try_parse_json(text).isNotNull()
+            & _shallow(structure, max_depth)
+            & _one_document(text, structure)
         )
         return F.when(good, decoded)
 

@@ -6,10 +6,17 @@ skewed side. Keys that are few by nature (hours) are salted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Executors need not have this package installed: ship its helpers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Largest time block of the interval index: 2**20 seconds, above the 7-day policy lifetime.
 _TOP = 20
@@ -131,32 +138,35 @@ def policy_segments(policies: DataFrame, bucket: int = 3600) -> DataFrame:
     )
 
 
+def _salt(events: DataFrame) -> Column:
+    """A number below ``HOUR_PARTS`` from the values of a row, the same whenever it is computed."""
+    plain = [f.name for f in events.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.pmod(F.xxhash64(*plain), F.lit(HOUR_PARTS)).cast("int")
+
+
 def policy_asof(events: DataFrame, policies: DataFrame, bucket: int = 3600) -> DataFrame:
-    """Add the policy in force at each event's ``ts_s``: ``in_force`` (0 when none) and ``in_force_rules``."""
-    segments = (
-        policy_segments(policies, bucket)
-        .join(policies.select("revision", F.col("rules").alias("in_force_rules")), "revision")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOUR_PARTS - 1))))
+    """Add the policy in force at each event's ``ts_s``: ``in_force`` (0 when none) and ``in_force_rules``.
+
+    Events may be a stream: rows are salted by their own values, and the policies' side is a
+    plain table, read again for every micro-batch.
+    """
+    segments = policy_segments(policies, bucket).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(HOUR_PARTS - 1)))
     )
     keyed = events.withColumns(
-        {
-            "bucket": F.floor(F.col("ts_s") / bucket).cast("long"),
-            "part": F.pmod(F.monotonically_increasing_id(), F.lit(HOUR_PARTS)).cast("int"),
-        }
+        {"bucket": F.floor(F.col("ts_s") / bucket).cast("long"), "part": _salt(events)}
     )
     e, s = keyed.alias("e"), segments.alias("s")
-    return e.join(
+    held = e.join(
         s,
         (F.col("e.bucket") == F.col("s.bucket"))
         & (F.col("e.part") == F.col("s.part"))
         & (F.col("e.ts_s") >= F.col("s.lo"))
         & (F.col("e.ts_s") < F.col("s.hi")),
         "left",
-    ).select(
-        *[F.col(f"e.{c}") for c in events.columns],
-        F.coalesce("s.revision", F.lit(0)).alias("in_force"),
-        F.col("s.in_force_rules"),
-    )
+    ).select(*[F.col(f"e.{c}") for c in events.columns], F.coalesce("s.revision", F.lit(0)).alias("in_force"))
+    rules = policies.select(F.col("revision").alias("in_force"), F.col("rules").alias("in_force_rules"))
+    return held.join(rules, "in_force", "left").select(*events.columns, "in_force", "in_force_rules")
 
 
 def applicable_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
@@ -212,28 +222,48 @@ def corpus_leak(corpus: DataFrame, benchmark: DataFrame, text: str = "text") ->
     )
 
 
-def _word_runs(text: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` blank-separated words."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w, i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
+#: Characters of passages that one automaton holds, on average.
+PASSAGE_CHARS = 1 << 20
 
 
 def passage_leak(
-    corpus: DataFrame, benchmark: DataFrame, key: str, text: str = "text", words: int = 8
+    corpus: DataFrame, benchmark: DataFrame, key: str, text: str = "text", least: int = 1
 ) -> DataFrame:
-    """Corpus rows (``key``) that hold a whole benchmark passage of at least ``words + 2`` words.
+    """Corpus rows (``key``) that hold a whole benchmark passage of at least ``least`` characters.
 
-    A passage is met by one run of its inner words, which stand between blanks wherever the
-    passage stands: an equi join of hashes, no pairs. What it meets is then tested verbatim.
+    Passages are dealt into blocks of ``PASSAGE_CHARS`` characters; each block is an automaton of
+    all its passages, broadcast, and every text runs through it once, whole and where it lies.
+    Only keys of hits leave a task. A null text holds nothing, a null passage is none.
     """
-    inner = F.slice(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""), 2, words)
-    long_enough = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")) >= words + 2
-    frozen = benchmark.filter(long_enough).select(
-        F.xxhash64(F.array_join(inner, " ")).alias("_run"), F.col(text).alias("_passage")
-    )
-    runs = corpus.select(key, text, F.explode(F.array_distinct(_word_runs(F.col(text), words))).alias("_run"))
-    met = runs.join(frozen, "_run").filter(F.contains(F.col(text), F.col("_passage")))
-    return met.select(key).distinct()
+    passages = benchmark.select(F.col(text).alias("_p")).filter(F.length("_p") >= max(1, least)).distinct()
+    total = passages.agg(F.coalesce(F.sum(F.length("_p").cast("long")), F.lit(0))).first()[0]
+    blocks = -(-total // PASSAGE_CHARS)
+    rows = corpus.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    found = rows.select("_key").limit(0)
+    dealt = passages.withColumn("_block", F.pmod(F.xxhash64("_p"), F.lit(max(1, blocks))))
+    for block in range(blocks):
+        held = [r["_p"] for r in dealt.filter(F.col("_block") == block).select("_p").collect()]
+        if held:
+            scan = _holders(corpus.sparkSession.sparkContext.broadcast(held))
+            found = found.unionByName(rows.mapInArrow(scan, found.schema))
+    return found.distinct().select(F.col("_key").alias(key))
+
+
+def _holders(passages: Broadcast):
+    """Keys of the texts that hold one of the passages."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for passage in passages.value:
+            automaton.add_word(passage)
+        automaton.make_automaton()
+        for batch in batches:
+            hit = [t.is_valid and next(automaton.iter(t.as_py()), None) is not None for t in batch.column("_text")]
+            yield batch.select(["_key"]).filter(pa.array(hit, pa.bool_()))
+
+    return scan
 
 
 def id_coverage(preds: DataFrame, expected: DataFrame, key: str = "id") -> DataFrame:

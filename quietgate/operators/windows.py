@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+from bisect import insort
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,54 +76,56 @@ def revision_check(installs: DataFrame, chunk: int = 86400) -> DataFrame:
     ).drop("_first_hash", "_seen")
 
 
+def _successors(known: DataFrame, chunk: int) -> DataFrame:
+    """``expected, at, next``: for each proposal the first later one of the revision after its own.
+
+    Proposals of a revision and those that look for one there are read backwards in time, hour
+    by hour, so a revision that a third of all proposals expect is many tasks.
+    """
+    asked = known.select((F.col("expected") + 1).alias("expected"), "at", F.lit(0).alias("_is"))
+    both = known.select("expected", "at", F.lit(1).alias("_is")).unionByName(asked)
+    seen = running(
+        both,
+        ["expected"],
+        [F.desc("at"), "_is"],
+        -F.floor(F.col("at._t") / (chunk * 1_000_000)),
+        {"next": ("min", F.when(F.col("_is") == 1, F.col("at")))},
+    )
+    return seen.filter(F.col("_is") == 0).select((F.col("expected") - 1).alias("expected"), "at", "next")
+
+
 def publish_outcome(
-    proposals: DataFrame, start: int | None = None, chunk: int = 1000
+    proposals: DataFrame, start: int | None = None, chunk: int = 3600
 ) -> DataFrame:
     """Of proposals expecting the same revision the first one to arrive while it is current wins.
 
     ``start`` is the revision in force before the first proposal (default: the lowest expected).
     The winner of a revision is the first proposal that arrives after the winner of the one
-    before. That is found as a fixed point: each round raises every revision's earliest
-    possible winner above those before it, and it ends when nothing moves. Well-behaved
-    histories need one round; no task ever sees the whole history.
+    before. So every proposal has one successor, and the winners are the chain from the first
+    winner. Links are doubled each round, and the winners found so far follow them: a chain of n
+    revisions takes about log2(n) rounds, whatever the history, and no task sees it whole.
     """
-    known = proposals.select(
-        F.col("expected_revision").alias("expected"), F.struct("ts", "id").alias("at")
-    )
+    at = F.struct(micros(proposals, "ts").alias("_t"), "id")
+    known = proposals.select(F.col("expected_revision").alias("expected"), at.alias("at"))
     lowest = known.agg(F.min("expected").alias("m")) if start is None else None
     base = F.lit(start) if start is not None else lowest.select("m").scalar()
     known = known.filter(F.col("expected") >= base)
-    found = known.groupBy("expected").agg(F.min("at").alias("at"))
+    jump = cut(_successors(known, chunk).filter(F.col("next").isNotNull()).select("at", "next"))
+    first = known.filter(F.col("expected") == base).agg(F.min("at").alias("at"))
+    won = cut(first.filter(F.col("at").isNotNull()))
     while True:
-        floor = running(
-            found, [], ["expected"], F.floor(F.col("expected") / chunk),
-            {"_low": ("max", F.col("at"))}, inclusive=False,
-        ).select("expected", "_low")
-        raised = cut(
-            known.join(floor, "expected")
-            .filter(F.col("_low").isNull() | (F.col("at") > F.col("_low")))
-            .groupBy("expected")
-            .agg(F.min("at").alias("at"))
-        )
-        moved = found.alias("f").join(raised.alias("r"), "expected", "left").filter(
-            F.col("r.at").isNull() | (F.col("r.at") != F.col("f.at"))
-        )
-        stable = moved.isEmpty()
-        found = raised
-        if stable:
+        reached = won.join(jump, "at").select(F.col("next").alias("at"))
+        if reached.isEmpty():
             break
-    # Revisions after a gap were never reached.
-    ranked = running(
-        found, [], ["expected"], F.floor(F.col("expected") / chunk), {"_rn": ("sum", F.lit(1))}
-    )
-    winners = ranked.filter(F.col("_rn") == F.col("expected") - base + 1).select(
-        F.col("expected").alias("expected_revision"), F.col("at.id").alias("_winner")
-    )
-    won = F.coalesce(F.col("id") == F.col("_winner"), F.lit(False))
-    return proposals.join(winners, "expected_revision", "left").select(
+        # The links cross from the winners so far to as many more, so no proposal comes twice.
+        won = cut(won.unionByName(reached))
+        after = jump.select(F.col("at").alias("next"), F.col("next").alias("_then"))
+        jump = cut(jump.join(after, "next").select("at", F.col("_then").alias("next")))
+    winners = won.select(F.col("at.id").alias("id"), F.lit(True).alias("_won"))
+    return proposals.join(winners, "id", "left").select(
         *proposals.columns,
-        F.when(won, "published").otherwise("conflict").alias("outcome"),
-        F.when(won, F.col("expected_revision") + 1).alias("revision"),
+        F.when(F.col("_won"), "published").otherwise("conflict").alias("outcome"),
+        F.when(F.col("_won"), F.col("expected_revision") + 1).alias("revision"),
     )
 
 
@@ -153,73 +157,80 @@ def token_redeem(
     )
 
 
-def _capacity_fold(max_n: int, max_bytes: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        device, used_n, used_b = None, 0, 0
-        for pdf in batches:
-            flags = []
-            for dev, size, base_n, base_b in zip(
-                pdf["device_id"], pdf["bytes"], pdf["_base_n"], pdf["_base_b"]
-            ):
-                if dev != device:
-                    device, used_n, used_b = dev, int(base_n), int(base_b)
-                fits = used_n < max_n and used_b + size <= max_bytes
-                if fits:
-                    used_n += 1
-                    used_b += int(size)
-                flags.append(fits)
-            yield pdf.assign(accepted=flags)[["device_id", "event_id", "seq", "accepted"]]
-
-    return fold
-
-
 def queue_capacity(
     queue: DataFrame, max_n: int = 4096, max_bytes: int = 4 << 20, chunk: int = 1000
 ) -> DataFrame:
     """Accept while the device queue has room for the row; a later, smaller row may still fit.
 
-    Everything up to a device's first overflow is decided by running sums. After it, room only
-    shrinks, so rows larger than the room left are refused at once; the few that might fit are
-    folded in order, streamed through sorted partitions.
+    Everything up to a device's first overflow is decided by running sums. After it room only
+    shrinks, and rows larger than the room are out for good. Of the rest, rows of at most half
+    the room all fit until one of three things happens: their sum passes half the room, a larger
+    row fits beside them, or the count is full. The first of these is found by running sums, and
+    leaves less than half the room: so a device takes as many rounds as its room has bits at
+    most, each over the rows that may still fit, and is many tasks in each.
     """
+    at = F.floor(F.col("seq") / chunk)
     sized = running(
-        queue,
-        ["device_id"],
-        ["seq"],
-        F.floor(F.col("seq") / chunk),
-        {"_n": ("sum", F.lit(1)), "_b": ("sum", F.col("bytes"))},
+        queue, ["device_id"], ["seq"], at, {"_n": ("sum", F.lit(1)), "_b": ("sum", F.col("bytes"))},
     ).withColumn("_over", (F.col("_n") > max_n) | (F.col("_b") > max_bytes))
     heads = sized.groupBy("device_id").agg(
         F.min(F.when(F.col("_over"), F.col("seq"))).alias("_stop"),
     )
-    placed = sized.join(heads, "device_id").withColumn(
-        "_head", F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))
+    placed = cut(
+        sized.join(heads, "device_id")
+        .withColumn("_head", F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
+        .drop("_over", "_stop")
     )
-    base = placed.filter("_head").groupBy("device_id").agg(
-        F.max("_n").alias("_base_n"), F.max("_b").alias("_base_b")
-    )
-    late = (
-        placed.filter(~F.col("_head"))
-        .join(base, "device_id", "left")
-        .na.fill(0, ["_base_n", "_base_b"])
-        .filter((F.col("_base_n") < max_n) & (F.col("_base_b") + F.col("bytes") <= max_bytes))
-        .select("device_id", "event_id", "seq", "bytes", "_base_n", "_base_b")
-        .repartition("device_id")
-        .sortWithinPartitions("device_id", "seq")
-    )
-    schema = T.StructType(
-        [*[queue.schema[c] for c in ("device_id", "event_id", "seq")], T.StructField("accepted", T.BooleanType())]
+    used = placed.filter("_head").groupBy("device_id").agg(F.max("_n").alias("_n"), F.max("_b").alias("_b"))
+    # What a device has left after the head; one whose first row overflows has all of it.
+    room = (
+        placed.filter(~F.col("_head")).select("device_id").distinct().join(used, "device_id", "left")
+        .select(
+            "device_id", (F.lit(max_n) - F.coalesce("_n", F.lit(0))).alias("_left"),
+            (F.lit(max_bytes) - F.coalesce("_b", F.lit(0))).alias("_room"), F.lit(None).cast("long").alias("_last"),
+        )
     )
-    fitted = late.mapInPandas(_capacity_fold(max_n, max_bytes), schema).filter("accepted")
-    return (
-        placed.join(
-            fitted.select("device_id", "event_id", "seq", F.lit(True).alias("_late")),
-            ["device_id", "event_id", "seq"],
-            "left",
+    rows = placed.filter(~F.col("_head")).select("device_id", "seq", "bytes")
+    fitted: DataFrame | None = None
+    while True:
+        open_ = cut(
+            rows.join(room, "device_id").filter(
+                (F.col("_left") > 0) & (F.col("bytes") <= F.col("_room"))
+                & (F.col("_last").isNull() | (F.col("seq") > F.col("_last")))
+            ).drop("_last")
+        )
+        if open_.isEmpty():
+            break
+        rows = open_.select("device_id", "seq", "bytes")
+        small = F.col("bytes") * 2 <= F.col("_room")
+        summed = running(
+            open_, ["device_id"], ["seq"], at,
+            {"_s": ("sum", F.when(small, F.col("bytes")).otherwise(0)), "_c": ("sum", small.cast("long"))},
+        )
+        fits = ~small & (F.col("bytes") + F.col("_s") <= F.col("_room")) & (F.col("_c") < F.col("_left"))
+        full = small & ((F.col("_s") * 2 > F.col("_room")) | (F.col("_c") >= F.col("_left")))
+        events = summed.filter(fits | full).groupBy("device_id").agg(F.min("seq").alias("_last"))
+        told = summed.join(events, "device_id", "left").filter(
+            (small & (F.col("_last").isNull() | (F.col("seq") <= F.col("_last")))) | (F.col("seq") == F.col("_last"))
         )
-        .withColumn("accepted", F.col("_head") | F.coalesce("_late", F.lit(False)))
-        .withColumn("outcome", F.when(F.col("accepted"), "queued").otherwise("outbox_full"))
-        .select(*queue.columns, "accepted", "outcome")
+        taken = cut(told.select("device_id", "seq", "bytes", "_left", "_room", "_last"))
+        more = taken.select("device_id", "seq")
+        fitted = more if fitted is None else fitted.unionByName(more)
+        # A device without such an event has taken all that fits it.
+        room = taken.filter(F.col("_last").isNotNull()).groupBy("device_id").agg(
+            (F.max("_left") - F.count(F.lit(1))).alias("_left"), (F.max("_room") - F.sum("bytes")).alias("_room"),
+            F.max("_last").alias("_last"),
+        )
+    out = placed.select(*queue.columns, "_head")
+    if fitted is None:
+        out = out.withColumn("accepted", F.col("_head"))
+    else:
+        late = fitted.withColumn("_late", F.lit(True))
+        out = out.join(late, ["device_id", "seq"], "left").withColumn(
+            "accepted", F.col("_head") | F.coalesce("_late", F.lit(False))
+        )
+    return out.withColumn("outcome", F.when(F.col("accepted"), "queued").otherwise("outbox_full")).select(
+        *queue.columns, "accepted", "outcome"
     )
 
 
@@ -264,55 +275,177 @@ def best_checkpoint(log: DataFrame) -> DataFrame:
     )
 
 
-def _throttle_fold(limit: int, window: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        account, admitted = object(), []
-        for pdf in batches:
-            flags = []
-            for acc, t in zip(pdf["account"], pdf["_t"]):
-                if acc != account:
-                    account, admitted = acc, []
-                admitted = [a for a in admitted if t - a < window]
-                ok = len(admitted) < limit
-                if ok:
-                    admitted.append(t)
-                flags.append(ok)
-            yield pdf.assign(admitted=flags)[["account", "attempt_id", "admitted"]]
+#: Windows of time in one chunk of an account: states mostly meet again within a chunk.
+CHUNK_WINDOWS = 64
+
+
+def _admitted(times: np.ndarray, state: list[int], limit: int, window: int) -> np.ndarray:
+    """Which attempts, in order of time, are admitted. ``state`` (the latest admitted, at most
+    ``limit``, ascending) is brought up to date. Refused stretches are jumped over."""
+    out = np.zeros(len(times), bool)
+    at = 0
+    while at < len(times) and limit > 0:
+        t = int(times[at])
+        if len(state) >= limit and t - state[0] < window:
+            at += int(np.searchsorted(times[at:], state[0] + window))
+            continue
+        out[at] = True
+        insort(state, t)
+        if len(state) > limit:
+            del state[0]
+        at += 1
+    return out
+
+
+def _flag_fold(limit: int, window: int, names: list[str]):
+    """Over chunks of an account, each led by a row with its entry state: which attempts are admitted."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list[int] = []
+        for batch in batches:
+            lead = batch.column("_kind").to_numpy() == 0
+            times = batch.column("_t").to_numpy()
+            flags = np.zeros(batch.num_rows, bool)
+            start = 0
+            for end in [*np.flatnonzero(lead).tolist(), batch.num_rows]:
+                if end > start:
+                    flags[start:end] = _admitted(times[start:end], state, limit, window)
+                if end < batch.num_rows:
+                    state = sorted(batch.column("_entry")[end].as_py())
+                start = end + 1
+            out = [batch.column("account"), batch.column("attempt_id"), pa.array(flags)]
+            yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(~lead))
 
     return fold
 
 
-def attempt_throttle(attempts: DataFrame, limit: int = 20, seconds: int = 60) -> DataFrame:
-    """Admit an attempt only if fewer than ``limit`` were admitted in the last ``seconds``.
+def _exit_fold(limit: int, window: int, size: int):
+    """Over runs of chunks, each run led by a row with its entry state: every chunk's entry and exit."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list[int] = []
+        entry: list[int] = []
+        account = chunk = kind = None
+        out: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            lists = pa.list_(pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), lists, lists))]
+            return pa.RecordBatch.from_arrays(columns, names=["account", "_chunk", "_entry", "_exit"])
+
+        for batch in batches:
+            kind = batch.schema.field("account").type
+            lead = batch.column("_kind").to_numpy() == 0
+            chunks, times = batch.column("_chunk").to_numpy(), batch.column("_t").to_numpy()
+            new = lead.copy()
+            new[1:] |= chunks[1:] != chunks[:-1]
+            new[:1] = True
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                if lead[a] or chunks[a] != chunk:
+                    if chunk is not None:
+                        out.append((account, chunk, entry, list(state)))
+                    chunk = int(chunks[a])
+                    if lead[a]:
+                        account = batch.column("account")[a].as_py()
+                        state = sorted(batch.column("_entry")[a].as_py())
+                    else:
+                        state = [x for x in state if x > chunk * size - window]
+                    entry = list(state)
+                a += bool(lead[a])
+                _admitted(times[a:b], state, limit, window)
+            if len(out) >= 10_000:
+                yield told()
+                out.clear()
+        if chunk is not None:
+            out.append((account, chunk, entry, list(state)))
+        if out:
+            yield told()
+
+    return fold
 
-    Refused attempts do not count, so the rule is sequential; but a gap of ``seconds`` without
-    any attempt forgets everything. Accounts are cut at such gaps and the pieces are folded in
-    parallel, each streamed in time order with at most ``limit`` numbers of state.
+
+def throttle(
+    attempts: DataFrame, limit: int, seconds: int, before: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Which attempts are admitted, and each account's latest admitted times (microseconds).
+
+    The rule is sequential, so it is run speculatively: an account's time is cut into chunks of
+    ``CHUNK_WINDOWS`` windows, every chunk is folded from a guessed entry state, and those whose
+    entry turns out otherwise (it is the exit of the chunk before) are folded again, until none
+    is. Mostly states meet again within a chunk, and few chunks are folded twice. Where they do
+    not, as in a steady flood, a round goes on over twice as many chunks as the one before: so
+    rounds are at most the logarithm of an account's chunks. Rows stream through a fold; its
+    state is at most ``limit`` numbers. Flags are told by chunk, many tasks for a busy account.
+
+    ``before`` (``account, admitted``) holds what earlier calls admitted.
     """
     window = seconds * 1_000_000
-    timed = attempts.withColumn("_t", micros(attempts, "ts"))
-    order, hour = ["_t", "attempt_id"], F.floor(F.col("_t") / 3_600_000_000)
-    # The attempt before this one, hour by hour, so one busy account is not one task.
-    gaps = running(
-        timed, ["account"], order, hour, {"_prev": ("max", F.col("_t"))}, inclusive=False
-    ).withColumn(
-        "_start",
-        F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= window), F.col("_t")),
-    )
-    pieces = running(gaps, ["account"], order, hour, {"_piece": ("max", F.col("_start"))})
-    schema = T.StructType(
-        [
-            attempts.schema["account"],
-            attempts.schema["attempt_id"],
-            T.StructField("admitted", T.BooleanType()),
-        ]
+    size = max(1, window) * CHUNK_WINDOWS
+    times = "array<long>"
+    parts = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(
+        attempts.select(
+            "account", "attempt_id", F.floor(micros(attempts, "ts") / size).cast("long").alias("_chunk"),
+            micros(attempts, "ts").cast("long").alias("_t"), F.lit(1).alias("_kind"),
+            F.array().cast(times).alias("_entry"),
+        )
     )
-    return (
-        pieces.select("account", "attempt_id", "_piece", "_t")
-        .repartition("account", "_piece")
-        .sortWithinPartitions("account", "_piece", "_t", "attempt_id")
-        .mapInPandas(_throttle_fold(limit, window), schema)
+    key = ["account", "_chunk"]
+
+    def led(todo: DataFrame, entries: DataFrame, by: Column) -> DataFrame:
+        leads = entries.select(
+            "account", F.lit(None).cast(rows.schema["attempt_id"].dataType).alias("attempt_id"), "_chunk",
+            F.lit(0).cast("long").alias("_t"), F.lit(0).alias("_kind"), "_entry",
+        )
+        order = ["account", "_run", "_chunk", "_kind", "_t", "attempt_id"]
+        return todo.unionByName(leads).withColumn("_run", by).repartition(parts, "account", "_run").sortWithinPartitions(*order)
+
+    def folded(todo: DataFrame, entries: DataFrame, by: Column) -> DataFrame:
+        lists = T.ArrayType(T.LongType())
+        schema = T.StructType([rows.schema["account"], rows.schema["_chunk"]]).add("_entry", lists).add("_exit", lists)
+        return led(todo, entries, by).mapInArrow(_exit_fold(limit, window, size), schema)
+
+    entry = rows.select(*key).distinct()
+    first = entry.groupBy("account").agg(F.min("_chunk").alias("_chunk"))
+    if before is None:
+        first = first.withColumn("_first", F.lit(None).cast(times))
+    else:
+        first = first.join(before.select("account", F.col("admitted").alias("_first")), "account", "left")
+    entry = entry.join(first, key, "left").select(*key, F.coalesce("_first", F.array().cast(times)).alias("_entry"))
+    known = cut(folded(rows, entry, F.col("_chunk")))
+    turn = 0
+    while True:
+        prior = known.select("account", (F.col("_chunk") + 1).alias("_chunk"), F.col("_exit").alias("_prior"))
+        # A chunk is longer than a window, so only the chunk just before it counts.
+        recent = F.filter("_prior", lambda a: a > F.col("_chunk") * size - window)
+        wanted = known.join(prior, key, "left").withColumn("_next", F.coalesce(recent, F.col("_entry")))
+        changed = wanted.filter(F.col("_next") != F.col("_entry"))
+        run = F.shiftright("_chunk", turn)
+        starts = cut(
+            changed.groupBy("account", run.alias("_run")).agg(F.min(F.struct("_chunk", "_next")).alias("_start"))
+            .select("account", "_run", F.col("_start._chunk").alias("_from"), F.col("_start._next").alias("_next"))
+        )
+        if starts.isEmpty():
+            break
+        todo = rows.withColumn("_run", run).join(starts.select("account", "_run", "_from"), ["account", "_run"])
+        entries = starts.select("account", F.col("_from").alias("_chunk"), F.col("_next").alias("_entry"))
+        again = cut(folded(todo.filter(F.col("_chunk") >= F.col("_from")).select(*rows.columns), entries, run))
+        known = cut(known.join(again.select(*key), key, "left_anti").unionByName(again))
+        turn += 1
+    told = T.StructType(
+        [rows.schema["account"], rows.schema["attempt_id"], T.StructField("admitted", T.BooleanType())]
     )
+    flags = led(rows, known.select(*key, "_entry"), F.col("_chunk")).mapInArrow(_flag_fold(limit, window, told.names), told)
+    return flags, known.groupBy("account").agg(F.max_by("_exit", "_chunk").alias("admitted"))
+
+
+def attempt_throttle(attempts: DataFrame, limit: int = 20, seconds: int = 60) -> DataFrame:
+    """Admit an attempt only if fewer than ``limit`` were admitted in the last ``seconds``.
+
+    Refused attempts do not count. Attempts of one time are taken by ``attempt_id``.
+    """
+    return throttle(attempts, limit, seconds)[0]
 
 
 def throttle_estimate(

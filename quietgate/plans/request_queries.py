@@ -13,23 +13,23 @@ from .scan_queries import rules_sql
 CATALOG = Catalog()
 
 
-def _bodies(requests):
+def bodies(requests):
     return requests.withColumn("body", F.encode("body_text", "UTF-8")).drop("body_text", "text")
 
 
 _READ = """CASE WHEN method = 'CONNECT' OR path LIKE '%FF' OR content_type LIKE '%latin1'
       OR (content_type = 'application/json' AND body_text LIKE '%,') THEN false ELSE true END"""
 _FLAGS = rules_sql("requests", "text", "text", "*")
-_DECIDED = f"""SELECT id, host, method, cast(strlen(body_text) as bigint) AS body_len,
+DECIDED_REQUESTS = f"""SELECT id, host, method, conv_id, turn, cast(strlen(body_text) as bigint) AS body_len,
       CASE WHEN NOT ({_READ}) THEN 'uninspectable_request' WHEN rules <> '' OR path LIKE '%mail=%' THEN 'sensitive_data' ELSE 'clean' END AS reason,
       CASE WHEN NOT ({_READ}) THEN '' WHEN path LIKE '%mail=%' AND rules NOT LIKE '%email%'
         THEN concat_ws(',', nullif(rules, ''), 'email') ELSE rules END AS rules
     FROM ({_FLAGS}) f"""
 
 
-@CATALOG.add("requests", sql=f"SELECT id, reason, rules FROM ({_DECIDED}) d")
+@CATALOG.add("requests", sql=f"SELECT id, reason, rules FROM ({DECIDED_REQUESTS}) d")
 def inspect_requests(requests):
-    return req.inspect_requests(_bodies(requests)).select(
+    return req.inspect_requests(bodies(requests)).select(
         "id", "reason", F.array_join("rules", ",").alias("rules")
     )
 
@@ -38,10 +38,10 @@ def inspect_requests(requests):
     "requests",
     sql=f"""SELECT id, body_len, CASE WHEN reason = 'clean' THEN 'allow' ELSE 'block' END AS action,
       CASE WHEN reason = 'clean' THEN 'logged' ELSE 'blocked' END AS event_action,
-      CASE WHEN host = 'chatgpt.com' THEN 'ChatGPT' ELSE 'other' END AS service FROM ({_DECIDED}) d""",
+      CASE WHEN host = 'chatgpt.com' THEN 'ChatGPT' ELSE 'other' END AS service FROM ({DECIDED_REQUESTS}) d""",
 )
 def action_of(requests):
-    decided = req.action_of(req.inspect_requests(_bodies(requests)), {"chatgpt.com": "ChatGPT"})
+    decided = req.action_of(req.inspect_requests(bodies(requests)), {"chatgpt.com": "ChatGPT"})
     return decided.select(
         "id", F.col("body_len").cast("long").alias("body_len"), "action", "event_action", "service"
     )
@@ -52,7 +52,7 @@ def action_of(requests):
     sql="SELECT id, CASE WHEN method = 'CONNECT' THEN 'unsupported_method' END AS guard FROM requests",
 )
 def request_guard(requests):
-    return req.request_guard(_bodies(requests)).select("id", "guard")
+    return req.request_guard(bodies(requests)).select("id", "guard")
 
 
 @CATALOG.add(

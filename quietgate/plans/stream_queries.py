@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import scan
 from ..streaming import streams
 from .catalog import Catalog
 from .ingest_queries import THROTTLE_SQL
+from .policy_queries import with_maps
 from .report_queries import rule_array
+from .request_queries import DECIDED_REQUESTS, bodies
 from .scan_queries import _CARD_TEXT, rules_sql
 
 CATALOG = Catalog()
@@ -62,20 +65,114 @@ def stream_dedup(events):
     return streams.run_available(arrived.select("device_id", "event_id"))
 
 
+def _arrivals(df, part, n):
+    """The frame as ``n`` micro-batches, by a number below ``n``."""
+    numbered = df.withColumn("_part", part)
+    return [numbered.filter(F.col("_part") == k).drop("_part") for k in range(n)]
+
+
+def _sunk(arrivals, sink, columns):
+    """What a ``foreachBatch`` writer has written after all arrivals, each run from the checkpoint."""
+    spark = arrivals[0].sparkSession
+    folder = streams.new_folder(spark)
+    streams.run_arrivals(arrivals, lambda stream, at: stream.writeStream.foreachBatch(sink(at)), folder)
+    return spark.read.schema(columns).parquet(f"{folder}/rows").select(*columns.names)
+
+
+#: Six stretches of the month in order, and one more for what arrives a stretch late.
+STRETCH, STRETCHES = 5 * 86400, 7
+
+
 @CATALOG.add(
     "resent",
-    sql="""SELECT device_id, event_id, count(*) AS copies, min(body_len) <> max(body_len) AS differs FROM resent GROUP BY ALL""",
-    read=as_stream,
+    sql="""SELECT device_id, event_id, count(*) AS copies, count_if(nth = 1) AS firsts, min(body_len) <> max(body_len) AS differs
+    FROM (SELECT *, row_number() OVER (PARTITION BY device_id, event_id) AS nth FROM resent) r GROUP BY device_id, event_id""",
 )
 def stream_conflicts(events):
-    out = streams.run_available(streams.stream_conflicts(_arrival(events), "60 days"))
+    """Copies arrive in seven micro-batches, some of an event a stretch after the others; what is
+    two stretches old is forgotten."""
+    late = F.least(F.floor(F.col("ts_s") / STRETCH), F.lit(STRETCHES - 2)) + F.col("body_len") % 2
+    arrived = _arrivals(_arrival(events), F.greatest(late, F.lit(0)), STRETCHES)
+    key = [events.schema[c] for c in ("device_id", "event_id")]
+    out = _sunk(
+        arrived, lambda at: streams.conflict_sink(at, 3 * STRETCH),
+        T.StructType([*key, T.StructField("status", T.StringType())]),
+    )
     return out.groupBy("device_id", "event_id").agg(
-        F.count(F.lit(1)).alias("copies"), (F.count_if(F.col("status") == "conflict") > 0).alias("differs")
+        F.count(F.lit(1)).alias("copies"), F.count_if(F.col("status") == "new").alias("firsts"),
+        (F.count_if(F.col("status") == "conflict") > 0).alias("differs"),
     )
 
 
-@CATALOG.add("attempts", sql=THROTTLE_SQL, read=as_stream)
+@CATALOG.add("attempts", sql=THROTTLE_SQL)
 def stream_throttle(attempts):
-    """One stored file arrives as one batch, so this is the batch meaning."""
+    """Attempts arrive in six micro-batches; accounts go on from the state of the one before."""
     timed = attempts.withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.run_available(streams.stream_throttle(timed, 3, 3600, "60 days"))
+    seconds = F.floor(F.unix_micros("ts") / 1_000_000)
+    first = timed.select(F.min(seconds).alias("m"))
+    part = F.least(F.floor((seconds - first.select("m").scalar()) / STRETCH), F.lit(STRETCHES - 2))
+    schema = T.StructType([*[timed.schema[c] for c in ("account", "attempt_id")], T.StructField("admitted", T.BooleanType())])
+    return _sunk(_arrivals(timed, part, STRETCHES - 1), lambda at: streams.throttle_sink(at, 3, 3600), schema)
+
+
+#: Requests come in five micro-batches; a fifth of all policies is published before each.
+BATCHES = 5
+_ASKED = f"""SELECT d.*, turn % {BATCHES} AS part, conv_id * 977 % 2592000 AS ts_s FROM ({DECIDED_REQUESTS}) d"""
+_HELD = f"""SELECT a.*, coalesce((SELECT max(revision) FROM policies p
+      WHERE p.revision % {BATCHES} <= a.part AND p.issued_at <= a.ts_s + 60 AND p.expires_at > a.ts_s
+        AND p.expires_at > p.issued_at AND p.expires_at - p.issued_at <= 604800), 0) AS in_force FROM ({_ASKED}) a"""
+
+
+@CATALOG.add(
+    "requests", "policies", "policy_rules",
+    sql=f"""WITH held AS MATERIALIZED ({_HELD}),
+    each AS (SELECT id, in_force, unnest(string_split(rules, ',')) AS rule FROM held WHERE rules <> ''),
+    hit AS (SELECT e.id, count_if(coalesce(r.action, 'block') <> 'monitor') > 0 AS blocked
+      FROM each e LEFT JOIN policy_rules r ON r.revision = e.in_force AND r.rule = e.rule GROUP BY e.id)
+    SELECT h.id, in_force AS effective_revision,
+      CASE WHEN in_force = 0 THEN 'policy_unavailable' ELSE reason END AS effective_reason,
+      CASE WHEN in_force = 0 OR reason = 'uninspectable_request' THEN '' ELSE rules END AS effective_rules,
+      CASE WHEN in_force = 0 THEN 'block' WHEN reason = 'clean' THEN 'allow'
+           WHEN reason = 'sensitive_data' AND NOT coalesce(blocked, false) THEN 'monitor' ELSE 'block' END AS effective_action
+    FROM held h LEFT JOIN hit ON hit.id = h.id""",
+)
+def stream_inspect(requests, policies, policy_rules):
+    """Requests are inspected as they arrive and decided under the policies published by then."""
+    maps = with_maps(policies, policy_rules)
+    timed = requests.withColumn("ts_s", F.col("conv_id") * 977 % 2592000)
+    arrived = _arrivals(bodies(timed).drop("conv_id"), F.col("turn") % BATCHES, BATCHES)
+
+    def published(_spark, epoch):
+        return maps.filter(F.col("revision") % BATCHES <= epoch)
+
+    spark = requests.sparkSession
+    folder = streams.new_folder(spark)
+
+    def start(stream, at):
+        return streams.stream_inspect(stream).writeStream.foreachBatch(streams.decision_sink(f"{at}/rows", published))
+
+    streams.run_arrivals(arrived, start, folder)
+    schema = "id string, effective_revision long, effective_reason string, effective_rules array<string>, effective_action string"
+    rows = spark.read.schema(schema).parquet(f"{folder}/rows").drop("epoch")
+    return rows.withColumn("effective_rules", F.array_join("effective_rules", ","))
+
+
+@CATALOG.add(
+    "report_rows",
+    sql="""SELECT device_id, max(received_at) AS received_at, arg_max(CASE WHEN day % 2 = 0 THEN 'running' ELSE 'starting' END, day) AS engine_state
+    FROM report_rows GROUP BY device_id""",
+)
+def stream_device_state(rows):
+    """Newest report of each device; reports arrive in eighteen micro-batches, out of order."""
+    reports = rows.groupBy("report_id", "device_id", "received_at", "day").agg(F.lit(1).alias("_n")).select(
+        "report_id", "device_id", "received_at", F.when(F.col("day") % 2 == 0, "running").otherwise("starting").alias("engine_state"),
+        "day",
+    )
+    n = 18
+    arrived = [x.drop("day") for x in _arrivals(reports, (F.col("day") * 7) % n, n)]
+    spark, schema = rows.sparkSession, arrived[0].schema
+    folder = streams.new_folder(spark)
+    streams.run_arrivals(
+        arrived, lambda stream, at: stream.writeStream.foreachBatch(streams.latest_state_sink(f"{at}/state")), folder
+    )
+    return streams.latest_state(spark, f"{folder}/state", schema, n).select("device_id", "received_at", "engine_state")

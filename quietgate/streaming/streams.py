@@ -8,21 +8,22 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import spans as S
 from ..functions.clock import micros
-from ..functions.lineage import shared_folder
+from ..functions.lineage import cut, shared_folder
 from ..operators.decide import effective_action
 from ..operators.ingest import payload_hash
 from ..operators.requests import inspect_requests
+from ..operators.windows import throttle
+from .keyed import KeyedState
 
 # Executors need not have this package installed: ship its helpers by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -56,12 +57,31 @@ def stream_scan(stream: DataFrame, keep: list[str], text: str = "text") -> DataF
 
 
 def stream_inspect(stream: DataFrame, policies: DataFrame | None = None) -> DataFrame:
-    """Inspect arriving requests and, given policies, decide each under the one in force."""
+    """Inspect arriving requests and, given policies, decide each under the one in force.
+
+    ``policies`` is what is known when the stream starts; :func:`decision_sink` reads them anew
+    for every micro-batch.
+    """
     seen = inspect_requests(stream).withColumn("body_len", F.octet_length("body"))
     slim = seen.drop("body", "path", "content_type")
     return slim if policies is None else effective_action(slim, policies)
 
 
+def decision_sink(path: str, policies: Callable[[SparkSession, int], DataFrame]):
+    """``foreachBatch`` writer that decides inspected requests under the policies known by then.
+
+    ``policies(spark, epoch)`` is called for every micro-batch, so a policy published while the
+    stream runs holds from the next one on. The index of its periods is built for the batch; the
+    requests are salted by their own values, so that one busy hour is many tasks.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        decided = effective_action(batch, policies(batch.sparkSession, epoch))
+        decided.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
 def stream_dedup(stream: DataFrame, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """First copy of each (device, event). Retries later than ``delay`` are no longer known."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(
@@ -69,45 +89,46 @@ def stream_dedup(stream: DataFrame, delay: str = "1 hour", ts: str = "ts") -> Da
     )
 
 
-def _status(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    first = state.get[0] if state.exists else None
-    for pdf in batches:
-        out = []
-        for value in pdf["payload"]:
-            if first is None:
-                first = value
-                out.append("new")
-            else:
-                out.append("retry" if value == first else "conflict")
-        yield pd.DataFrame(
-            {"device_id": key[0], "event_id": key[1], "status": out}
-        )
-    state.update((first,))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + _KEEP_MS)
-
-
-_KEEP_MS = 3_600_000
-
+def conflict_sink(path: str, remember: int = 3600, compact: int = 16):
+    """``foreachBatch`` writer of every arriving copy's status: ``path/rows`` holds them.
 
-def stream_conflicts(stream: DataFrame, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """Status of every arriving copy against the first payload seen: new, retry or conflict.
-
-    The first payload is forgotten an hour after the watermark passes it.
+    A copy is ``new`` if it is the first of its event, by event time in the micro-batch that
+    brings the event, else ``retry`` if its payload is that one's and ``conflict`` if not. Copies
+    are aggregated by the least hash before they meet the state. A first payload is forgotten
+    once arrivals are ``remember`` seconds past it.
     """
-    device, event = stream.schema["device_id"], stream.schema["event_id"]
-    out = T.StructType([device, event, T.StructField("status", T.StringType())])
-    return (
-        stream.withWatermark(ts, delay)
-        .withColumn("payload", payload_hash())
-        .select("device_id", "event_id", "payload", ts)
-        .groupBy("device_id", "event_id")
-        .applyInPandasWithState(
-            _status, out, "payload string", "append", GroupStateTimeout.EventTimeTimeout
+    key = ["device_id", "event_id"]
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        held = T.StructType(
+            [*[batch.schema[c] for c in key], T.StructField("payload", T.StringType()), T.StructField("at", T.LongType())]
+        )
+        state = KeyedState(f"{path}/state", held, key, compact)
+        copies = cut(
+            batch.select(*key, payload_hash().alias("_h"), micros(batch, "ts").alias("_at"))
+            .withColumn("_id", F.monotonically_increasing_id())
+        )
+        firsts = copies.groupBy(*key).agg(F.min(F.struct("_at", "_h", "_id")).alias("_first"))
+        known = cut(firsts.join(state.newest(spark, epoch), key, "left"))
+        fresh = F.col("payload").isNull()
+        told = copies.join(known, key).select(
+            *key,
+            F.when(fresh & (F.col("_id") == F.col("_first._id")), "new")
+            .when(F.col("_h") == F.coalesce("payload", F.col("_first._h")), "retry")
+            .otherwise("conflict")
+            .alias("status"),
+        )
+        told.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        latest = copies.agg(F.max("_at")).first()[0]
+        keep = None if latest is None else F.col("at") > latest - remember * 1_000_000
+        state.write(
+            epoch,
+            known.filter(fresh).select(*key, F.col("_first._h").alias("payload"), F.col("_first._at").alias("at")),
+            keep,
         )
-    )
+
+    return write
 
 
 def stream_counts(
@@ -134,83 +155,82 @@ def stream_counts(
     )
 
 
-def _admit(limit: int, seconds: float):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        admitted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "attempt_id"])
-        flags = []
-        for t in rows["t"]:
-            admitted = [a for a in admitted if t - a < seconds]
-            ok = len(admitted) < limit
-            if ok:
-                admitted.append(float(t))
-            flags.append(ok)
-        state.update((admitted,))
-        last = admitted[-1] if admitted else 0.0
-        state.setTimeoutTimestamp(
-            max(state.getCurrentWatermarkMs() + 1, int((last + seconds) * 1000))
-        )
-        yield pd.DataFrame(
-            {"account": key[0], "attempt_id": rows["attempt_id"].to_numpy(), "admitted": flags}
-        )
-
-    return run
+def throttle_sink(path: str, limit: int = 20, seconds: int = 60, delay: int = 60):
+    """``foreachBatch`` writer of the exact sliding throttle: ``path/rows`` holds the decisions.
 
-
-def stream_throttle(
-    stream: DataFrame, limit: int = 20, seconds: int = 60, delay: str = "1 minute"
-) -> DataFrame:
-    """Exact sliding throttle per account; state is at most ``limit`` times.
-
-    Attempts are taken in time order within a micro-batch; one that arrives in a later batch is
-    judged against what was admitted by then.
+    A micro-batch is decided by the batch operator, so an account with a third of its attempts
+    is many tasks; between micro-batches an account's state is its latest admitted times,
+    ``limit`` at most. An attempt that arrives in a later batch is judged against what was
+    admitted by then. State is forgotten when nothing that comes at most ``delay`` seconds late
+    can meet it any more.
     """
-    out = T.StructType(
-        [
-            stream.schema["account"],
-            stream.schema["attempt_id"],
-            T.StructField("admitted", T.BooleanType()),
-        ]
-    )
-    return (
-        stream.withWatermark("ts", delay)
-        .withColumn("t", micros(stream, "ts") / 1_000_000)
-        .select("account", "attempt_id", "t", "ts")
-        .groupBy("account")
-        .applyInPandasWithState(
-            _admit(limit, float(seconds)),
-            out,
-            "admitted array<double>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        held = T.StructType(
+            [batch.schema["account"], T.StructField("admitted", T.ArrayType(T.LongType())), T.StructField("latest", T.LongType())]
         )
-    )
+        state = KeyedState(f"{path}/state", held, ["account"])
+        rows = batch.select("account", "attempt_id", "ts")
+        before = state.newest(spark, epoch).join(rows.select("account").distinct(), "account", "left_semi")
+        decided, after = throttle(rows, limit, seconds, before)
+        decided.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        latest = rows.agg(F.max(micros(rows, "ts"))).first()[0]
+        told = after.withColumn("latest", F.array_max("admitted"))
+        keep = None if latest is None else F.col("latest") > latest - (seconds + delay) * 1_000_000
+        state.write(epoch, told, keep)
+
+    return write
 
 
 def latest_state_sink(path: str):
     """``foreachBatch`` writer that keeps the newest accepted report of each device.
 
-    Each micro-batch is reduced per device, merged with the stored generation and written as the
-    next generation, so a failed batch can be retried: it writes the same folder again.
+    Each micro-batch is reduced per device and written as a delta (see :class:`KeyedState`),
+    with only the devices whose state it changes. :func:`latest_state` reads the result.
     """
-    state = F.struct("received_at", "report_id")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
-        if epoch > 0:
-            merged = batch.unionByName(spark.read.parquet(f"{path}/generation={epoch - 1}"))
-        newest = merged.groupBy("device_id").agg(
-            F.max_by(F.struct(*batch.columns), state).alias("s")
-        )
-        newest.select("s.*").write.mode("overwrite").parquet(f"{path}/generation={epoch}")
+        order = F.struct("received_at", "report_id")
+        state = KeyedState(path, batch.schema, ["device_id"])
+        newest = batch.groupBy("device_id").agg(F.max_by(F.struct(*batch.columns), order).alias("s")).select("s.*")
+        held = state.newest(batch.sparkSession, epoch).select("device_id", order.alias("_held"))
+        later = newest.join(held, "device_id", "left").filter(F.col("_held").isNull() | (order > F.col("_held")))
+        state.write(epoch, later.select(*batch.columns))
 
     return write
 
 
+def latest_state(spark: SparkSession, path: str, schema: T.StructType, epochs: int) -> DataFrame:
+    """The state that :func:`latest_state_sink` holds after so many micro-batches."""
+    return KeyedState(path, schema, ["device_id"]).newest(spark, epochs)
+
+
+def run_arrivals(
+    arrivals: Sequence[DataFrame], start: Callable[[DataFrame, str], DataStreamWriter], folder: str
+) -> None:
+    """Let frames arrive one after the other, each a micro-batch of a query started anew.
+
+    ``start(stream, folder)`` gives the query's writer. The query stops after each arrival and
+    goes on from its checkpoint, so state and progress are read back every time.
+    """
+    spark, schema = arrivals[0].sparkSession, arrivals[0].schema
+    for n, frame in enumerate(arrivals):
+        frame.write.mode("overwrite").parquet(f"{folder}/arrived/part={n}")
+        stream = spark.readStream.schema(schema).option("basePath", f"{folder}/arrived").parquet(f"{folder}/arrived/part=*")
+        writer = start(stream.select(*schema.names), folder).option("checkpointLocation", f"{folder}/progress")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+
+
+def collected(stream: DataFrame, folder: str) -> DataStreamWriter:
+    """Writer of an append stream into ``folder/rows``."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows")
+
+
 def run_available(stream: DataFrame) -> DataFrame:
     """Run an append stream over what has arrived, into files, and read the result back.
 
@@ -218,14 +238,7 @@ def run_available(stream: DataFrame) -> DataFrame:
     restarted and nothing passes through the driver.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    folder = new_folder(spark)
+    writer = collected(stream, folder).option("checkpointLocation", f"{folder}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
