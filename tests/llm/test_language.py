@@ -86,3 +86,8 @@ def test_the_filter_grows_with_the_grams_and_leaves_rare_ones_out(spark, monkeyp
     assert model.score(["zzzzz"])[0][2] > 0.5
     monkeypatch.setattr(language, "LEAST_SHARE", 3e-4)
     assert language.fit(docs).score(["zzzzz"])[0][2] == 0
+
+
+@pytest.mark.parametrize("text, told", [("²½①", False), ("3 ² x", True), ("", False), ("字", True), ("_ 12", False), ("é", True)])
+def test_numbers_that_are_no_digits_are_no_letters(text, told):
+    assert language.has_letter(text) == told == any(c.isalpha() for c in text)

@@ -141,10 +141,11 @@ def test_words_of_the_table_are_cheap_and_repeated_secrets_are_not(spark):
 
 def test_a_very_long_value_is_read_in_a_window():
     import tracemalloc
-    value = "".join(random.Random(1).choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(30_000))
+    rng = random.Random(1)
+    value = "".join(rng.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(10_000))
     tracemalloc.start()
     assert secrets.guess_cost(value) > 1000
-    assert tracemalloc.get_traced_memory()[1] < 1_500_000
+    assert tracemalloc.get_traced_memory()[1] < 500_000
 
 
 def test_names_inside_words_put_no_credential_after_them():
