@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quietgate.operators import aggregates, corpus, joins, sets, sorts, windows
@@ -130,3 +131,13 @@ def test_scorer_learns_and_scores_each_content_once(spark):
     assert test.count() == 60
     assert test.filter("abs(p_match + p_no_match + p_insufficient - 1) > 1e-9").isEmpty()
     assert set(out["gates"].columns) == {"allow", "block"}
+
+
+@pytest.mark.parametrize("chars", [1 << 20, 6])
+def test_passages_of_any_length_are_found(spark, monkeypatch, chars):
+    monkeypatch.setattr(joins, "PASSAGE_CHARS", chars)
+    docs = [(1, "one two three"), (2, "a b c d e f g h i j k"), (3, None), (4, ""), (5, "xone twox"), (6, "é字😀!"), (1, "again two")]
+    items = [("one two",), ("d e f",), ("字😀",), (None,), ("",), ("not there",), ("one two",)]
+    got = joins.passage_leak(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "text string"), "doc_id")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 5, 6]
+    assert joins.passage_leak(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([], "text string"), "doc_id").collect() == []

@@ -102,6 +102,19 @@ def test_publish_outcome_matches_the_sequential_rule(spark):
         assert len(out) == n or case == 3
 
 
+def test_a_chain_of_a_thousand_revisions_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    kept = windows.cut
+    monkeypatch.setattr(windows, "cut", lambda df: cuts.append(1) or kept(df))
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(seconds=3 * r), 2 * r, r) for r in range(1, 1001)]
+    rows += [(base + dt.timedelta(seconds=3 * r + 1), 2 * r + 1, r) for r in range(1, 1001)]
+    df = spark.createDataFrame(rows, "ts timestamp, id int, expected_revision long")
+    out = windows.publish_outcome(df, start=1).collect()
+    assert {r.id for r in out if r.outcome == "published"} == {2 * r for r in range(1, 1001)}
+    assert len(cuts) <= 2 + 2 * 12
+
+
 def test_two_proposals_one_wins(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(t, 1, 1), (t, 2, 1)], "ts timestamp, id int, expected_revision long")
