@@ -156,7 +156,7 @@ def long_bloom(rows: DataFrame, column: str) -> np.ndarray:
             words, mask = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
             yield record(schema, (words.astype(np.int64), mask.view(np.int64)))
 
-    placed = rows.select(column).mapInArrow(place, "word long, bits long")
+    placed = rows.select(column).mapInArrow(tidy(place), "word long, bits long")
     found = placed.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)

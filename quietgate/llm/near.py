@@ -339,7 +339,7 @@ def _rarest_pairs(open_: DataFrame, known: DataFrame) -> DataFrame:
     alone pair nothing.
     """
     multisets = open_.select("row", "comp").distinct().join(known, "row")
-    each = stored(multisets.mapInArrow(_elements, "row long, comp long, n int, element long"))
+    each = stored(multisets.mapInArrow(tidy(_elements), "row long, comp long, n int, element long"))
     often = each.groupBy("element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     rare = each.join(often, "element").groupBy("row", "comp", "n").agg(
         F.array_sort(F.collect_list(F.struct("often", "element"))).alias("by")  # a text's own
@@ -437,7 +437,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     rows = keyed.withColumn("hash", F.xxhash64("key"))
     known = stored(
-        rows.mapInArrow(asked, rows.schema).join(involved.select("row", "id", "key"), ["id", "key"])
+        rows.mapInArrow(tidy(asked), rows.schema).join(involved.select("row", "id", "key"), ["id", "key"])
         .select("row", "text").mapInArrow(tidy(_multisets, "near words", "polynomials"), "row long, occ binary")
     )
     if members.filter("row <> rep").join(involved.select("id", "key"), ["id", "key"], "left_semi").limit(1).count():
@@ -525,8 +525,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
         return run
 
-    clear = rows.mapInArrow(part(False), rows.schema).select("row")
-    asked = rows.mapInArrow(part(True), rows.schema).join(told.select("id", "key", "keep"), ["id", "key"], "left")
+    clear = rows.mapInArrow(tidy(part(False)), rows.schema).select("row")
+    asked = rows.mapInArrow(tidy(part(True)), rows.schema).join(told.select("id", "key", "keep"), ["id", "key"], "left")
     alone = asked.filter("keep is null").select("row")
     kept = asked.filter("keep = 1").groupBy("id", "key").agg(F.first("row").alias("row")).select("row")
     out = clear.unionByName(alone).unionByName(kept)
