@@ -90,19 +90,14 @@ def corpus_profile_by_source(docs):
 
 
 @CATALOG.add(
-    "documents",
+    "planted",
     sql=f"""SELECT source, lang, count(*) AS documents, count_if(rules <> '') AS hit,
-      count_if(rules LIKE '%credit_card%' OR rules LIKE '%kr_rrn%') AS high,
-      count_if(list_contains(string_split(rules, ','), 'kr_rrn')) AS n_kr_rrn,
-      count_if(list_contains(string_split(rules, ','), 'credit_card')) AS n_credit_card,
-      count_if(list_contains(string_split(rules, ','), 'kr_phone')) AS n_kr_phone,
-      count_if(list_contains(string_split(rules, ','), 'email')) AS n_email
-    FROM ({_DOCS}) f GROUP BY ROLLUP (source, lang)""",
+      count_if(rules <> '' AND rules NOT IN ('email', 'kr_phone', 'email,kr_phone')) AS high,
+      {", ".join(f"count_if(list_contains(string_split(rules, ','), '{r.rule}')) AS n_{r.rule}" for r in RULES)}
+    FROM ({_PLANTED}) f GROUP BY ROLLUP (source, lang)""",
 )
 def profile_rollup(docs):
-    return scan.corpus_profile(
-        docs, ["source", "lang"], enabled=["kr_rrn", "credit_card", "kr_phone", "email"], totals=True
-    )
+    return scan.corpus_profile(docs, ["source", "lang"], totals=True)
 
 
 @CATALOG.add(
@@ -329,16 +324,18 @@ def finding_metadata(docs):
 
 
 @CATALOG.add(
-    "documents",
-    sql=r"""WITH cut AS (SELECT doc_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b') AS m,
-        regexp_split_to_array(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b') AS g FROM documents),
-    masked AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] ||
-        CASE WHEN i <= len(m) THEN left(m[i], 2) || repeat('*', length(m[i]) - 4) || right(m[i], 2) ELSE '' END), '') AS text FROM cut),
-    flat AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS t FROM masked)
+    "planted",
+    sql=_KEPT + f""", parts AS (SELECT doc_id, list({{'s': s, 'e': e, 'm': {_MASKED}}} ORDER BY s) AS f FROM kept GROUP BY doc_id),
+    masked AS (SELECT p.doc_id, CASE WHEN f IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(f) + 1), lambda i:
+        substr(text, CASE WHEN i = 1 THEN 1 ELSE f[i-1].e + 1 END, f[i].s - CASE WHEN i = 1 THEN 0 ELSE f[i-1].e END) || f[i].m), '')
+          || substr(text, f[len(f)].e + 1) END AS text
+      FROM planted p LEFT JOIN parts USING (doc_id)),
+    flat AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x1c-\\x1f\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS t FROM masked)
     SELECT doc_id, CASE WHEN length(t) > 400 THEN left(t, 400) || '…' ELSE t END AS preview FROM flat""",
 )
 def masked_preview(docs):
-    return scan.masked_preview(docs.select("doc_id", "text"), enabled=["email"])
+    """Every rule at once."""
+    return scan.masked_preview(docs.select("doc_id", "text"))
 
 
 @CATALOG.add(

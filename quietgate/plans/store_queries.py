@@ -10,6 +10,7 @@ from ..functions.lineage import shared_folder
 from ..operators import scan
 from ..sources import readers, sinks
 from .catalog import Catalog
+from .corpus_queries import content_hash_sql, json_text
 from .scan_queries import _PHONE, has_card, has_rrn
 
 CATALOG = Catalog()
@@ -48,19 +49,20 @@ def read_files(docs):
     )
 
 
+_WRITTEN_JSON = {c: json_text(c) for c in ("id", "split", "source_family", "text", "gold")} | {
+    "document_id": json_text("sha256(text)")
+}
+
+
 @CATALOG.add(
     "corpus",
-    sql="""SELECT split, count(*) AS rows, count(DISTINCT source_family) AS families, count(DISTINCT text) AS documents,
-      true AS same_hash FROM corpus GROUP BY split""",
+    sql=f"""SELECT split, count(*) AS rows, count(DISTINCT source_family) AS families, count(DISTINCT text) AS documents,
+      {content_hash_sql(_WRITTEN_JSON)} AS content_hash FROM corpus GROUP BY split""",
 )
 def write_split_jsonl(rows):
-    """The manifest of what was written, and whether its hash is that of the rows themselves."""
+    """The manifest of what was written."""
     named = rows.select("id", "split", "source_family", F.sha2("text", 256).alias("document_id"), "text", "gold")
-    written = sinks.write_splits(named, new_folder(rows.sparkSession))
-    fresh = sinks.split_manifest(named).select("split", F.col("content_hash").alias("own"))
-    return written.join(fresh, "split").select(
-        "split", "rows", "families", "documents", (F.col("content_hash") == F.col("own")).alias("same_hash")
-    )
+    return sinks.write_splits(named, new_folder(rows.sparkSession))
 
 
 @CATALOG.add(
