@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Four small transducers are composed into one automaton that reads a clause's words once:
-insults (a lexicon learned from labels: words and word beginnings), threats, targets, negation
-and reported speech. What it writes for a clause (an insult plain, negated or reported, with or
-without a target, a threat against a target) is summed and maximised over clauses; a logistic
-model learned from labels turns that into a score.
+Five small transducers (reported speech, negation, targets, insults, threats) are composed into
+one automaton that reads a text's words and marks once. The first three mark what they read for
+the last two; insults are a lexicon learned from labels, words and word beginnings. What is
+written (an insult plain, negated or reported, with a target on either side, a threat against a
+target on either side) is summed and maximised over clauses; a logistic model learned from labels
+turns that into a score.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ THREATS = frozenset(
     "verprügeln erschießen tuer frapper brûler détruire massacrer matar golpear quemar destruir".split()
 )
 NEGATIONS = frozenset(
-    "not no never none isn aren wasn don doesn didn won without nicht kein keine nie niemals ohne "
+    "not no never none cannot without dont cant wont isnt nicht kein keine nie niemals ohne "
     "pas jamais aucun sans nunca jamás ningún ninguna sin".split()
 )
 REPORTS = frozenset(
@@ -48,13 +49,18 @@ REPORTS = frozenset(
     "schrieb behauptet dit disait écrit affirme dijo dice escribió afirma".split()
 )
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,|\n]")
+#: Words (with their negating clitic) and the marks that end or open something.
+_TOKEN = re.compile(r"[^\W\d_]+n['’]t(?![^\W\d_])|[^\W\d_]+|[.!?;:,|\n\"“”„«»]")
+#: What a threat against a target weighs among insults.
+_THREAT_WORTH = 3.0
 #: Words whose class a worker remembers.
 _REMEMBERED = 500_000
 
-BREAK, PLAIN, TARGET, THREAT, NEGATION, REPORT, INSULT = range(7)
-#: How many words a negation, and a target, reach.
-_NEGATED, _AIMED = 3, 5
+LINE, STOP, PAUSE, QUOTE, PLAIN, TARGET, THREAT, NEGATION, REPORT, INSULT = range(10)
+#: Line ends, ends of sentences, pauses within one, and marks of quotation.
+_MARKS = {"\n": LINE, "|": LINE} | dict.fromkeys(".!?;", STOP) | dict.fromkeys(",:", PAUSE) | dict.fromkeys('"“”„«»', QUOTE)
+#: How many words a negation, a target on either side of an insult, and a threat reach.
+_NEGATED, _AIMED, _THREATENED = 3, 5, 3
 
 FEATURES = (
     "insult", "insult_at_target", "negated", "reported", "threat", "dearest_clause",
@@ -62,40 +68,89 @@ FEATURES = (
 )
 
 
-def step(state: tuple[int, int, int], kind: int) -> tuple[tuple[int, int, int], int]:
-    """One arc of the composed automaton: next state and output.
+def speech(state: tuple[int, int], kind: int) -> tuple[int, int]:
+    """Whether speech is reported, and the quotation: 0 none, 1 somebody's own, 2 a reported one.
 
-    The state is (words a negation still reaches, whether speech is reported, words the last
-    target still reaches); the output is 0 nothing, 1 insult, 2 insult at a target, 3 negated
-    insult, 4 reported insult, 5 threat at a target.
+    A report holds through colons and commas to the end of its sentence; a quotation that it
+    opens holds through sentences to its closing mark. A line ends everything.
     """
-    if kind == BREAK:
-        return (0, 0, 0), 0
-    negated, reported, aimed = state
-    out = 0
+    reported, quote = state
+    if kind == LINE:
+        return 0, 0
+    if kind == QUOTE:
+        return (0, 0) if quote else (0, 2 if reported else 1)
+    if kind == STOP:
+        return 0, quote
+    return int(quote != 2 and (reported or kind == REPORT)), quote
+
+
+def _window(ends: tuple[int, ...], opener: int, reach: int):
+    """A transducer that holds for ``reach`` words after its opener, unless it is ended before."""
+    def move(left: int, kind: int) -> int:
+        if kind in ends:
+            return 0
+        if kind <= QUOTE:
+            return left  # no word
+        return reach if kind == opener else max(0, left - 1)
+
+    return move
+
+
+negation = _window((LINE, STOP, PAUSE), NEGATION, _NEGATED)
+target = _window((LINE, STOP), TARGET, _AIMED)
+_waiting = _window((LINE, STOP, PAUSE), -1, 0)
+
+
+def insult(waiting: int, kind: int, reported: bool, negated: bool, aimed: bool) -> tuple[int, int]:
+    """Words for which a plain insult still waits for its target, and the output: 0 nothing, 1
+    plain, 2 at a target, 3 negated, 4 reported, 5 the insult before was at this target."""
     if kind == INSULT:
         out = 4 if reported else 3 if negated else 2 if aimed else 1
-    elif kind == THREAT and aimed and not negated and not reported:
-        out = 5
+        return _AIMED if out == 1 else 0, out
+    if kind == TARGET and waiting:
+        return 0, 5
+    return _waiting(waiting, kind), 0
+
+
+def threat(waiting: int, kind: int, reported: bool, negated: bool, aimed: bool) -> tuple[int, bool]:
+    """Words for which a threat still waits for its target, and whether a target is threatened."""
+    if kind == THREAT:
+        free = not reported and not negated
+        return _THREATENED if free and not aimed else 0, free and aimed
+    if kind == TARGET and waiting:
+        return 0, True
+    return _waiting(waiting, kind), False
+
+
+State = tuple[int, int, int, int, int, int]
+
+
+def step(state: State, kind: int) -> tuple[State, int]:
+    """One arc of the composed automaton: next state, and output (an insult's, 8 more at a threat)."""
+    reported, quote, negated, aimed, insulted, threatened = state
+    marks = (bool(reported or quote == 2), bool(negated), bool(aimed))
+    heard = STOP if kind == QUOTE and quote else kind  # nothing reaches out of a quotation
+    insulted, said = insult(insulted, heard, *marks)
+    threatened, danger = threat(threatened, heard, *marks)
     return (
-        _NEGATED if kind == NEGATION else max(0, negated - 1),
-        int(reported or kind == REPORT),
-        _AIMED if kind == TARGET else max(0, aimed - 1),
-    ), out
+        *speech((reported, quote), kind), negation(negated, heard), target(aimed, heard), insulted, threatened
+    ), said + 8 * danger
 
 
 def _automaton() -> tuple[list[list[int]], list[list[int]]]:
-    """Tables of next states and outputs; state 0 is the clause's start."""
-    states = [(0, 0, 0)]
+    """Tables of next states and outputs of the composition; state 0 is a line's start."""
+    states: dict[State, int] = {(0, 0, 0, 0, 0, 0): 0}
+    todo = list(states)
     moves: list[list[int]] = []
     outs: list[list[int]] = []
-    for state in states:  # grows while it is read
+    for state in todo:  # grows while it is read
         row, out = [], []
-        for kind in range(7):
+        for kind in range(10):
             following, said = step(state, kind)
             if following not in states:
-                states.append(following)
-            row.append(states.index(following))
+                states[following] = len(states)
+                todo.append(following)
+            row.append(states[following])
             out.append(said)
         moves.append(row)
         outs.append(out)
@@ -114,13 +169,13 @@ class Tagger(dict):
 
     def __missing__(self, word: str) -> tuple[int, float]:
         if not word[0].isalpha():
-            found = (BREAK, 0.0)
+            found = (_MARKS[word], 0.0)
         else:
             stems = [self.lexicon.get(word[:n] + "*", 0.0) for n in STEMS if len(word) > n]
             weight = max([self.lexicon.get(word, 0.0), *stems])
             found = (
                 (INSULT, weight) if weight > 0
-                else (NEGATION, 0.0) if word in NEGATIONS
+                else (NEGATION, 0.0) if word in NEGATIONS or word.endswith(("n't", "n’t"))
                 else (REPORT, 0.0) if word in REPORTS
                 else (THREAT, 0.0) if word in THREATS
                 else (TARGET, 0.0) if word in TARGETS
@@ -134,24 +189,33 @@ class Tagger(dict):
 
 def features(text: str, tags: Tagger) -> list[float]:
     """What the grammar finds in a text's clauses, as :data:`FEATURES`; an empty text has 0s."""
-    sums = [0.0] * 6
+    sums = [0.0] * 6  # by an insult's output; the last are threats
     dearest, matched, insults = 0.0, 0, 0
     tagged = list(map(tags.__getitem__, _TOKEN.findall(text.lower())))
     if any(k == INSULT or k == THREAT for k, _ in tagged):
-        state, clause, hit = 0, 0.0, False
-        for kind, weight in [*tagged, (BREAK, 0.0)]:
+        state, clause, hit, last = 0, 0.0, False, 0.0
+        for kind, weight in [*tagged, (LINE, 0.0)]:
             out = OUTS[state][kind]
             state = MOVES[state][kind]
             if out:
-                worth = weight if out < 5 else 3.0
-                sums[out] += worth
                 hit = True
-                insults += out in (1, 2)
-                clause += worth if out in (1, 2, 5) else 0.0
-            if kind == BREAK:
+                if out & 8:
+                    sums[5] += _THREAT_WORTH
+                    clause += _THREAT_WORTH
+                said = out & 7
+                if said == 5:  # the plain insult before finds its target
+                    sums[1] -= last
+                    sums[2] += last
+                elif said:
+                    sums[said] += weight
+                    if said < 3:
+                        last = weight
+                        insults += 1
+                        clause += weight
+            if kind <= PAUSE:
                 dearest, matched = max(dearest, clause), matched + hit
                 clause, hit = 0.0, False
-    short = lambda x: float(np.log1p(x))
+    short = lambda x: float(np.log1p(max(0.0, x)))
     return [
         short(sums[1]), short(sums[2]), short(sums[3]), short(sums[4]), short(sums[5]),
         short(dearest), short(matched), short(insults), 1.0,

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quietgate.llm import toxicity
@@ -11,42 +13,99 @@ LEXICON = {"fool": 2.0, "lowei*": 3.0}
 
 
 def read(text):
-    """The grammar spelt out: what each insult or threat of each clause counts as."""
+    """The grammar spelt out by looking around each word: a sorted list of what it counts as."""
     tags = toxicity.Tagger(LEXICON)
+    kinds = [tags[token][0] for token in toxicity._TOKEN.findall(text.lower())]
+    ends = (toxicity.LINE, toxicity.STOP)
+
+    def quotes(i):
+        """Marks of quotation before ``i`` in its line; a mark after an odd number closes."""
+        line = next((p for p in range(i - 1, -1, -1) if kinds[p] == toxicity.LINE), -1)
+        return [p for p in range(line + 1, i) if kinds[p] == toxicity.QUOTE]
+
+    def words(places, reach, until):
+        """The next ``reach`` words at these places, up to a mark that ends the search."""
+        found = []
+        for p in places:
+            closes = kinds[p] == toxicity.QUOTE and len(quotes(p)) % 2
+            if kinds[p] in until or closes or len(found) == reach:
+                break
+            if kinds[p] > toxicity.QUOTE:
+                found.append(kinds[p])
+        return found
+
+    def told(i):
+        """Whether a report stands before ``i`` in its sentence, outside other quotations."""
+        for p in range(i - 1, -1, -1):
+            if kinds[p] in (*ends, toxicity.QUOTE):
+                return False
+            if kinds[p] == toxicity.REPORT:
+                return True
+        return False
+
+    def reported(i):
+        marks = quotes(i)
+        return told(i) or (len(marks) % 2 == 1 and told(marks[-1]))
+
+    def waits(i, reach, other):
+        after = words(range(i + 1, len(kinds)), reach, (*ends, toxicity.PAUSE))
+        if toxicity.TARGET not in after:
+            return False
+        return other not in after[: after.index(toxicity.TARGET)]
+
     out = []
-    clause = []
-    for token in [*toxicity._TOKEN.findall(text.lower()), "."]:
-        kind = tags[token][0]
-        if kind != toxicity.BREAK:
-            clause.append(kind)
-            continue
-        for i, k in enumerate(clause):
-            reported = toxicity.REPORT in clause[:i]
-            negated = toxicity.NEGATION in clause[max(0, i - 3) : i]
-            aimed = toxicity.TARGET in clause[max(0, i - 5) : i]
-            if k == toxicity.INSULT:
-                out.append("reported" if reported else "negated" if negated else "aimed" if aimed else "plain")
-            elif k == toxicity.THREAT and aimed and not negated and not reported:
+    for i, kind in enumerate(kinds):
+        negated = toxicity.NEGATION in words(range(i - 1, -1, -1), 3, (*ends, toxicity.PAUSE))
+        aimed = toxicity.TARGET in words(range(i - 1, -1, -1), 5, ends)
+        if kind == toxicity.INSULT:
+            plain = "aimed" if aimed or waits(i, 5, toxicity.INSULT) else "plain"
+            out.append("reported" if reported(i) else "negated" if negated else plain)
+        elif kind == toxicity.THREAT and not reported(i) and not negated:
+            if aimed or waits(i, 3, toxicity.THREAT):
                 out.append("threat")
-        clause = []
-    return out
+    return sorted(out)
 
 
-@pytest.mark.parametrize(
-    "text",
-    ["You fool!", "A fool, you are not a fool.", "He said you are a fool. Fool.", "you you you you you you dear old fool",
-     "I will kill you and you kill them", "never kill you; they kill fool loweis", "not one two three fool | you\nfool", "", "loweix lowei"],
-)
-def test_automaton_against_the_grammar(text):
+def run(text):
+    """What the composed automaton counts."""
     state, got = 0, []
     tags = toxicity.Tagger(LEXICON)
-    names = {1: "plain", 2: "aimed", 3: "negated", 4: "reported", 5: "threat"}
-    for token in [*toxicity._TOKEN.findall(text.lower()), "."]:
-        kind = tags[token][0]
-        if toxicity.OUTS[state][kind]:
-            got.append(names[toxicity.OUTS[state][kind]])
-        state = toxicity.MOVES[state][kind]
-    assert got == read(text)
+    names = {1: "plain", 2: "aimed", 3: "negated", 4: "reported"}
+    for token in toxicity._TOKEN.findall(text.lower()):
+        out = toxicity.OUTS[state][tags[token][0]]
+        state = toxicity.MOVES[state][tags[token][0]]
+        if out & 7 == 5:
+            got.remove("plain")
+            got.append("aimed")
+        elif out & 7:
+            got.append(names[out & 7])
+        if out & 8:
+            got.append("threat")
+    return sorted(got)
+
+
+@pytest.mark.parametrize(
+    "text, meant",
+    [
+        ("I will kill you", ["threat"]), ("I'll burn all of them.", ["threat"]), ("You will be shot, kill time", ["threat"]),
+        ("I won't kill you", []), ("can't hurt you", []), ("I will kill time. You see", []), ("kill, you", []),
+        ("He said: you fool", ["reported"]), ('he said, "You fool. Fool!" You fool', ["aimed", "reported", "reported"]),
+        ("She wrote “they kill you”, loweix", ["plain"]), ('"You fool", fool', ["aimed", "plain"]),
+        ("he isn't a fool", ["negated"]), ("not now, fool", ["plain"]), ("fool that you are", ["aimed"]), ("fool, you win", ["plain"]),
+        ("you, fool", ["aimed"]), ("fool fool you", ["aimed", "plain"]), ("he said nothing\nyou fool", ["aimed"]), ("", []),
+    ],
+)
+def test_meanings(text, meant):
+    assert run(text) == read(text) == meant
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["fool", "loweix", "you", "them", "kill", "not", "can't", "said", "tree", "red", ",", ":", ".", "!", "\n", "|", '"', "“", "”"]
+), max_size=24))
+def test_automaton_against_the_grammar(parts):
+    text = " ".join(parts)
+    assert run(text) == read(text)
 
 
 def test_held_out_rows_are_told_apart(spark):
