@@ -337,6 +337,55 @@ def resolve_approvals(approvals: DataFrame, answers: DataFrame, now) -> DataFram
     ).drop("_answer")
 
 
+def replay_approvals(asks: DataFrame, answers: DataFrame, uses: DataFrame, now) -> DataFrame:
+    """``id, state, used_by``: each approval asked for by ``now``, after what arrived by then.
+
+    ``asks(id, digest, revision, at)``, ``answers(id, answer_id, status, at)`` and
+    ``uses(id, request_id, digest, revision, at)`` count in order of arrival: by time, at one
+    time asks before answers before uses, and then by their own ids. An approval is good for
+    ``APPROVAL_SECONDS`` from its first ask, that second included. The first answer in that time
+    decides it; if it is approved the first later use in that time for the same digest and
+    revision spends it. An answer or use without an ask, or null in what it must fit, does
+    nothing. States: pending, approved, denied, consumed, expired.
+
+    Three joins by id, each followed by a minimum that shrinks before it is shuffled.
+    """
+    until = F.lit(now)
+    opened = (
+        asks.filter((F.col("at") <= until) & F.col("id").isNotNull())
+        .groupBy("id")
+        .agg(F.min(F.struct("at", "digest", "revision")).alias("_ask"))
+        .withColumn("_expires", F.col("_ask.at") + F.make_dt_interval(secs=F.lit(APPROVAL_SECONDS)))
+    )
+    in_time = F.col("at").between(F.col("_since"), F.least("_expires", until))
+    answered = (
+        answers.select("id", "answer_id", "status", "at")
+        .join(opened.select("id", F.col("_ask.at").alias("_since"), "_expires"), "id")
+        .filter(in_time & F.col("status").isin("approved", "denied"))
+        .groupBy("id")
+        .agg(F.min(F.struct("at", "answer_id", "status")).alias("_answer"))
+    )
+    told = opened.join(answered, "id", "left")
+    bound = told.filter(F.col("_answer.status") == "approved").select(
+        "id", F.col("_ask.digest").alias("digest"), F.col("_ask.revision").alias("revision"),
+        F.col("_answer.at").alias("_since"), "_expires",
+    )
+    spent = (
+        uses.select("id", "request_id", "digest", "revision", "at")
+        .join(bound, ["id", "digest", "revision"])
+        .filter(in_time)
+        .groupBy("id")
+        .agg(F.min(F.struct("at", "request_id")).getField("request_id").alias("used_by"))
+    )
+    state = (
+        F.when(F.col("used_by").isNotNull(), "consumed")
+        .when(F.col("_answer.status") == "denied", "denied")
+        .when(F.col("_expires") < until, "expired")
+        .otherwise(F.coalesce("_answer.status", F.lit("pending")))
+    )
+    return told.join(spent, "id", "left").select("id", state.alias("state"), "used_by")
+
+
 def release_set(decisions: DataFrame, requests: DataFrame) -> DataFrame:
     """What may leave: allowed text as it is, redacted text redacted, with a receipt.
 

@@ -340,6 +340,47 @@ def pending_approvals(_planted, content, facts, policies, scores):
     return asked.select("request_id", "status", "revision", F.col("expires").cast("timestamp_ntz").alias("expires"))
 
 
+@CATALOG.add(
+    "planted", "content", "facts", "content_policies", "content_scores",
+    sql=f"""WITH asks AS MATERIALIZED (SELECT request_id AS id, request_id % 4000 AS asked FROM ({_DECIDED}) x
+      WHERE final LIKE 'review:%' AND request_id % 4000 <= 1800),
+    answers AS (SELECT id, asked, unnest([0, 1]) AS k FROM asks),
+    answered AS (SELECT id, asked, t, status FROM (
+        SELECT *, asked + (id * 37 + k * 53) % 800 AS t, CASE WHEN (id + k) % 7 = 3 THEN 'denied' ELSE 'approved' END AS status FROM answers) a
+      WHERE t <= asked + 600 AND t <= 1800 QUALIFY row_number() OVER (PARTITION BY id ORDER BY t, k) = 1),
+    uses AS (SELECT id, asked, t AS since, unnest([0, 1, 2]) AS k FROM answered WHERE status = 'approved'),
+    spent AS (SELECT id, 3 * id + k AS used_by FROM (SELECT *, asked + (id * 71) % 300 + k * 150 AS t FROM uses) u
+      WHERE (id + k) % 5 <> 4 AND t >= since AND t <= asked + 600 AND t <= 1800 QUALIFY row_number() OVER (PARTITION BY id ORDER BY t, k) = 1)
+    SELECT id, used_by, CASE WHEN used_by IS NOT NULL THEN 'consumed' WHEN status = 'denied' THEN 'denied' WHEN asked + 600 < 1800 THEN 'expired'
+      ELSE coalesce(status, 'pending') END AS state
+    FROM asks LEFT JOIN answered USING (id, asked) LEFT JOIN spent USING (id)""",
+)
+def approval_replay(_planted, content, facts, policies, scores):
+    """Half an hour in which reviewed requests ask for approval, are answered twice and tried three times."""
+    start = dt.datetime(2024, 1, 20)
+    later = lambda seconds: F.lit(start) + F.make_dt_interval(secs=seconds)
+    asked = F.col("id") % 4000
+    reviewed = _decisions(content, facts, policies, scores).filter("action = 'review'").select(
+        F.col("request_id").alias("id"), F.col("request_digest").alias("digest"), F.col("policy_revision").alias("revision")
+    )
+    several = lambda n: reviewed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    answers = several(2).select(
+        "id",
+        F.col("k").alias("answer_id"),
+        F.when((F.col("id") + F.col("k")) % 7 == 3, "denied").otherwise("approved").alias("status"),
+        later(asked + (F.col("id") * 37 + F.col("k") * 53) % 800).alias("at"),
+    )
+    uses = several(3).select(
+        "id",
+        (F.col("id") * 3 + F.col("k")).alias("request_id"),
+        F.when((F.col("id") + F.col("k")) % 5 == 4, "other").otherwise(F.col("digest")).alias("digest"),
+        "revision",
+        later(asked + (F.col("id") * 71) % 300 + F.col("k") * 150).alias("at"),
+    )
+    asks = reviewed.withColumn("at", later(asked))
+    return dec.replay_approvals(asks, answers, uses, start + dt.timedelta(seconds=1800))
+
+
 @CATALOG.add(
     "planted", "content", "facts", "content_policies", "content_scores",
     sql=f"""SELECT x.request_id, split_part(final, ':', 1) AS action, sha256(r.text) AS content_hash,

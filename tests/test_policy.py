@@ -311,3 +311,43 @@ def test_filters(spark):
     assert filters.get_event(df, 3).isEmpty()
     lang = df.select(filters.language_of(F.lit("a 한")).alias("x"), filters.language_of(F.lit("a")).alias("y")).first()
     assert (lang.x, lang.y) == ("ko", "en")
+
+
+def test_approvals_replayed_in_order_of_arrival(spark):
+    """Against one pass over everything that arrives, sorted."""
+    draw = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda: start + dt.timedelta(seconds=draw.randrange(0, 1500, 30))
+    asks = [(i % 40, f"d{i % 3}", i % 2, at()) for i in range(55)]
+    answers = [(draw.randrange(45), n, draw.choice(["approved", "approved", "denied", "maybe"]), at()) for n in range(140)]
+    uses = [(draw.randrange(45), n, f"d{draw.randrange(3)}", draw.randrange(2), at()) for n in range(400)]
+    answers.append((None, 900, "approved", start))
+    uses.append((1, 901, None, None, start))
+    now = start + dt.timedelta(seconds=1200)
+    held = {}
+    came = [(a[-1], 0, a) for a in asks] + [(a[-1], 1, a) for a in answers] + [(u[-1], 2, u) for u in uses]
+    order = lambda c: (c[0], c[1], c[2][1] if c[1] else c[2][1:3])
+    for when, kind, row in sorted(came, key=order):
+        if when > now:
+            continue
+        known = held.get(row[0])
+        if kind == 0 and known is None:
+            held[row[0]] = {"fits": row[1:3], "end": when + dt.timedelta(seconds=600), "state": "pending", "by": None}
+        elif known is None or when > known["end"]:
+            continue
+        elif kind == 1 and known["state"] == "pending" and row[2] in ("approved", "denied"):
+            known["state"] = row[2]
+        elif kind == 2 and known["state"] == "approved" and row[2:4] == known["fits"]:
+            known.update(state="consumed", by=row[1])
+    want = {
+        (i, "expired" if k["state"] in ("pending", "approved") and k["end"] < now else k["state"], k["by"])
+        for i, k in held.items()
+    }
+    got = dec.replay_approvals(
+        spark.createDataFrame(asks, "id int, digest string, revision int, at timestamp_ntz"),
+        spark.createDataFrame(answers, "id int, answer_id int, status string, at timestamp_ntz"),
+        spark.createDataFrame(uses, "id int, request_id int, digest string, revision int, at timestamp_ntz"),
+        now,
+    ).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {r.state for r in got} == {"pending", "approved", "denied", "consumed", "expired"}
