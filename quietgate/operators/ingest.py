@@ -19,6 +19,9 @@ EVENT_FIELDS = [
 SCOPES = ["fixture", "selected_process", "configured_applications"]
 ENGINE_STATES = ["starting", "running", "stopped", "policy_unavailable"]
 
+# Fixed value: how many events a report may hold.
+REPORT_EVENTS = 100
+
 
 def ingest_split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Validated events, and the rest with the reason each was set aside."""
@@ -89,7 +92,7 @@ def report_problem() -> Column:
         .when(~F.col("protection_scope").isin(*SCOPES), "report_scope_invalid")
         .when(~F.col("engine_state").isin(*ENGINE_STATES), "report_state_invalid")
         .when((F.size("protected_targets") > 32) | ~host_ok, "report_targets_invalid")
-        .when(F.size("events") > 100, "report_events_invalid")
+        .when(F.size("events") > REPORT_EVENTS, "report_events_invalid")
     )
 
 

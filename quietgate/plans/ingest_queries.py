@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import instant
@@ -31,7 +32,13 @@ def idempotent_events(batch, events):
 
 
 def report_frame(rows):
-    """Nested reports. A report is a device's day, and the contract allows 100 events in it."""
+    """Nested reports. A report is a device's day, and the contract allows 100 events in it.
+
+    A report with more is refused whole, so one event beyond the limit says as much as all of
+    them: no list is longer than that, however busy the device.
+    """
+    day = Window.partitionBy("report_id", "device_id", "received_at", "day").orderBy("event_id")
+    rows = rows.withColumn("_n", F.row_number().over(day)).filter(F.col("_n") <= ingest.REPORT_EVENTS + 1).drop("_n")
     event = F.struct(
         "event_id", "timestamp_ms", "policy_revision", "host", "method", "body_len", "reason",
         "rules", "action",

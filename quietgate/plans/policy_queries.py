@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import decide as dec
 from ..operators import joins, windows
 from .catalog import Catalog
@@ -360,9 +361,9 @@ def approval_replay(_planted, content, facts, policies, scores):
     start = dt.datetime(2024, 1, 20)
     later = lambda seconds: F.lit(start) + F.make_dt_interval(secs=seconds)
     asked = F.col("id") % 4000
-    reviewed = _decisions(content, facts, policies, scores).filter("action = 'review'").select(
+    reviewed = cut(_decisions(content, facts, policies, scores).filter("action = 'review'").select(
         F.col("request_id").alias("id"), F.col("request_digest").alias("digest"), F.col("policy_revision").alias("revision")
-    )
+    ))
     several = lambda n: reviewed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     answers = several(2).select(
         "id",

@@ -217,3 +217,16 @@ def test_engine_state(spark):
     policies = spark.createDataFrame([(1, 100), (2, 50)], "revision long, expires_at long")
     got = {r.id: r.effective_state for r in ingest.engine_state(reports, policies, 50).collect()}
     assert got == {"a": "running", "b": "policy_unavailable", "c": "policy_unavailable", "d": "stopped"}
+
+
+def test_lists_of_a_busy_device_stay_bounded(spark):
+    from quietgate.plans.derived import frame
+    from quietgate.plans.ingest_queries import report_frame
+
+    one = frame(spark, "/root/testdata/sf0.001", "report_rows").limit(1)
+    busy = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4999))))
+    rows = busy.withColumn("event_id", F.concat("event_id", F.lit("-"), "k")).drop("k")
+    sizes = [r.n for r in report_frame(rows).select(F.size("events").alias("n")).collect()]
+    assert sizes == [ingest.REPORT_EVENTS + 1]
+    few = report_frame(rows.limit(100)).select(F.size("events").alias("n")).collect()
+    assert [r.n for r in few] == [100]
