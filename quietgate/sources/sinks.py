@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+from itertools import groupby
+
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.running import running
 from ..operators.aggregates import split_manifest
 
+# Executors need not have this package installed: ship its helpers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Folders that many small files are dealt to.
+FOLDERS = 1024
 # The only columns an audit log may hold: metadata, never content.
 AUDIT_COLUMNS = [
     "event_id", "timestamp_ms", "host", "method", "body_len", "reason", "rules",
@@ -26,6 +36,30 @@ def write_splits(df: DataFrame, out: str) -> DataFrame:
     return split_manifest(written.select(*df.columns))
 
 
+def write_texts(df: DataFrame, out: str, key: str, text: str) -> None:
+    """A text file ``folder=<n>/<key>=<value>.txt`` for each (whole-number) key under the URI ``out``.
+
+    Rows of one key share its file, a line each; a null text is an empty line. The tasks write the
+    files in place, so nothing is left for the driver to move one by one, and a task run again
+    writes the same files over.
+    """
+
+    def write(rows) -> None:
+        target, root = fs.FileSystem.from_uri(out)
+        made = set()
+        for (folder, value), lines in groupby(rows, lambda r: (r.folder, r.name)):
+            if folder not in made:
+                target.create_dir(f"{root}/folder={folder}", recursive=True)
+                made.add(folder)
+            with target.open_output_stream(f"{root}/folder={folder}/{key}={value}.txt") as file:
+                for line in lines:
+                    file.write(f"{'' if line.text is None else line.text}\n".encode())
+
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(FOLDERS)).alias("folder"), name.alias("name"), F.col(text).alias("text"))
+    dealt.repartition("folder").sortWithinPartitions("folder", "name").foreachPartition(write)
+
+
 def sequenced(events: DataFrame, after: int = 0, chunk_ms: int = 3_600_000) -> DataFrame:
     """Number events consecutively in time order, without sorting them all in one task."""
     if "event_id" not in events.columns:

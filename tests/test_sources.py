@@ -87,3 +87,18 @@ def test_append_audit(spark, tmp_path):
     assert [r.timestamp_ms for r in log[:3]] == [5, 9, 7_200_000]
     with pytest.raises(ValueError):
         sinks.append_audit(events.withColumn("text", F.lit("secret")), path, new=False)
+
+
+def test_write_texts(spark, tmp_path):
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    odd = spark.createDataFrame([(-5, None), (7, "again")], "doc_id long, text string")
+    out = (tmp_path / "out").as_uri()
+    sinks.write_texts(ids.unionByName(odd), out, "doc_id", "text")
+    assert len(list((tmp_path / "out").iterdir())) <= sinks.FOLDERS
+    files = readers.read_files(spark, out)
+    assert files.rdd.getNumPartitions() <= max(2 * spark.sparkContext.defaultParallelism, 3001 // readers.SPLITS)
+    rows = {r.path.rsplit("doc_id=", 1)[1]: r for r in files.collect()}
+    assert len(rows) == 3001
+    assert rows["12.txt"].text == "t12\n" and rows["12.txt"].error is None
+    assert sorted(rows["7.txt"].text.split()) == ["again", "t7"]
+    assert (rows["-5.txt"].bytes, rows["-5.txt"].error) == (1, "no_inspectable_text")
