@@ -30,7 +30,8 @@ class KeyedState:
         return ([f"{self.path}/whole={whole}"] if whole else []) + deltas
 
     def newest(self, spark: SparkSession, epoch: int) -> DataFrame:
-        """The newest row of each key before epoch ``epoch``."""
+        """The newest row of each key before epoch ``epoch``, as many rows as keys: joined by
+        shuffle, never broadcast."""
         paths = self._paths(epoch)
         if not paths:
             return spark.createDataFrame([], self.schema).select(*self.columns)
@@ -39,6 +40,7 @@ class KeyedState:
             rows.groupBy(*self.keys)
             .agg(F.max_by(F.struct(*self.columns), "_epoch").alias("_row"))
             .select("_row.*")
+            .hint("merge")
         )
 
     def write(self, epoch: int, changed: DataFrame, keep: Column | None = None) -> None:

@@ -95,7 +95,8 @@ def conflict_sink(path: str, remember: int = 3600, compact: int = 16):
     A copy is ``new`` if it is the first of its event, by event time in the micro-batch that
     brings the event, else ``retry`` if its payload is that one's and ``conflict`` if not. Copies
     are aggregated by the least hash before they meet the state. A first payload is forgotten
-    once arrivals are ``remember`` seconds past it.
+    once arrivals are ``remember`` seconds past it. Events grow with the batch, so all joins are by
+    shuffle.
     """
     key = ["device_id", "event_id"]
 
@@ -112,7 +113,8 @@ def conflict_sink(path: str, remember: int = 3600, compact: int = 16):
         firsts = copies.groupBy(*key).agg(F.min(F.struct("_at", "_h", "_id")).alias("_first"))
         known = cut(firsts.join(state.newest(spark, epoch), key, "left"))
         fresh = F.col("payload").isNull()
-        told = copies.join(known, key).select(
+        # Spark takes a checkpoint's size from its plan, too small here, and would broadcast it.
+        told = copies.join(known.hint("merge"), key).select(
             *key,
             F.when(fresh & (F.col("_id") == F.col("_first._id")), "new")
             .when(F.col("_h") == F.coalesce("payload", F.col("_first._h")), "retry")

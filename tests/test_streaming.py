@@ -7,6 +7,7 @@ from quietgate.operators import scan, windows
 from quietgate.plans.derived import frame
 from quietgate.plans.report_queries import rule_array
 from quietgate.streaming import streams
+from quietgate.streaming.keyed import KeyedState
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -152,3 +153,13 @@ def test_latest_state_keeps_newest_and_writes_what_changed(spark, tmp_path):
     rows = streams.latest_state(spark, path, spark.createDataFrame([], schema).schema, 18).collect()
     assert len(rows) == 100 and sum(r.report_id == "z" for r in rows) == 16
     assert spark.read.parquet(f"{path}/whole=16").count() == 100
+
+
+def test_keyed_state_is_not_sent_through_the_driver(spark, tmp_path, capsys):
+    rows = spark.range(10).select(F.col("id").alias("device_id"), F.lit("x").alias("payload"))
+    state = KeyedState(str(tmp_path / "state"), rows.schema, ["device_id"])
+    state.write(0, rows)
+    joined = spark.range(3).withColumnRenamed("id", "device_id").join(state.newest(spark, 1), "device_id", "left")
+    joined.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    assert sorted(joined.collect()) == [(k, "x") for k in range(3)]
