@@ -351,3 +351,22 @@ def test_approvals_replayed_in_order_of_arrival(spark):
     ).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert {r.state for r in got} == {"pending", "approved", "denied", "consumed", "expired"}
+
+
+def test_approval_match_decides_once(spark):
+    from quietgate.plans import policy_queries
+    from quietgate.plans.derived import frame
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    inputs = [frame(spark, "/root/testdata/sf0.001", n) for n in ("planted", "content", "facts", "content_policies", "content_scores")]
+    content = inputs[1].limit(50).localCheckpoint()
+    inputs[1] = content.mapInArrow(count, content.schema)
+    assert policy_queries.approval_match(*inputs).count() == 50
+    # A decision reads the requests' texts and, for the scored policies, their keys.
+    assert seen.value <= 100
