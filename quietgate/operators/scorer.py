@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scores import LABELS, P, best_label, softmax
 from .evaluation import fine_gates
 
@@ -79,8 +80,9 @@ def train_scorer(
     """Fit on train, choose on dev (the earlier candidate on ties), set gates on calibration.
 
     Test rows are only scored, never used to choose. The loop is over candidates; one accuracy
-    per candidate reaches the driver.
+    per candidate reaches the driver. Fitting reads the corpus many times, so it is stored once.
     """
+    corpus = cut(corpus)
     part = lambda name: corpus.filter(F.col("split") == name)
     best, best_accuracy, best_reg = None, -1.0, None
     for reg in regs:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quietgate.operators import aggregates, corpus, joins, sets, sorts, windows
+from quietgate.operators import aggregates, corpus, joins, scorer, sets, sorts, windows
 
 POLICIES = list(corpus.CROSS)
 
@@ -52,6 +52,41 @@ def test_build_corpus(spark):
     assert {s: m.families for s, m in manifest.items()} == {s: 18 for s in corpus.REPETITIONS}
 
 
+def test_build_corpus_tells_leaks_and_crossings_without_texts(spark):
+    same = [(f"f{k}", "hr_records", split, "match", "같은 글", "one text") for k, split in enumerate(("train", "train", "test"))]
+    few = spark.createDataFrame(same, "family string, domain string, split string, gold string, ko string, en string")
+    benchmark = spark.createDataFrame([("one text",)], "text string")
+    built = corpus.build_corpus(few, pools(spark, "person"), benchmark, questions(spark))
+    rows, index = built["corpus"].cache(), built["index"]
+    assert "text" not in index.columns
+    named = sorted(map(tuple, rows.select(*index.columns).collect()))
+    assert sorted(map(tuple, index.collect())) == named
+    leaked = [r.id for r in rows.collect() if r.text == "one text"]
+    assert leaked and sorted(r.id for r in built["leaked"].collect()) == sorted(leaked)
+    assert not built["crossing"].isEmpty()
+    manifest = {r.split: r for r in built["manifest"].collect()}
+    asked = {"train": 2 * 2 * (12 + 4), "test": 2 * (6 + 2)}
+    for split, n in asked.items():
+        kept = rows.filter(F.col("split") == split).count()
+        assert (manifest[split].rows, manifest[split].duplicates_removed) == (kept, n - kept)
+
+
+def test_train_scorer_reads_its_corpus_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    labels = ("match", "no_match", "insufficient")
+    rows = [(f"{s}{k}", s, labels[k % 3], f"word{k % 3} text {k}", "f") for s in corpus.REPETITIONS for k in range(9)]
+    df = spark.createDataFrame(rows, "id string, split string, gold string, text string, source_family string")
+    out = scorer.train_scorer(df.mapInArrow(count, df.schema), regs=(0.01, 0.1), features=64, iterations=2)
+    assert out["test"].count() == 9
+    assert seen.value == len(rows)
+
+
 def test_manifest_hash_ignores_partitioning_but_not_content(spark):
     rows = build(spark)["corpus"].cache()
     hashes = lambda df: {r.split: r.content_hash for r in aggregates.split_manifest(df).collect()}
