@@ -253,15 +253,29 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _newton(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Logistic regression; steps are damped by the penalty, so a separable sample converges too."""
+    """Logistic regression with a penalty on the weights, which keeps those of a separable sample finite.
+
+    A step that would raise the loss, as a whole Newton step may, is halved until it lowers it.
+    """
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + penalty / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
-    for _ in range(40):
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) + penalty * w
         hessian = (x * (p * (1 - p))[:, None]).T @ x + (penalty + 1e-9) * np.eye(x.shape[1])
         move = np.linalg.solve(hessian, gradient)
-        w -= move
-        if np.abs(move).max() < 1e-8:
+        share, slope = 1.0, float(gradient @ move)
+        while share > 1e-6 and not loss(w - share * move) <= now - 1e-4 * share * slope:
+            share /= 2
+        if share <= 1e-6:
+            break  # at the least loss, as far as doubles tell
+        w -= share * move
+        now = loss(w)
+        if np.abs(share * move).max() < 1e-8:
             break
     return w
 

@@ -131,6 +131,23 @@ def test_awkward_rows(spark, clash):
     assert by[52].predicted == 1 and by[53].predicted == 0 and by[1].score == by[2].score
 
 
+def test_fit_where_whole_newton_steps_run_away():
+    """Few toxic rows, told from the others with a wide gap: undamped, the weights reach millions."""
+    rng = np.random.default_rng(20)
+    n, toxic = 30000, 40
+    rng.choice(3), rng.choice(3)
+    others, own = rng.integers(0, 2, n) * rng.integers(0, 4, n), rng.integers(1, 12, toxic)
+    low, high = others * rng.uniform(2.5, 8, n), own * rng.uniform(8, 10, toxic)
+    aimed = rng.random(toxic) * (rng.random(toxic) < 0.5)
+    rows = [np.stack([low, 0 * low, others], 1), np.stack([high * (1 - aimed), high * aimed, own], 1)]
+    x = np.hstack([np.log1p(np.concatenate(rows)), np.ones((n + toxic, 1))])
+    y = np.repeat([0.0, 1.0], [n, toxic])
+    w = toxicity._newton(x, y)
+    assert np.abs(w).max() < 1000
+    assert (x @ w >= 0)[y == 1].mean() > 0.9 and (x @ w >= 0)[y == 0].mean() < 0.001
+    assert np.abs(x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 1e-2 * w).max() < 1e-4
+
+
 def test_no_labels_and_empty_table(spark):
     docs = frame(spark, awkward())
     labels = spark.createDataFrame([], "doc_id long, toxic int")
