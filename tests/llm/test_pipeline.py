@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,24 @@ def test_awkward_documents(spark, tmp_path):
     empty = str(tmp_path / "none")
     frame(spark, []).write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_batches_for_python_end_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = spark.newSession()
+    docs = session.range(0, 2000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10_000).alias("text"), F.lit("en").alias("lang"),
+        F.lit("a").alias("source"), F.lit(10_000).cast("long").alias("n_chars"),
+    )
+
+    def most_rows():
+        return docs.select("text").mapInArrow(
+            lambda batches: (b.select(["text"]).from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long"
+        ).agg(F.max("n")).first()[0]
+
+    assert most_rows() == 2000
+    corpus_pipeline.secret_scan(session, docs, FOLDER)
+    assert most_rows() <= 500
+    session.conf.set(key, "1m")
+    corpus_pipeline.secret_scan(session, docs, FOLDER)
+    assert session.conf.get(key) == "1m" and most_rows() <= 120
