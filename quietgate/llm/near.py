@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -32,7 +32,7 @@ COMPONENTS = BANDS * ROWS
 #: Bytes of text sketched together.
 _SLICE = 1 << 18
 #: So many times the rows of a bucket are compared with one centre; what then is not in one
-#: component meets by its rarest shingles.
+#: component meets by its rarest differences from a centre.
 _STAR_ROUNDS = 5
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -320,48 +320,89 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(stars.unionByName(stars.select(F.col("label").alias("row"), "label").distinct()))
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", pa.int64()), ("comp", pa.int64()), ("n", pa.int32()), ("element", pa.int64())])
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's difference to its centre, and how many of its elements may be the first that it
+    shares with another row (see :func:`_differing_pairs`)."""
+    schema = pa.schema(
+        [("c", pa.int64()), ("row", pa.int64()), ("comp", pa.int64()), ("n", pa.int32()), ("star", pa.bool_()),
+         ("inside", pa.bool_()), ("short", pa.int32()), ("long", pa.int32()), ("elements", pa.list_(pa.int64()))]
+    )
+    share = (1 - SIMILARITY) / (1 + SIMILARITY)
     for batch in batches:
-        for row, comp, occ in zip(batch.column("row").to_pylist(), batch.column("comp").to_pylist(), batch.column("occ")):
-            found = _occurrences(occ).view(np.int64)
-            n = len(found)
-            if n:
-                yield record(schema, (np.full(n, row), np.full(n, comp), np.full(n, n, np.int32), found))
+        out, held = [], 0
+        columns = [batch.column(c).to_pylist() for c in ("c", "cc", "row", "comp")]
+        for c, cc, row, comp, occ, centre in zip(*columns, batch.column("occ"), batch.column("oc")):
+            mine, other = _occurrences(occ), _occurrences(centre)
+            apart = np.setxor1d(mine, other, assume_unique=True)
+            d, n, nc = len(apart), len(mine), len(other)
+            star = d <= share * (n + nc) + 1e-9
+            excess = d - share * n
+            # With a row outside, whose excess is above share * nc, and with any, none being below -share * nc.
+            short = d + 1 - int(np.ceil((excess + share * nc) / 2 + 1e-9))
+            long = d + 1 - max(1, int(np.ceil((excess - share * nc) / 2 - 1e-9)))
+            out.append((c, row, comp, n, star, star or comp == cc, short, long, apart.view(np.int64)))
+            held += d
+            if held > _SLICE:
+                yield record(schema, zip(*out))
+                out, held = [], 0
+        if out:
+            yield record(schema, zip(*out))
 
 
-def _rarest_pairs(open_: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of rows in different components that may be similar enough: all that are.
+def _differing_pairs(open_: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` of rows with the centres of their buckets, and pairs ``a, b`` of rows of one
+    bucket in different components that may be similar enough: all that are.
 
-    Of a pair of that similarity t the larger text of m elements has at most m - t m that the
-    smaller lacks, and the smaller of n at most n - 2t/(1 + t) n that the larger lacks; so they
-    share one of so many and one more of each one's rarest. Elements of one row or one component
-    alone pair nothing.
+    With D a row's symmetric difference to a centre they share, two rows are similar enough if
+    and only if their excesses ``|D| - n / 9`` (for a similarity of 0.8) add up to at most twice
+    what their Ds have in common. Rows linked with the centre or in its component are inside and
+    pair nothing among themselves. One of a pair is outside, its excess is above a ninth of the
+    centre's n, so the Ds have in common more than half of an inside row's: what a group of
+    copies shares is in no D, and of what they do not share each one's own edits come first in
+    the order by rarity. Elements of no row outside pair nothing and stand before all others.
     """
-    multisets = open_.select("row", "comp").distinct().join(known, "row")
-    each = stored(multisets.mapInArrow(tidy(_elements), "row long, comp long, n int, element long"))
-    often = each.groupBy("element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    rare = each.join(often, "element").groupBy("row", "comp", "n").agg(
+    own = open_.select("band", F.col("row").alias("c"), F.col("comp").alias("cc"))
+    centres = _first_centres(open_).drop("cc").join(own, ["band", "c"])
+    met = open_.join(centres, "band").select("row", "comp", "c", "cc").distinct()
+    centre = known.select(F.col("row").alias("c"), F.col("occ").alias("oc"))
+    schema = (
+        "c long, row long, comp long, n int, star boolean, inside boolean, short int, long int, elements array<bigint>"
+    )
+    apart = stored(met.join(known, "row").join(centre, "c").select("c", "cc", "row", "comp", "occ", "oc").mapInArrow(tidy(_differences), schema))
+    stars = apart.filter("star and row <> c").select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b"))
+    each = apart.select("c", "row", "comp", "inside", F.explode("elements").alias("element"))
+    useful = each.groupBy("c", "element").agg(
+        F.count(F.lit(1)).alias("often"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("inside").alias("inside")
+    ).filter("x <> y and not inside").select("c", "element", "often")
+    by = each.select("c", "row", "element").join(useful, ["c", "element"]).groupBy("c", "row").agg(
         F.array_sort(F.collect_list(F.struct("often", "element"))).alias("by")  # a text's own
     )
-    alone = F.col("n") - F.size("by")  # the rarest of all come first
-    rest = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1 - alone
-    prefix = (
-        rare.withColumns({"large": rest(SIMILARITY), "small": rest(2 * SIMILARITY / (1 + SIMILARITY))})
-        .filter("large > 0")
-        .select("row", "comp", "n", "small", F.posexplode(F.slice("by", F.lit(1), F.col("large").cast("int"))).alias("at", "e"))
-        .select("row", "comp", "n", F.col("e.element").alias("element"), (F.col("at") < F.col("small")).alias("few"))
+    told = apart.withColumn("size", F.size("elements")).drop("elements", "star")
+    first = told.join(by, ["c", "row"]).withColumn("alone", F.col("size") - F.size("by"))
+    most = F.when(F.col("inside"), F.col("short")).otherwise(F.col("long")) - F.col("alone")
+    prefix = first.withColumn("most", most).filter("most > 0").select(
+        "c", "row", "comp", "n", "inside", "short", "alone", F.posexplode(F.slice("by", F.lit(1), F.col("most"))).alias("at", "e")
+    ).select(
+        "c", "row", "comp", "n", "inside", F.col("e.element").alias("element"),
+        (F.col("at") + F.col("alone") < F.col("short")).alias("few"),
     )
     prefix = stored(prefix)
-    met = prefix.groupBy("element").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-    prefix = prefix.join(met.select("element"), "element")
-    x = prefix.filter("few").select("element", F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = prefix.select("element", F.col("row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    alike = (F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & (
-        F.col("na") >= F.col("nb") * F.lit(SIMILARITY) - 1e-9
+    outside = prefix.filter("not inside").select(
+        "c", "element", F.col("row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), "few"
     )
-    pairs = x.join(y, "element").filter(alike)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    alike = (F.col("ca") != F.col("cb")) & (
+        F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(SIMILARITY) - 1e-9
+    )
+
+    def paired(rows: DataFrame, others: DataFrame, which: Column) -> DataFrame:
+        rows = rows.select("c", "element", F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+        return rows.join(others.drop("few"), ["c", "element"]).filter(alike & which).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        )
+
+    mixed = paired(prefix.filter("inside"), outside, F.lit(True))
+    both = paired(prefix.filter("not inside and few"), outside.filter("few"), F.col("a") < F.col("b"))
+    return stars.distinct(), mixed.unionByName(both).distinct()
 
 
 def _first_centres(open_: DataFrame) -> DataFrame:
@@ -411,9 +452,9 @@ def classes(docs: DataFrame) -> DataFrame:
     Equal texts are one text; different ones are linked if they share a band and their
     similarity is ``SIMILARITY`` or more, and classes are the components of the links. In each
     bucket texts are compared with one centre; where a bucket still holds several components
-    another centre is taken; at last the rows of such buckets meet by their rarest shingles,
-    which loses no link between components. Pairs already known to be in one component are not
-    compared.
+    another centre is taken; at last the rows of such buckets meet by what they rarely differ in
+    from their bucket's centre, which loses no link between components. Pairs already known to be
+    in one component are not compared.
     """
     schema = "id long, key string, n int, bands array<bigint>"
     keyed = _keyed(docs)
@@ -458,8 +499,9 @@ def classes(docs: DataFrame) -> DataFrame:
             if open_.isEmpty():
                 break
             last = turn == _STAR_ROUNDS
+        stars = None
         if last:
-            pairs = _rarest_pairs(open_, known)
+            stars, pairs = _differing_pairs(open_, known)
         else:
             centres = _drawn_centres(open_, turn) if turn else _first_centres(open_)
             met = open_.join(centres, "band").filter("comp <> cc")
@@ -467,7 +509,8 @@ def classes(docs: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        new = stored(_verified(pairs, known))
+        new = _verified(pairs, known)
+        new = stored(new if stars is None else new.unionByName(stars).distinct())
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.isEmpty():
             label = _joined_components(label, new)

@@ -107,6 +107,51 @@ def test_links_between_others_than_the_centre(spark, monkeypatch, rounds):
     assert {r.class_id for r in got} == {min(g) for g in classes(rows).values()}
 
 
+def bucket(spark, rows, inside):
+    """All rows in one bucket, those whose number is in ``inside`` in one component, and their multisets."""
+    occ = [(i, near.occurrences(t).tobytes()) for i, t in enumerate(rows)]
+    open_ = spark.createDataFrame([(i, 1, min(inside) if i in inside else i) for i in range(len(rows))], "row long, band long, comp long")
+    return open_, spark.createDataFrame([(i, bytearray(b)) for i, b in occ], "row long, occ binary")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_differing_pairs_lose_no_link(spark, seed):
+    """Copies near their origin, far from it but near each other, shorter, longer and of other texts."""
+    rng = random.Random(seed)
+    base = words(seed, 104)
+    far = edits(seed + 10, 3, base, 4)
+    rows = [base] + edits(seed, 12, base, 1) + [t for f in far for t in [f] + edits(seed + 20, 3, f, 1)] + words(seed + 1, 90).split("\0")
+    rows += [" ".join(base.split()[rng.randrange(12):][: 104 - rng.randrange(20)]) for _ in range(12)] + [base.upper(), base + " " + words(7, 11)]
+    bags = [shingles(t) for t in rows]
+    linked = {(i, j) for j in range(len(rows)) for i in range(j) if similarity(bags[i], bags[j]) >= near.SIMILARITY}
+    for inside in ({0, 1}, {5, 9}, set(range(4, len(rows), 2))):
+        open_, known = bucket(spark, rows, inside)
+        stars, pairs = near._differing_pairs(open_, known)
+        stars = {(r.a, r.b) for r in stars.collect()}
+        assert stars <= linked
+        found = stars | ({(r.a, r.b) for r in pairs.collect()} & linked)
+        parent = {i: min(inside) if i in inside else i for i in range(len(rows))}
+
+        def joined(links):
+            label = dict(parent)
+            for a, b in list(links) * len(rows):
+                x, y = sorted((label[a], label[b]))
+                if x != y:
+                    label = {i: x if c == y else c for i, c in label.items()}
+            return label
+
+        assert joined(found) == joined(linked)
+
+
+def test_a_large_group_does_not_pair_with_all_outside(spark):
+    """Copies of one text in one component, and others that are too far from all of them."""
+    base = words(50, 104)
+    rows = [base] + edits(1, 150, base, 2) + edits(2, 50, base, 3)
+    open_, known = bucket(spark, rows, set(range(151)))
+    _, pairs = near._differing_pairs(open_, known)
+    assert pairs.count() <= len(rows)
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = awkward() + [(100 + i, t, "en", "a", 0) for i, t in enumerate(edits(1, 10, words(50, 100), 1))]
     docs = frame(spark, rows, clash=True)
