@@ -25,7 +25,7 @@ from .common import record, remembered, texts, tidy
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers: two generations of so many.
-_REMEMBERED = 250_000
+_REMEMBERED = 60_000
 
 # The tokenizer's word pattern, in the characters of _PLAIN.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -54,10 +54,13 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            ids = array("I")
-            for piece in _WORD.findall(word):
-                coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids.extend([t.id for t in self.model.tokenize(coded)])
+            if word.isascii() and word.isalpha():  # one piece as it stands: what most words are
+                ids = array("I", [t.id for t in self.model.tokenize(word)])
+            else:
+                ids = array("I")
+                for piece in _WORD.findall(word):
+                    coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                    ids.extend([t.id for t in self.model.tokenize(coded)])
             found = ids.tobytes()
         if len(self) >= _REMEMBERED:
             self.older = dict(self)
