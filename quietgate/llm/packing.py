@@ -25,7 +25,7 @@ from .common import record, remembered, texts, tidy
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers: two generations of so many.
-_REMEMBERED = 60_000
+_REMEMBERED = 100_000
 
 # The tokenizer's word pattern, in the characters of _PLAIN.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
