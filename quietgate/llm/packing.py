@@ -13,25 +13,31 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .common import record, remembered, texts, tidy
+from .common import record, remembered, slices, texts, tidy
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers: two generations of so many.
-_REMEMBERED = 100_000
+_REMEMBERED = 60_000
+#: Bytes of text whose words are looked up together.
+_SLICE = 1 << 22
 
 # The tokenizer's word pattern, in the characters of _PLAIN.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Text of these characters alone (Latin letters without the odd ones) is normalised by
 #: lower() and split(); any other text goes through the tokenizer itself.
 _ODD = re.compile("[^\t\n\v\f\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
+#: No letter, digit or blank: what often follows a word.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
@@ -51,23 +57,59 @@ class Words(dict):
         self.letters = _byte_letters()
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            if word.isascii() and word.isalpha():  # one piece as it stands: what most words are
-                ids = array("I", [t.id for t in self.model.tokenize(word)])
-            else:
-                ids = array("I")
-                for piece in _WORD.findall(word):
-                    coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                    ids.extend([t.id for t in self.model.tokenize(coded)])
-            found = ids.tobytes()
+    def _keep(self, word: str, found: bytes) -> bytes:
         if len(self) >= _REMEMBERED:
             self.older = dict(self)
             self.clear()
         self[word] = found
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one match of the word pattern, remembered as a word of its own."""
+        found = self.get(piece) or self.older.get(piece)
+        if found is None:
+            found = self._keep(piece, self._tokens(piece))
+        return found
+
+    def _tokens(self, piece: str) -> bytes:
+        coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+
+    def _make(self, word: str) -> bytes:
+        if word.isalpha():  # one piece as it stands
+            return self._tokens(word)
+        return b"".join(map(self._piece, _WORD.findall(word)))
+
+    def __missing__(self, word: str) -> bytes:
+        return self._keep(word, self.older.get(word) or self._make(word))
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words; what stands before their closing marks is looked up once."""
+        new, older, make = self.get, self.older.get, self._make
+        cores = [w.rstrip(_MARKS) for w in words]
+        ids = {c: new(c) or older(c) or make(c) for c in set(cores)}
+        found = []
+        for word, core in zip(words, cores):
+            if len(core) == len(word):
+                found.append(ids[core])
+            elif core[-1:].isalnum():  # marks after a letter or a digit are a piece of their own
+                found.append(ids[core] + self[word[len(core) :]])
+            else:
+                found.append(self[word])
+        fresh = list(ids)
+        for start in range(0, len(fresh), _REMEMBERED):
+            part = fresh[start : start + _REMEMBERED]
+            if len(self) + len(part) > _REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self.update((w, ids[w]) for w in part)
+        return found
+
+
+def _listed(words: pa.Array) -> list[str]:
+    """A list of words without blanks: much faster than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ") if len(words) else []
+
 
 class Encoder:
     """Ids of a text, exactly as the tokenizer gives them without added special tokens."""
@@ -78,11 +120,39 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.words = Words(self.whole)
 
+    def _plain(self, text: str) -> bool:
+        return not (_ODD.search(text) or ("<|" in text and _SPECIAL.search(text)))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __call__(self, text: str) -> bytes:
-        if _ODD.search(text) or ("<|" in text and _SPECIAL.search(text)):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self._plain(text):
+            return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
+    def many(self, values: pa.Array) -> Iterator[bytes]:
+        """Ids of each of the texts: a word that they repeat is looked up once."""
+        plain = np.array([self._plain(v.as_py()) for v in values], bool)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(values.filter(pa.array(plain))))
+        words = split.flatten().dictionary_encode()
+        coded = self.words.many(_listed(words.dictionary))
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        pool, starts = np.frombuffer(b"".join(coded), np.uint32), np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(size[at])))
+        places = np.repeat(starts[at] - ends[:-1], size[at])
+        places += np.arange(ends[-1])
+        ids = pool[places]
+        last = ends[np.cumsum(pc.list_value_length(split).to_numpy())]
+        texts = zip(np.concatenate(([0], last)), last)
+        for value, simple in zip(values, plain):
+            if simple:
+                start, end = next(texts)
+                yield ids[start:end].tobytes()
+            else:
+                yield self._whole(value.as_py())
+
 
 _PIECES = pa.schema(
     [
@@ -100,8 +170,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         step = 4 * capacity
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py()) + b"\0\0\0\0"
+            found = chain.from_iterable(encode.many(part.column("text")) for part in slices(batch, "text", _SLICE))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), found):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

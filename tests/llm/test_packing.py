@@ -3,6 +3,7 @@ from array import array
 from collections import Counter, defaultdict
 import random
 
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -110,3 +111,21 @@ def test_one_length_over_many_chunks(spark, tokenizer):
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, [])).collect() == []
+
+
+def test_many_texts_look_a_word_up_once(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "_REMEMBERED", 50)
+    encode = packing.Encoder(PATH)
+    rng = random.Random(5)
+    plain = [chr(c) for c in range(0x250) if not packing._ODD.search(chr(c))]
+    texts = [f"a{c}b {c} {c}{c}x. 's{c}t {c}'ll {c}." for c in plain]
+    texts += ["".join(rng.choice([*plain, *" ' a"]) for _ in range(40)) for _ in range(500)]
+    texts += ["", " ", "<|endoftext|> a", "字 b", "İΣ", "don't stop... <|endoftext|", "\n\xa0"]
+    for some in (texts, texts[::-1], ["字"], [""], []):
+        got = list(encode.many(pa.array(some, pa.string())))
+        assert got == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in some]
+    assert max(len(encode.words), len(encode.words.older)) <= 50
+    calls = []
+    monkeypatch.setattr(encode.words, "_make", lambda word: calls.append(word) or b"\1\0\0\0")
+    assert [len(x) for x in encode.many(pa.array([" ".join(["qzq"] * 3000), "qzq wvw qzq", "qzq"]))] == [12000, 12, 4]
+    assert sorted(calls) == ["qzq", "wvw"]
