@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .common import record, remembered, slices, texts, tidy
+from .common import record, slices, texts, tidy
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers: two generations of so many.
+#: Words whose ids a task remembers: two generations of so many.
 _REMEMBERED = 60_000
 #: Bytes of text whose words are looked up together.
 _SLICE = 1 << 22
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids and a closing 0, cut after every ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = remembered(("encoder", path), lambda: Encoder(path))
+        encode = Encoder(path)  # of this task: idle workers, which Spark takes in turn, hold none
         step = 4 * capacity
         for batch in batches:
             rows = []
@@ -181,7 +181,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
     return texts(docs).select(ids, "text").mapInArrow(
-        tidy(run, "encoder"), "doc_id long, piece int, start long, length long, ids_crc32 long"
+        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -129,3 +129,18 @@ def test_many_texts_look_a_word_up_once(tokenizer, monkeypatch):
     monkeypatch.setattr(encode.words, "_make", lambda word: calls.append(word) or b"\1\0\0\0")
     assert [len(x) for x in encode.many(pa.array([" ".join(["qzq"] * 3000), "qzq wvw qzq", "qzq"]))] == [12000, 12, 4]
     assert sorted(calls) == ["qzq", "wvw"]
+
+
+def test_a_worker_holds_no_encoder_after_its_task(spark):
+    def held(batches):
+        import sys
+
+        kept = sys.modules.get("_quietgate_worker")
+        names = [str(k) for k in kept.__dict__.get("kept", {})] if kept else []
+        for _ in batches:
+            pass
+        yield pa.record_batch({"names": pa.array([" ".join(names)])})
+
+    assert packing.pieces(frame(spark, awkward()), PATH).count() > 0
+    found = spark.range(64).repartition(16).mapInArrow(held, "names string").collect()
+    assert not [r.names for r in found if "encoder" in r.names]
