@@ -71,6 +71,19 @@ def test_build_corpus_tells_leaks_and_crossings_without_texts(spark):
         assert (manifest[split].rows, manifest[split].duplicates_removed) == (kept, n - kept)
 
 
+def test_ask_leaves_texts_where_they_lie(spark):
+    rows = spark.createDataFrame(
+        [("hr_records", i, "ko", "f", f"text {i}") for i in range(4)],
+        "policy_id string, i int, language string, source_family string, text string",
+    )
+    asked = corpus.ask(rows, questions(spark))
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert {(r.i, r.policy_language) for r in asked.collect()} == {(0, "ko"), (1, "en"), (2, "ko"), (3, "en")}
+    with pytest.raises(Exception, match="no question"):
+        corpus.ask(rows, questions(spark).filter("policy_language = 'ko'")).collect()
+
+
 def test_train_scorer_reads_its_corpus_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
