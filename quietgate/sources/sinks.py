@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stored
 from ..functions.running import running
 from ..operators.aggregates import split_manifest
 
@@ -18,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Folders that many small files are dealt to.
 FOLDERS = 1024
+# Slots that keys are hashed to; rows of a slot that holds a repeated key are brought together.
+SLOTS = 1 << 16
 # The only columns an audit log may hold: metadata, never content.
 AUDIT_COLUMNS = [
     "event_id", "timestamp_ms", "host", "method", "body_len", "reason", "rules",
@@ -36,12 +39,29 @@ def write_splits(df: DataFrame, out: str) -> DataFrame:
     return split_manifest(written.select(*df.columns))
 
 
+def _dealt(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``folder, name, text`` of the rows alone in their file, and of the rows that may share one.
+
+    Keys are counted by name; the slots of those that repeat, ``SLOTS`` at most, go to every task.
+    A row whose slot holds none of them is alone in its file for certain.
+    """
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    folder = F.pmod(F.xxhash64(key), F.lit(FOLDERS))
+    rows = df.select(folder.alias("folder"), name.alias("name"), F.col(text).alias("text"))
+    rows = rows.withColumn("_slot", F.pmod(F.xxhash64("name"), F.lit(SLOTS)))
+    repeated = rows.groupBy("_slot", "name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    slots = F.broadcast(stored(repeated.select("_slot").distinct()))
+    alone, several = (rows.join(slots, "_slot", how).drop("_slot") for how in ("left_anti", "left_semi"))
+    return alone, several
+
+
 def write_texts(df: DataFrame, out: str, key: str, text: str) -> None:
     """A text file ``folder=<n>/<key>=<value>.txt`` for each (whole-number) key under the URI ``out``.
 
     Rows of one key share its file, a line each; a null text is an empty line. The tasks write the
     files in place, so nothing is left for the driver to move one by one, and a task run again
-    writes the same files over.
+    writes the same files over. Texts are shuffled only where keys repeat; the others are written
+    from where they lie.
     """
 
     def write(rows) -> None:
@@ -55,9 +75,9 @@ def write_texts(df: DataFrame, out: str, key: str, text: str) -> None:
                 for line in lines:
                     file.write(f"{'' if line.text is None else line.text}\n".encode())
 
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(FOLDERS)).alias("folder"), name.alias("name"), F.col(text).alias("text"))
-    dealt.repartition("folder").sortWithinPartitions("folder", "name").foreachPartition(write)
+    alone, several = _dealt(df, key, text)
+    alone.foreachPartition(write)
+    several.repartition("folder").sortWithinPartitions("folder", "name").foreachPartition(write)
 
 
 def sequenced(events: DataFrame, after: int = 0, chunk_ms: int = 3_600_000) -> DataFrame:

@@ -102,3 +102,34 @@ def test_write_texts(spark, tmp_path):
     assert rows["12.txt"].text == "t12\n" and rows["12.txt"].error is None
     assert sorted(rows["7.txt"].text.split()) == ["again", "t7"]
     assert (rows["-5.txt"].bytes, rows["-5.txt"].error) == (1, "no_inspectable_text")
+
+
+def test_read_files_lists_in_tasks_what_spark_lists_in_the_driver(spark, tmp_path):
+    for name in (
+        "a.txt", "_a.txt", "_k=1.txt", ".h.txt", "x._COPYING_", "sub/b.md", "sub/_hid/c.txt", "sub/.hid/c.txt",
+        "sub/_metadata/m.txt", "sub/_metadata/_metadata", "sub/_k=2/c.txt", "sub/deep/er/e \u00fc%41.txt", "a.txt.gz", "noext",
+    ):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b'a,b\n"1,2",c\n')
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "huge.txt").write_bytes(b"a" * (4 * 1024 * 1024 + 1))
+    sort = lambda df: sorted(map(tuple, df.select("path", "length", "content").collect()), key=str)
+    for glob in (str(tmp_path), f"{tmp_path}/*", f"{tmp_path}/*.txt", f"{tmp_path}/{{sub,sub/deep}}", f"{tmp_path}/sub/_hid"):
+        named = readers._roots(spark, glob)
+        assert sort(readers._by_tasks(spark, *named)) == sort(readers._by_spark(spark, glob)), glob
+    plan = readers.read_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_files(spark, f"{tmp_path}/none")
+
+
+def test_write_texts_shuffles_only_texts_of_repeated_keys(spark):
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    odd = spark.createDataFrame([(None, "x"), (None, None), (7, "again")], "doc_id long, text string")
+    alone, several = sinks._dealt(ids.unionByName(odd), "doc_id", "text")
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    held = sorted((r.name, r.text or "") for r in several.collect())
+    assert {("7", "t7"), ("7", "again"), ("null", "x"), ("null", "")} <= set(held) and len(held) < 100
+    assert alone.count() + len(held) == 3003
+    assert alone.select("name").distinct().count() == alone.count()
